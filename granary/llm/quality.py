@@ -69,6 +69,8 @@ def features(df: DataFrame, text_col: str = "text") -> DataFrame:
             "q_repeat_words": F.col("_w.r").cast("long"),
             "q_word_chars": F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long"),
             "q_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+            "q_symbol_ends": F.regexp_count(text, F.lit("[#*$%&|<>](?=[\\x20\\x09-\\x0D]|\\z)")).cast("long"),
+            "q_not_letters": F.length(F.regexp_replace(text, "[\\p{L}\\x20\\x09-\\x0D]+", "")).cast("long"),
             "q_capitals": F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long"),
             "q_marks": (F.length(text) - F.length(F.translate(text, "!?", ""))).cast("long"),
             "q_lines": F.col("_l.n").cast("long"),
@@ -84,6 +86,8 @@ def votes() -> dict[str, Column]:
     say = lambda good, bad: F.when(n == 0, -1).when(bad, -1).when(good, 1).otherwise(0)
     return {
         "length": say(n >= 80, n < 30),
+        "symbol_ends": say(F.col("q_symbol_ends") * 50 <= n, F.col("q_symbol_ends") * 10 > n),
+        "letters": say(F.col("q_not_letters") * 10 <= chars, F.col("q_not_letters") * 20 > chars * 3),
         "symbols": say(F.col("q_symbols") * 100 <= n, F.col("q_symbols") * 10 > n),
         "repeats": say(F.col("q_repeat_words") * 10 <= n, F.col("q_repeat_words") * 3 > n),
         "lines": say(F.col("q_dup_lines") * 10 <= lines, F.col("q_dup_lines") * 3 > lines),
@@ -103,32 +107,36 @@ class LabelModel:
     rounds: int
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 100, prior_share: float = 0.05) -> LabelModel:
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 200, prior_share: float = 0.05) -> LabelModel:
     """Expectation-maximisation over (votes, rows).
 
     Texts are good or bad; given that, rules vote independently when they do not
-    abstain. Accuracies start at 0.9 and keep a prior there that weighs as much as
-    ``prior_share`` of the rows, which also keeps the two classes from changing
-    places. Without rows the start is the answer.
+    abstain. A rule that looks at one kind of fault passes most bad texts, so its
+    chance to be right on bad ones starts low and is free; on good ones it starts
+    high and stays over 0.8, which keeps the two classes from changing places. The
+    starting values weigh as much as ``prior_share`` of the rows. Without rows they
+    are the answer.
     """
+    start_good, start_bad, start_prior = 0.97, 0.4, 0.85
     total = sum(n for _, n in patterns)
-    start, weight = 0.9, max(1.0, prior_share * total)
-    prior, right = 0.8, {k: (start, start) for k in names}
+    weight = max(1.0, prior_share * total)
+    prior, right = start_prior, {k: (start_good, start_bad) for k in names}
     done = 0
     for done in range(1, rounds + 1):  # noqa: B007
-        good = [n * posterior(v, names, prior, right) for v, n in patterns]
-        mass = math.fsum(good)
-        new_prior = (mass + weight * 0.8) / (total + weight)
+        split = [(v, n, n * posterior(v, names, prior, right)) for v, n in patterns]
+        new_prior = (math.fsum(g for _, _, g in split) + weight * start_prior) / (total + weight)
         new = {}
         for j, name in enumerate(names):
-            yes = math.fsum(g for (v, _), g in zip(patterns, good, strict=True) if v[j] > 0)
-            cast = math.fsum(g for (v, _), g in zip(patterns, good, strict=True) if v[j])
-            no = math.fsum(n - g for (v, n), g in zip(patterns, good, strict=True) if v[j] < 0)
-            said = math.fsum(n - g for (v, n), g in zip(patterns, good, strict=True) if v[j])
-            a, b = ((x + start * weight) / (y + weight) for x, y in ((yes, cast), (no, said)))
-            new[name] = (min(max(a, 0.51), 0.999), min(max(b, 0.51), 0.999))
+            yes = math.fsum(g for v, _, g in split if v[j] > 0)
+            cast = math.fsum(g for v, _, g in split if v[j])
+            no = math.fsum(n - g for v, n, g in split if v[j] < 0)
+            said = math.fsum(n - g for v, n, g in split if v[j])
+            a = (yes + start_good * weight) / (cast + weight)
+            a = min(max(a, 0.8), 0.9995)
+            b = (no + start_bad * weight / 5) / (said + weight / 5)
+            new[name] = (a, min(max(b, 1.01 - a), 0.99))
         moved = max([abs(new_prior - prior)] + [abs(x - y) for k in names for x, y in zip(new[k], right[k], strict=True)])
-        prior, right = min(max(new_prior, 1e-3), 1 - 1e-3), new
+        prior, right = new_prior, new
         if moved < 1e-6:
             break
     return LabelModel(prior, right, done)
