@@ -10,8 +10,9 @@ signature distance shares a key, and candidates are confirmed on the full sets.
 
 Texts with one and the same set are one class. Within the rows of a key only links
 between different components matter, so pairs are not enumerated: first each row is
-held against the most widely shared member of its keys, and then only rows that
-are still in different components of a key are compared.
+held against the most widely shared member of its keys, and then only rows of keys that
+are still in different components are compared, where their rarest shingles allow
+a link at all.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BITS = 14
 LANES = 4  # places in one integer of a signature
 LEAST = 85  # similarity in hundredths, of the contract
+SKETCH = 2048  # one-bit places of the longer sketch of rows that are still open
+SKETCH_DISTANCE = 200  # of 2048 places that differ with probability (1 - 0.85) / 2: exceeded once in 10,000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
@@ -79,6 +82,35 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (places << shifts).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
+_random = np.random.default_rng(77)
+_AS = _random.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BS = _random.integers(0, 2**63, SKETCH, dtype=np.uint64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, set) to (id, sketch): one bit of each of SKETCH min-hashes, 64 bits in an integer."""
+    for batch in batches:
+        out = []
+        for held in batch.column(1):
+            x = held.values.to_numpy().view(np.uint64)
+            bits = np.empty(SKETCH, dtype=np.uint8)
+            for at in range(0, SKETCH, 128):
+                least = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for part in range(0, len(x), 1024):
+                    np.minimum(least, (x[part : part + 1024, None] * _AS[at : at + 128] + _BS[at : at + 128]).min(axis=0), out=least)
+                bits[at : at + 128] = (_scramble(least) >> np.uint64(63)).astype(np.uint8)
+            out.append(np.packbits(bits).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "sketch"])
+
+
+def bits_apart(a: Column, b: Column) -> Column:
+    """Number of differing bits of two sketches."""
+    total = F.lit(0)
+    for i in range(SKETCH // 64):
+        total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return total
+
+
 _SIGNED = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.StringType()), T.StructField("sig", T.ArrayType(T.LongType()))]
 )
@@ -170,18 +202,46 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.join(two, (joined["b"] == two["b"]) & (distance(F.col("_sa"), F.col("_sb")) <= DISTANCE)).select("a", joined["b"])
 
 
-def confirm(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+def shingle_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, set) of the rows of ``df`` named in ``ids`` (id), written to the shared folder."""
+    wanted = ids.select(F.col("id").alias("_n")).distinct()
+    texts = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("_text"))
+    return cut(texts.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("_n"), "left_semi").select("id", shingle_set(F.col("_text")).alias("set")))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    sets = texts.join(ids.hint("shuffle_hash"), texts["_id"] == ids["_n"], "left_semi").select("_id", shingle_set(F.col("_text")).alias("_set"))
-    sets = cut(sets)
-    # The shared member of a key (b) may be in many pairs: its set joins last and is not shuffled again.
-    found = pairs.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_y")), "b")
+    # A shared member of keys (b) may be in many pairs: its set joins last and is not shuffled again.
+    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
     both = F.size(F.array_intersect("_x", "_y"))
     return found.filter(100 * both >= least * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
 
+def open_pairs(rest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (id, root) in different components that can be similar
+    enough, by a longer sketch as close as similar sets have.
+
+    Two sets that are share one of their rarest shingles: of a set of n, one of the
+    n - ceil(n * least / 100) + 1 rarest. The texts of a large group of loose copies
+    differ in shingles of their own, so most of them meet nobody here.
+    """
+    each = sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("set").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    size = F.size("all")
+    rare = ranked.select("id", size.alias("size"), F.slice("all", F.lit(1), (size - F.ceil(size * least / 100) + 1).cast("int")).alias("rare"))
+    # A shingle of one text, or of one component, makes no pair.
+    sketches = sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "set").mapInArrow(_sketch, "id long, sketch array<long>")
+    places = rare.select("id", "size", F.explode("rare").alias("r")).filter("r.n > 1").select("id", "size", F.col("r.shingle").alias("shingle")).join(rest.join(sketches, "id"), "id")
+    mixed = places.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
+    places = cut(places.join(mixed, "shingle", "left_semi"))
+    one = places.select("shingle", F.col("id").alias("a"), F.col("root").alias("_ra"), F.col("size").alias("_na"), F.col("sketch").alias("_sa"))
+    two = places.select("shingle", F.col("id").alias("b"), F.col("root").alias("_rb"), F.col("size").alias("_nb"), F.col("sketch").alias("_sb"))
+    sizes = (F.col("_na") * 100 >= F.col("_nb") * least) & (F.col("_nb") * 100 >= F.col("_na") * least)
+    met = (one["shingle"] == two["shingle"]) & (F.col("_ra") < F.col("_rb")) & sizes & (bits_apart(F.col("_sa"), F.col("_sb")) <= SKETCH_DISTANCE)
+    return one.join(two, met).select("a", "b").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``df``.
 
@@ -205,18 +265,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = members.join(width, "id").groupBy("key").agg(F.max(F.struct("width", (-F.col("id")).alias("m"))).alias("h"))
     tried = members.join(hubs, "key").select(F.col("id").alias("a"), (-F.col("h.m")).alias("b")).filter("a <> b").distinct()
     tried = cut(_near(tried, classes))
-    links = cut(confirm(tried, df, id_col, text_col, least))
+    sets = shingle_sets(tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))), df, id_col, text_col)
+    links = cut(confirm(tried, sets, least))
     roots = components(links)
 
     placed = members.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = cut(placed.join(open_keys, "key", "left_semi").join(classes.select("id", "sig"), "id"))
-    one = rest.select("key", F.col("id").alias("a"), F.col("root").alias("_ra"), F.col("sig").alias("_sa"))
-    two = rest.select("key", F.col("id").alias("b"), F.col("root").alias("_rb"), F.col("sig").alias("_sb"))
-    more = one.join(two, (one["key"] == two["key"]) & (one["_ra"] < two["_rb"]) & (distance(F.col("_sa"), F.col("_sb")) <= DISTANCE)).select("a", "b").distinct()
+    rest = placed.join(open_keys, "key", "left_semi").select("id", "root").distinct()
+    rest = cut(rest)
+    sets = shingle_sets(rest, df, id_col, text_col)
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut(more.join(done, ["a", "b"], "left_anti"))
-    further = cut(confirm(more, df, id_col, text_col, least))
+    more = cut(open_pairs(rest, sets, least).join(done, ["a", "b"], "left_anti"))
+    further = cut(confirm(more, sets, least))
     if not further.isEmpty():
         roots = components(links.unionByName(further))
 
