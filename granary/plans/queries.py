@@ -1,6 +1,473 @@
-"""Registered queries of the engine and their DuckDB SQL."""
+"""Registered queries of the engine and their DuckDB SQL.
+
+Each query applies one family of operators to the whole provided tables; the SQL is
+written on its own, not derived from the Spark plan.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers, text
+from ..operators import chunks, choices, finance, leads, markup, search, snapshots, tabular
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- snapshots and changes
+
+_SNAPSHOTS = """
+    with prev as (select p_partkey, p_name, p_brand, p_retailprice, 'http://shop/' || p_partkey as url from part),
+    cur as (select p_partkey, p_name, case when p_partkey % 25 = 3 then 'renamed' else p_brand end as p_brand,
+                   case when p_partkey % 10 = 1 then p_retailprice * 1.1 else p_retailprice end as p_retailprice, url
+            from prev where p_partkey % 50 <> 7
+            union all select p_partkey + 10000000, p_name, p_brand, p_retailprice, url || '/new' from prev where p_partkey % 100 = 9),
+    j as (select p.p_partkey as pk, c.p_partkey as ck, p.p_name as pn, c.p_name as cn, p.p_brand as pb, c.p_brand as cb, p.p_retailprice as pp, c.p_retailprice as cp, p.url as pu, c.url as cu
+          from prev p full outer join cur c on p.p_partkey = c.p_partkey),
+    feed as (
+        select 'new' as kind, ck as key, cn as title, '' as field, null::double as old_price, null::double as new_price, null::double as pct, cu as url from j where pk is null
+        union all select 'gone', pk, pn, '', null, null, null, pu from j where ck is null and (select count(*) from cur) >= 0.5 * (select count(*) from prev)
+        union all select 'price', ck, cn, 'p_retailprice', pp, cp, round((cp - pp) / pp * 100, 1), cu from j where pk is not null and ck is not null and abs(cp - pp) > 0.005
+        union all select 'field', ck, cn, 'p_brand', null, null, null, cu from j where pk is not null and ck is not null and pb <> cb)"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice", F.concat(F.lit("http://shop/"), F.col("p_partkey")).alias("url"))
+    key = F.col("p_partkey")
+    now = old.filter(key % 50 != 7).withColumns({"p_brand": F.when(key % 25 == 3, "renamed").otherwise(F.col("p_brand")), "p_retailprice": F.when(key % 10 == 1, F.col("p_retailprice") * 1.1).otherwise(F.col("p_retailprice"))})
+    added = old.filter(key % 100 == 9).withColumns({"p_partkey": key + 10_000_000, "url": F.concat("url", F.lit("/new"))})
+    return old, now.unionByName(added)
+
+
+def _feed(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    old, now = _snapshots(spark, sf_dir)
+    return snapshots.changes(old, now, "p_partkey", "p_retailprice", "p_name", "url", ["p_brand"], **options)
+
+
+@query(_SNAPSHOTS + " select kind, key, title, field, old_price, new_price, pct, url from feed")
+def diff_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("kind") == "price"
+    return _feed(spark, sf_dir).select("kind", "key", "title", "field", F.when(price, F.col("old").cast("double")).alias("old_price"), F.when(price, F.col("new").cast("double")).alias("new_price"), "pct", "url")
+
+
+@query(_SNAPSHOTS + " select kind, count(*) as n from feed group by kind")
+def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_SNAPSHOTS + " select kind, count(*) as n from feed where kind <> 'gone' group by kind")
+def diff_gone_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed(spark, sf_dir, complete=False).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_SNAPSHOTS + " select key, pct, row_number() over (order by abs(pct) desc nulls first, key) as place from feed where kind = 'price'")
+def price_change_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.largest_first(_feed(spark, sf_dir)).select("key", "pct", "place")
+
+
+@query("select o_custkey, arg_max(o_orderkey, (o_orderstatus = 'F', o_orderkey)) as run_id, bool_or(o_orderstatus = 'F') as complete from orders group by o_custkey")
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").withColumn("complete", F.col("o_orderstatus") == "F")
+    return snapshots.latest_run(runs, "o_custkey", "o_orderkey", "complete")
+
+
+@query("select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) <= 3")
+def prune_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.prune_runs(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3)
+
+
+@query("""select 'event_type' as "column", count(*) filter (event_type <> '') as filled from events union all select 'props', count(*) filter (props <> '') from events union all select 'value', count(value) from events""")
+def fill_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.fill_stats(table(spark, sf_dir, "events").select("event_type", "props", "value"))
+
+
+@query("select o_orderkey, o_totalprice, coalesce(nullif(c_name, ''), 'none') as c_name from (select o_orderkey, o_totalprice, o_custkey from orders) o left join customer c on o.o_custkey = c.c_custkey")
+def join_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("link")).withColumn("c_name", F.lit("none"))
+    details = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("link"), "c_name")
+    return snapshots.join_details(items, details, "link", ["c_name"]).drop("link")
+
+
+# ---- leads and events
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def stats_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.count_by(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("""with t as (select timestamp '2024-01-20 12:00:00' as at)
+    select event_type, count(*) filter (ts >= timestamp '2024-01-19 21:00:00') as today, count(*) filter (ts >= at - interval 7 days) as week, count(*) as total from events, t group by event_type""")
+def stats_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-01-20 12:00:00").cast("timestamp")
+    return leads.window_counts(table(spark, sf_dir, "events"), "ts", "event_type", now, "Europe/Moscow")
+
+
+@query("select event_id, user_id, ts from events where ts >= timestamp '2024-01-15 00:00:00'")
+def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.purge(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "ts", F.lit("2024-01-15").cast("timestamp"))
+
+
+@query("""with e as (select event_id, user_id, epoch(date_trunc('second', ts))::bigint as s from events)
+    select event_id, user_id, count(*) over (partition by user_id order by s range between 3599 preceding and current row)
+           - count(*) over (partition by user_id, s order by event_id desc rows between unbounded preceding and current row) as recent,
+           recent >= 3 as over from e""".replace("as over from", 'as "over" from'))
+def rate_limit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = leads.recent_requests(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3)
+    return out.select("event_id", "user_id", "recent", "over")
+
+
+@query("select user_id, max(ts) as ts, arg_max(event_type, ts) as event_type from events group by user_id")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
+    half = F.lit("2024-01-15").cast("timestamp")
+    return leads.upsert(rows.filter(F.col("ts") < half), rows.filter(F.col("ts") >= half), ["user_id"], "ts")
+
+
+# ---- scalars
+
+_STYLES = "(values ('plain'), ('ru'), ('us'), ('de'), ('paren'), ('code')) s(style)"
+_STYLED = """case style when 'plain' then printf('%.2f', p_retailprice) when 'ru' then replace(printf('%.2f', p_retailprice), '.', ',') || ' ₽'
+    when 'us' then '$' || format('{:,.2f}', p_retailprice) when 'de' then translate(format('{:,.2f}', p_retailprice), ',.', '.,') || ' €'
+    when 'paren' then '(' || printf('%.2f', p_retailprice) || ')' else lpad(p_partkey::varchar, 12, '0') end"""
+
+
+def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_retailprice")
+    two = F.format_string("%.2f", p)
+    grouped = F.format_number(F.round(p.cast("decimal(18,4)"), 2), 2)
+    forms = {"plain": two, "ru": F.concat(F.translate(two, ".", ","), F.lit(" ₽")), "us": F.concat(F.lit("$"), grouped), "de": F.concat(F.translate(grouped, ",.", ".,"), F.lit(" €")), "paren": F.concat(F.lit("("), two, F.lit(")")), "code": F.lpad(F.col("p_partkey").cast("string"), 12, "0")}
+    cells = F.array(*[F.struct(F.lit(k).alias("style"), v.alias("cell")) for k, v in forms.items()])
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(cells).alias("x")).select("p_partkey", "x.*")
+
+
+@query(f"select p_partkey, style, case style when 'code' then p_partkey::double else round(p_retailprice, 2) end as number from part, {_STYLES}")
+def parse_number_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _styled(spark, sf_dir).select("p_partkey", "style", numbers.find_number(F.col("cell")).alias("number"))
+
+
+@query(f"select p_partkey, style, case style when 'code' then null when 'paren' then -round(p_retailprice, 2) else round(p_retailprice, 2) end as number, style = 'code' as code from part, {_STYLES}")
+def parse_number_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.col("cell")
+    return _styled(spark, sf_dir).select("p_partkey", "style", numbers.cell_number(cell).alias("number"), numbers.looks_like_code(cell).alias("code"))
+
+
+@query(f"select p_partkey, style, case style when 'ru' then 'RUB' when 'us' then 'USD' when 'de' then 'EUR' end as currency from part, {_STYLES}")
+def currency_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _styled(spark, sf_dir).select("p_partkey", "style", numbers.currency(F.col("cell")).alias("currency"))
+
+
+@query("select p_partkey, case p_size % 5 when 0 then false when 1 then true when 2 then null when 3 then true else p_size > 0 end as in_stock, case p_size % 3 when 0 then true when 1 then false end as flag from part")
+def availability_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    phrase = F.when(size % 5 == 0, "Нет в наличии").when(size % 5 == 1, "In stock (22 available)").when(size % 5 == 2, "уточняйте").when(size % 5 == 3, " есть  на складе").otherwise(F.concat(size.cast("string"), F.lit(" шт.")))
+    word = F.when(size % 3 == 0, "Да").when(size % 3 == 1, "OFF").otherwise("maybe")
+    return table(spark, sf_dir, "part").select("p_partkey", numbers.availability(phrase).alias("in_stock"), numbers.to_bool(word).alias("flag"))
+
+
+@query("""select o_orderkey, case o_orderkey % 4 when 3 then null else case o_orderkey % 4 when 2 then o_orderdate else date_trunc('day', o_orderdate) end end as at,
+    o_orderkey % 4 = 2 as has_time from orders""")
+def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    cell = F.when(k % 4 == 0, F.date_format(d, "dd.MM.yyyy")).when(k % 4 == 1, F.date_format(d, "yyyy/M/d")).when(k % 4 == 2, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).otherwise("31.02.2020")
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.parse_moment(cell).alias("m")).select("o_orderkey", "m.at", "m.has_time")
+
+
+@query(r"""select doc_id, trim(regexp_replace(translate(lower(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), 'ß', 'ss', 'g')), 'ё', 'е'), '[^\p{L}\p{N}\p{M}_]+', ' ', 'g')) as key from documents""")
+def norm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.norm_key(F.col("text")).alias("key"))
+
+
+@query(r"""select doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+', '<email>', 'g'), '[+]?[0-9][0-9 ()-]{8,}[0-9]', '<phone>', 'g') as masked from documents""")
+def mask_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.mask_contacts(F.col("text")).alias("masked"))
+
+
+@query("""with d as (select c_custkey, lpad((c_custkey * 7919)::varchar, 10, '0') as inn from customer),
+    s as (select *, (substr(inn,1,1)::int*2 + substr(inn,2,1)::int*4 + substr(inn,3,1)::int*10 + substr(inn,4,1)::int*3 + substr(inn,5,1)::int*5 + substr(inn,6,1)::int*9 + substr(inn,7,1)::int*4 + substr(inn,8,1)::int*6 + substr(inn,9,1)::int*8) % 11 % 10 as k from d)
+    select c_custkey, inn as value, case when k = substr(inn,10,1)::int then '' else 'checksum' end as note from s""")
+def inn_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inn = F.lpad((F.col("c_custkey") * 7919).cast("string"), 10, "0")
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_inn(inn).alias("x")).select("c_custkey", "x.value", "x.note")
+
+
+@query("""with d as (select c_custkey, 9000000000 + c_custkey as n from customer)
+    select c_custkey, '+7 (' || substr(n::varchar,1,3) || ') ' || substr(n::varchar,4,3) || '-' || substr(n::varchar,7,2) || '-' || substr(n::varchar,9,2) as listed, '+7' || n as strict, '+7 ' || substr(n::varchar,1,3) || ' ***-**-' || substr(n::varchar,9,2) as masked from d""")
+def phone_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.lit(9_000_000_000) + F.col("c_custkey")).cast("string")
+    raw = F.concat(F.lit("8 ("), F.substring(n, 1, 3), F.lit(") "), F.substring(n, 4, 3), F.lit("-"), F.substring(n, 7, 4))
+    strict = text.phone_strict(raw)["value"]
+    return table(spark, sf_dir, "customer").select("c_custkey", text.phone_list(raw).alias("listed"), strict.alias("strict"), text.phone_masked(strict).alias("masked"))
+
+
+@query("select s_suppkey, 'user' || s_suppkey || '@mail.example.com' as email, 'Supplier#Abc Def-Ghi' as name from supplier")
+def email_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" MailTo:User"), F.col("s_suppkey").cast("string"), F.lit("@Mail.Example.com "))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.normalize_email(raw).alias("email"), text.title_name(F.lit(" supplier#ABC  def-gHI")).alias("name"))
+
+
+@query("select page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) as origin, regexp_replace(url, '[?#].*$', '') as safe from pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.origin(F.col("url")).alias("origin"), text.safe_url(F.col("url")).alias("safe"))
+
+
+# ---- tables
+
+
+@query("""select * from (values ('o_orderkey', 'number'), ('o_orderstatus', 'text'), ('o_totalprice', 'number'), ('o_orderpriority', 'text'), ('day', 'date')) v("column", kind), (select count(*) as filled from orders)""")
+def type_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "day"]
+    rows = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.format_string("%.2f", "o_totalprice")).withColumn("day", F.date_format("o_orderdate", "dd.MM.yyyy"))
+    return tabular.infer_types(rows.select(*[F.col(c).cast("string") for c in columns]), columns).select("column", "kind", "filled")
+
+
+@query("select c_name as name, c_acctbal as balance, c_nationkey as nation, c_mktsegment, 'customer' as source from customer union all select s_name, s_acctbal, s_nationkey, null, 'supplier' from supplier")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").drop("c_custkey")
+    b = table(spark, sf_dir, "supplier").drop("s_suppkey")
+    names = {"customer": {"c_name": "name", "c_acctbal": "balance", "c_nationkey": "nation"}, "supplier": {"s_name": "name", "s_acctbal": "balance", "s_nationkey": "nation"}}
+    return tabular.union_tables([("customer", a), ("supplier", b)], names, ["name", "balance", "nation"])
+
+
+@query("""with k as (select l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber as pos, case when l_linenumber % 2 = 0 then l_returnflag end as flag, case when l_linenumber % 3 = 0 then l_linestatus end as status from lineitem)
+    select l_orderkey, min(pos) as pos, arg_min(flag, pos) filter (flag is not null) as flag, arg_min(status, pos) filter (status is not null) as status, count(*) as copies from k group by l_orderkey""")
+def dedup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 10 + line).alias("pos"), F.when(line % 2 == 0, F.col("l_returnflag")).alias("flag"), F.when(line % 3 == 0, F.col("l_linestatus")).alias("status"))
+    return tabular.dedup_fill(rows, ["l_orderkey"], ["flag", "status"], "pos")
+
+
+@query("""with k as (select l_orderkey, l_orderkey * 10 + l_linenumber as pos, l_returnflag as flag from lineitem), f as (select l_orderkey, min(pos) as first, arg_min(flag, pos) as kept from k group by l_orderkey)
+    select pos as "row", first as kept_row, 'flag' as "column", kept, flag as other from k join f using (l_orderkey) where pos <> first and lower(flag) <> lower(kept)""")
+def dedup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("flag"))
+    return tabular.dedup_conflicts(rows, ["l_orderkey"], ["flag"], "pos")
+
+
+@query(r"""with d as (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents),
+    k as (select source, doc_id, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') as key from d where length(line) <= 120),
+    p as (select source, count(distinct doc_id) as total from documents group by source),
+    s as (select source, key, count(distinct doc_id) as pages from k where key <> '' group by all)
+    select source, key, pages from s join p using (source) where total >= 2 and case when total <= 4 then pages >= total else pages * 10 >= total * 6 end""")
+def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return tabular.running_lines(lines, "source", "doc_id", "line")
+
+
+# ---- search
+
+_STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+_TOKENS = f"""tok as (select doc_id as doc, unnest(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[a-zа-я0-9]+')) as term from documents),
+    kept as (select * from tok where term not in ({_STOP}) and (length(term) > 1 or regexp_matches(term, '^[0-9]$')))"""
+_QUERY_TERMS = f"""qt as (select distinct item_id as query, t as term from (select item_id, unnest(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[a-zа-я0-9]+')) as t from benchmark) where t not in ({_STOP}) and (length(t) > 1 or regexp_matches(t, '^[0-9]$')))"""
+_BM25 = f"""with {_TOKENS}, {_QUERY_TERMS},
+    post as (select doc, term, count(*) as tf from kept group by all),
+    len as (select d.doc_id as doc, count(k.term) as size from documents d left join kept k on k.doc = d.doc_id group by d.doc_id),
+    st as (select count(*) as total, avg(size) as mean from len),
+    m as (select q.query, p.doc, p.term, p.tf from post p join qt q using (term)),
+    df as (select query, term, count(distinct doc) as df from m group by all),
+    s as (select m.query, m.doc, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) as score, count(*) as hit
+          from m join df using (query, term) join len using (doc), st group by m.query, m.doc),
+    w as (select query, count(*) as whole from qt group by query),
+    r as (select query, doc, score, hit / whole as coverage, score * (0.25 + hit / whole) as mixed from s join w using (query)),
+    top as (select *, row_number() over (partition by query order by round(mixed, 9) desc, doc) as rank from r)"""
+
+
+def _question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(search.tokens(F.col("text"))).alias("term")).distinct()
+    return terms.withColumns({"group": F.col("term"), "weight": F.lit(1.0)})
+
+
+def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    scored = search.bm25(table(spark, sf_dir, "documents"), _question_terms(spark, sf_dir), "doc_id", "text")
+    return search.top_k(scored.withColumn("mixed", F.col("score") * (0.25 + F.col("coverage"))), k, "mixed")
+
+
+@query(_BM25 + " select query, doc, round(mixed, 6) as score, round(coverage, 6) as coverage, rank from top where rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, 10).select("query", "doc", F.round("mixed", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "rank")
+
+
+@query(f"with {_TOKENS}, d as (select term, count(distinct doc) as df from kept group by term) select term, df, round(ln(1 + ((select count(*) from documents) - df + 0.5) / (df + 0.5)), 6) as idf from d")
+def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = search.postings(docs, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = docs.agg(F.count(F.lit(1)).alias("total"))
+    return found.crossJoin(F.broadcast(total)).select("term", "df", F.round(search.idf(F.col("df"), F.col("total")), 6).alias("idf"))
+
+
+_COSINE = """with q as (select vec_id as query, embedding::double[] as v from embeddings where vec_id < 20), d as (select vec_id as doc, embedding::double[] as w from embeddings),
+    c as (select query, doc, list_cosine_similarity(v, w) as score from q, d), cr as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from c)"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.similar(vectors, vectors.filter("vec_id < 20"), "vec_id", "embedding", k)
+
+
+@query(_COSINE + " select query, doc, round(score, 6) as score, rank from cr where rank <= 10")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest(spark, sf_dir, 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_BM25 + ", " + _COSINE.removeprefix("with ") + """, u as (select query, doc, rank from top where rank <= 50 union all select query, doc, rank from cr where rank <= 50),
+    f as (select query, doc, sum(1.0 / (60 + rank)) as score from u group by all), g as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from f)
+    select query, doc, round(score, 9) as score, rank from g where rank <= 10""")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = search.fuse([_ranked(spark, sf_dir, 50), _nearest(spark, sf_dir, 50)], 10)
+    return fused.select("query", "doc", F.round("score", 9).alias("score"), "rank")
+
+
+_EXPECTED = ", e as (select item_id as query, min(doc_id) as doc from benchmark b join documents d on contains(d.text, b.text) group by item_id)"
+
+
+@query(_BM25 + _EXPECTED + ", h as (select e.query, min(rank) as rank from e left join top on top.query = e.query and top.doc = e.doc and rank <= 10 group by e.query) select count(*) as questions, avg((coalesce(rank, 99) <= 1)::int) as hit_1, avg((coalesce(rank, 99) <= 5)::int) as hit_k from h")
+def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("_t")))
+    docs = table(spark, sf_dir, "documents")
+    expected = docs.join(asked, F.col("text").contains(F.col("_t"))).groupBy(F.col("item_id").alias("query")).agg(F.min("doc_id").alias("doc"))
+    return search.hit_at(_ranked(spark, sf_dir, 10), expected, 5)
+
+
+@query("""with s as (select n_chars / 8000.0 as s, quality = 1 as y from documents join labels using (doc_id)), t as (select unnest(range(10, 91, 5)) as t)
+    select t / 100 as threshold, (avg(case when y then (s * 100 >= t)::int end) + avg(case when not y then (s * 100 < t)::int end)) / 2 as balanced from s, t group by t""")
+def threshold_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select((F.col("n_chars") / 8000.0).alias("s"), (F.col("quality") == 1).alias("y"))
+    return search.tune_threshold(rows, "s", "y")
+
+
+@query()
+def vocabulary_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text").select("term").distinct()
+    return search.vocabulary_variants(terms, _question_terms(spark, sf_dir).select("term"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# ---- finance
+
+_MONTHLY = """m as (select n_nationkey as nation, year(o_orderdate) as year, month(o_orderdate) as month, round(sum(o_totalprice), 2) as revenue
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"""
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+
+
+@query(f"""with {_MONTHLY}, y as (select *, sum(revenue) over (partition by nation, year order by month) as b from m)
+    select nation, year, month, round(b, 2) as ytd_base, round(0.06 * b - coalesce(lag(0.06 * b) over (partition by nation, year order by month), 0), 2) as tax from y""")
+def ytd_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = finance.running_tax(_monthly(spark, sf_dir), ["nation"], "year", "month", "revenue", 0.06)
+    return out.select("nation", "year", "month", F.round("ytd_base", 2).alias("ytd_base"), F.round("tax", 2).alias("tax"))
+
+
+@query(f"""with {_MONTHLY}, t as (select *, 0.06 * revenue as tax, year * 12 + month as k from m), w as (select *, 0.5 * coalesce(lag(revenue, 1) over o, 0) + 0.5 * coalesce(lag(revenue, 2) over o, 0) as payout,
+    case when month % 3 = 1 then coalesce(sum(tax) over (partition by nation order by k rows between 3 preceding and 1 preceding), 0) else 0 end as tax_paid from t window o as (partition by nation order by k)),
+    c as (select *, 1000000 + sum(payout - tax_paid) over (partition by nation order by k) as cash from w)
+    select nation, year, month, round(payout, 2) as payout, round(tax_paid, 2) as tax_paid, round(cash, 2) as cash, round(min(cash) over (partition by nation order by k rows between current row and unbounded following), 2) as lowest_ahead from c""")
+def cash_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _monthly(spark, sf_dir).withColumns({"tax": F.col("revenue") * 0.06, "k": F.col("year") * 12 + F.col("month")})
+    out = finance.cash_flow(rows, ["nation"], "k", "revenue", "tax", "month", 45, 1_000_000.0)
+    return out.select("nation", "year", "month", *[F.round(c, 2).alias(c) for c in ("payout", "tax_paid", "cash", "lowest_ahead")])
+
+
+def _skus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    values = {"price_cny": F.col("p_retailprice") / 40, "weight_kg": size / 10, "volume_m3": size / 1000, "batch": F.lit(100), "price_rub": F.col("p_retailprice") * 3, "plateau": F.lit(50.0) + size, "duty_rate": F.lit(0.1), "vat_rate": F.lit(0.2), "cert": F.lit(30000.0), "pack": F.lit(20.0), "commission": F.lit(0.15), "logistics": F.lit(70.0), "returns": F.lit(0.05)}
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), *[v.alias(k) for k, v in values.items()])
+
+
+_UNIT = """d as (select * from (values ('base', 12.0, 1.0, 1.0, 0.08), ('low', 13.2, 0.9, 0.8, 0.1)) v(scenario, fx, price_mult, sales_mult, ads)),
+    a as (select p_partkey as sku, scenario, p_retailprice * 3 * price_mult as price, p_retailprice / 40 * fx as goods, greatest(p_size / 10 * 250, p_size / 1000 * 30000) as freight, p_size / 10 * 10 as inbound, 50 + p_size as plateau, sales_mult, ads from part, d),
+    b as (select *, goods * 1.05 * 1.01 as pay_order, (goods + freight) * 0.1 as duty from a), c as (select *, pay_order + freight + duty + (goods + freight + duty) * 0.2 + 150 + 20 + inbound as landed from b),
+    e as (select *, price - landed - price * 0.15 - (70 + 0.05 * 50) / 0.95 - price * ads - price * 0.06 as profit from c)"""
+
+
+def _drivers(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([("base", 0.0, 0.0, 0.0, 0.0), ("low", 0.1, -0.1, -0.2, 0.02)], "scenario string, d_fx double, d_price double, d_sales double, d_ads double")
+    return finance.scenario_drivers(rows, 12.0, 0.08)
+
+
+@query(f"with {_UNIT} select sku, scenario, round(landed, 4) as landed, round(profit, 4) as profit, round(profit / price, 6) as margin, round(profit / landed, 6) as roi from e")
+def unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = finance.unit_economics(_skus(spark, sf_dir), _drivers(spark))
+    return out.select("sku", "scenario", F.round("landed", 4).alias("landed"), F.round("profit", 4).alias("profit"), F.round("margin", 6).alias("margin"), F.round("roi", 6).alias("roi"))
+
+
+@query(f"with {_UNIT} select scenario, count(*) as goods, round(sum(profit * plateau * sales_mult), 0) as profit, count(*) filter (profit <= 0) as losing from e group by scenario")
+def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = finance.unit_economics(_skus(spark, sf_dir), _drivers(spark))
+    return out.groupBy("scenario").agg(F.count(F.lit(1)).alias("goods"), F.round(F.sum(F.col("profit") * F.col("plateau_eff")), 0).alias("profit"), F.count_if(F.col("profit") <= 0).alias("losing"))
+
+
+@query("""with d as (select x.f as fx, y.p as p from (values (10.0), (12.0), (14.0)) x(f), (values (-0.1), (0.0), (0.1)) y(p)),
+    a as (select fx, p, p_retailprice * 3 * (1 + p) as price, p_retailprice / 40 * fx as goods, greatest(p_size / 10 * 250, p_size / 1000 * 30000) as freight, p_size / 10 * 10 as inbound, 50 + p_size as plateau from part, d),
+    b as (select *, (goods + freight) * 0.1 as duty from a), c as (select *, goods * 1.05 * 1.01 + freight + duty + (goods + freight + duty) * 0.2 + 170 + inbound as landed from b)
+    select fx as axis_fx, p as axis_price, round(sum((price - landed - price * 0.15 - 72.5 / 0.95 - price * 0.08 - price * 0.06) * plateau), 0) as profit from c group by fx, p""")
+def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = finance.sensitivity(_skus(spark, sf_dir), finance.Rates(), [10.0, 12.0, 14.0], [-0.1, 0.0, 0.1])
+    return grid.select("axis_fx", "axis_price", F.round("profit", 0).alias("profit"))
+
+
+def _demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    sold = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("brand"), F.month("l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("demand"))
+    return sold.withColumns({"batch": F.lit(500), "start_stock": F.lit(1000)})
+
+
+@query("""with recursive dm as (select p_brand as brand, month(l_shipdate) as month, sum(l_quantity) as q from lineitem join part on l_partkey = p_partkey group by all),
+    s as (select brand, list(q order by month) as d, count(*) as n from dm group by brand),
+    r(brand, t, d, n, arrivals, sales, stock, orders) as (
+        select brand, 0, d, n, 0.0::double, 0.0::double, 1000.0::double, []::double[] from s
+        union all
+        select brand, t + 1, d, n, a, least(d[t + 1], stock + a), stock + a - least(d[t + 1], stock + a),
+               list_append(orders, case when gap > 0 then ceil(gap / 500) * 500 else 0 end)
+        from (select *, coalesce(list_sum(d[t + 2 : t + 1 + 3]), 0) + greatest(0, t + 1 + 3 - n) * d[n] - (stock + a - least(d[t + 1], stock + a)) - coalesce(list_sum(orders[greatest(1, t + 1 - 2 + 1) : t]), 0) as gap
+              from (select *, case when t + 1 > 2 then orders[t + 1 - 2] else 0 end as a from r where t < n)))
+    select brand, t as month, arrivals, sales, stock, orders[t] as orders from r where t > 0""")
+def inventory_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = finance.inventory_plan(_demand(spark, sf_dir), ["brand"], 2, 1)
+    return plan.select("brand", "month", "arrivals", "sales", "stock", "orders")
+
+
+# ---- pages and products
+
+
+@query("select page_id, 0 as card, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), '') as title from pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.extract(table(spark, sf_dir, "pages"), [markup.Field("title", "head title")])
+
+
+@query()
+def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [markup.Field("title", "title"), markup.Field("heading", "article h1"), markup.Field("menu", "nav li > a", many=True), markup.Field("links", "a[href]", "href", many=True)]
+    return markup.extract(table(spark, sf_dir, "pages"), fields)
+
+
+@query("""select o_orderkey as state, 42900 + case o_orderpriority when '1-URGENT' then 3000 when '2-HIGH' then 1500 else 0 end + case o_orderstatus when 'F' then 700 when 'O' then 0 else 200 end as price from orders""")
+def configurator_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = spark.createDataFrame([("finish", "1-URGENT", 3000), ("finish", "2-HIGH", 1500), ("finish", "plain", 0), ("lock", "F", 700), ("lock", "O", 0), ("lock", "none", 200)], "group_id string, option_id string, price long")
+    groups = spark.createDataFrame([("finish", "plain"), ("lock", "none")], "group_id string, default_option string")
+    states = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("state"), F.create_map(F.lit("finish"), "o_orderpriority", F.lit("lock"), "o_orderstatus").alias("picks"))
+    return choices.price(choices.with_defaults(states, groups, options), options, 42_900)
