@@ -265,15 +265,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = members.join(width, "id").groupBy("key").agg(F.max(F.struct("width", (-F.col("id")).alias("m"))).alias("h"))
     tried = members.join(hubs, "key").select(F.col("id").alias("a"), (-F.col("h.m")).alias("b")).filter("a <> b").distinct()
     tried = cut(_near(tried, classes))
-    sets = shingle_sets(tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))), df, id_col, text_col)
+    sets = shingle_sets(members.select("id"), df, id_col, text_col)  # once, for both confirmations: the texts are shuffled for it
     links = cut(confirm(tried, sets, least))
     roots = components(links)
 
     placed = members.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = placed.join(open_keys, "key", "left_semi").select("id", "root").distinct()
-    rest = cut(rest)
-    sets = shingle_sets(rest, df, id_col, text_col)
+    rest = cut(placed.join(open_keys, "key", "left_semi").select("id", "root").distinct())
     done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut(open_pairs(rest, sets, least).join(done, ["a", "b"], "left_anti"))
     further = cut(confirm(more, sets, least))
