@@ -231,7 +231,8 @@ def open_pairs(rest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     size = F.size("all")
     rare = ranked.select("id", size.alias("size"), F.slice("all", F.lit(1), (size - F.ceil(size * least / 100) + 1).cast("int")).alias("rare"))
     # A shingle of one text, or of one component, makes no pair.
-    sketches = sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "set").mapInArrow(_sketch, "id long, sketch array<long>")
+    # The sketches are written: each is computed once, not for every branch of the plan.
+    sketches = cut(sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "set").mapInArrow(_sketch, "id long, sketch array<long>"))
     places = rare.select("id", "size", F.explode("rare").alias("r")).filter("r.n > 1").select("id", "size", F.col("r.shingle").alias("shingle")).join(rest.join(sketches, "id"), "id")
     mixed = places.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
     places = cut(places.join(mixed, "shingle", "left_semi"))
