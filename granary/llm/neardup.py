@@ -233,9 +233,9 @@ def open_pairs(rest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     # A shingle of one text, or of one component, makes no pair.
     # The sketches are written: each is computed once, not for every branch of the plan.
     sketches = cut(sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "set").mapInArrow(_sketch, "id long, sketch array<long>"))
-    places = rare.select("id", "size", F.explode("rare").alias("r")).filter("r.n > 1").select("id", "size", F.col("r.shingle").alias("shingle")).join(rest.join(sketches, "id"), "id")
+    places = cut(rare.select("id", "size", F.explode("rare").alias("r")).filter("r.n > 1").select("id", "size", F.col("r.shingle").alias("shingle")).join(rest, "id"))
     mixed = places.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
-    places = cut(places.join(mixed, "shingle", "left_semi"))
+    places = cut(places.join(mixed, "shingle", "left_semi").join(sketches, "id"))
     one = places.select("shingle", F.col("id").alias("a"), F.col("root").alias("_ra"), F.col("size").alias("_na"), F.col("sketch").alias("_sa"))
     two = places.select("shingle", F.col("id").alias("b"), F.col("root").alias("_rb"), F.col("size").alias("_nb"), F.col("sketch").alias("_sb"))
     sizes = (F.col("_na") * 100 >= F.col("_nb") * least) & (F.col("_nb") * 100 >= F.col("_na") * least)
