@@ -99,8 +99,9 @@ def pack(df: DataFrame, length: Column | None = None, id_col: str = "doc_id", te
     blocks = F.lit(1)
     for k, n in counts.items():
         blocks = F.when(F.col("pack_bucket") == k, F.lit(max(1, -(-n // block_rows)))).otherwise(blocks)
+    # The block is never null, so the join below adds no null check, which would count the words anew for each limit.
     key = F.shiftrightunsigned(F.xxhash64(F.lit("pack"), F.col(id_col)), 2)
-    keyed = rows.withColumn("_key", key).withColumn("_block", F.floor(F.col("_key") / F.lit(2.0**62) * blocks))
+    keyed = rows.withColumn("_key", key).withColumn("_block", F.coalesce(F.floor(F.col("_key") / F.lit(2.0**62) * blocks), F.lit(0).cast("long")))
     before = Window.partitionBy("pack_bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("pack_bucket", "_block").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("pack_bucket", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
