@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import heavy_values, partitions, shared_dir, text_of
+from .common import cut, heavy_values, partitions, shared_dir, text_of
 
 SEGMENT = 32_768  # characters of a block in one record
 CHUNK = 8_192  # characters of a chunk of the transfer framing
@@ -239,7 +239,8 @@ def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFram
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, **options)
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*)", 1), F.lit("")).cast("long")
-    read = read_archives(spark, path).withColumns({"page_id": page("record_id"), "first": page("refers_to")}).drop("payload")
+    # Written once: the rows below are read by four branches, and none should parse the archives again.
+    read = cut(read_archives(spark, path).withColumns({"page_id": page("record_id"), "first": page("refers_to")}).drop("payload"))
     stored = read.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "damaged")
     revisits = read.filter("record_type = 'revisit'").select("page_id", "record_type", F.col("first").alias("refers_to"), F.expr("substring(digest, 8)").alias("_digest"))
     named = revisits.select("refers_to", "_digest").distinct()
