@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import chunks, choices, finance, leads, markup, search, snapshots, tabular
+from ..operators import chunks, choices, finance, layout, leads, markup, search, snapshots, tabular
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -270,6 +270,15 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.running_lines(lines, "source", "doc_id", "line")
 
 
+@query("""with i as (select l_suppkey, l_orderkey as s, l_orderkey + l_quantity::bigint as e from lineitem),
+    r as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) as reach from i),
+    g as (select *, sum(case when s > reach or reach is null then 1 else 0 end) over (partition by l_suppkey order by s, e) as k from r)
+    select l_suppkey, min(s) as "start", max(e) as "end", count(*) as pieces from g group by l_suppkey, k""")
+def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("s"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("e"))
+    return layout.merge_intervals(rows, ["l_suppkey"], "s", "e")
+
+
 # ---- search
 
 _STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
