@@ -45,7 +45,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     # Sort: range partitions by (head, hash), equal texts adjacent, ranked by length and identifier.
     light = rows.filter(~F.col("_hash").isin(heavy)) if heavy else rows
-    light = light.withColumn("_head", F.substring(normalised(F.substring(text_of(text_col), 1, 4 * HEAD)), 1, HEAD))
+    light = light.withColumn("_head", F.substring(normalised(text_of(text_col)), 1, HEAD))
     light = light.repartitionByRange("_head", "_hash").withColumn("_norm", normalised(text_of(text_col)))
     group = Window.partitionBy("_head", "_hash", "_norm")
     ranked = group.orderBy(F.desc("_len"), F.asc_nulls_last("_id"))

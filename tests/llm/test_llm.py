@@ -196,6 +196,14 @@ def test_crowded_text_is_one_group(spark):
     assert sum(r.kept for r in out) == 201
 
 
+def test_leading_white_space_is_one_group(spark):
+    body = "a text of more than forty-eight characters without its white space, told once"
+    rows = [(1, body), (2, " " * 200 + body), (3, "\n" * 170 + body), (4, "    ".join(body)), (5, "other")]
+    out = {r.doc_id: r for r in exact.deduplicate(docs(spark, rows)).collect()}
+    assert {(out[i].keep_id, out[i].group_size, out[i].text_sha256) for i in (1, 2, 3, 4)} == {(4, 4, out[1].text_sha256)}
+    assert [i for i in sorted(out) if out[i].kept] == [4, 5]
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     score = {r.doc_id: r for r in QUERIES["op7_subword_toxicity"](spark, sf).collect()}
