@@ -8,6 +8,7 @@ standard parser; selectors are the small subset that catalogue rules need: tag,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -18,6 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# Start tag: the open elements that it ends, and the elements around them where the search stops.
+_SCOPE = frozenset("table td th caption button object template select".split())
+_ENDS = {
+    "li": (frozenset(("li", "p")), _SCOPE | {"ul", "ol", "menu"}),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd", "p")), _SCOPE | {"dl"})),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), frozenset(("table", "tr", "template")))),
+    "tr": (frozenset(("tr", "td", "th")), frozenset(("table", "template"))),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot", "tr", "td", "th")), frozenset(("table", "template")))),
+    "option": (frozenset(("option",)), frozenset(("select", "optgroup", "datalist"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+    **dict.fromkeys("p h1 h2 h3 h4 h5 h6 address article aside blockquote div dl fieldset footer form header hr main nav ol pre section table ul".split(), (frozenset(("p",)), _SCOPE)),
+}
+_NO_END = (frozenset(), frozenset())
 
 
 @dataclass(frozen=True)
@@ -38,10 +52,12 @@ class _Node:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
     def walk(self):
-        for c in self.children:
+        stack = self.children[::-1]
+        while stack:
+            c = stack.pop()
             if isinstance(c, _Node):
                 yield c
-                yield from c.walk()
+                stack.extend(reversed(c.children))
 
     def text(self):
         parts, stack = [], [self]
@@ -55,24 +71,41 @@ class _Node:
 
 
 class _Tree(HTMLParser):
+    """Tree of a page, of any depth; elements whose end tag may be left out end where the next one starts."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None)
-        self.depth = 0
+        self.open = Counter()  # tags of the elements from the root to ``at``
+
+    def up(self, node):
+        """Close ``node`` and all that is open in it."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
+        ended, inside = _ENDS.get(tag, _NO_END)
+        if any(self.open[t] for t in ended):
+            node, last = self.at, None
+            while node.parent is not None and node.tag not in inside:
+                if node.tag in ended:
+                    last = node
+                node = node.parent
+            if last is not None:
+                self.up(last)
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in _VOID and self.depth < 200:
-            self.at, self.depth = node, self.depth + 1
+        if tag not in _VOID:
+            self.at = node
+            self.open[tag] += 1
 
     def handle_endtag(self, tag):
-        node = self.at
-        up = 0
-        while node is not None and node.tag != tag:
-            node, up = node.parent, up + 1
-        if node is not None and node.parent is not None:
-            self.at, self.depth = node.parent, self.depth - up - 1
+        if self.open[tag]:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self.up(node)
 
     def handle_data(self, data):
         self.at.children.append(data)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import comparable
 from granary.functions import numbers, text, wording
-from granary.operators import chunks, choices, layout, snapshots
+from granary.operators import chunks, choices, layout, markup, snapshots
 from granary.plans.queries import ORACLES, QUERIES
 from granary.sources import files
 from granary.streaming import dialogs
@@ -95,6 +95,16 @@ def test_items(spark):
     assert snapshots.accept_items(rows, ["t"], key, "pos").count() == 2
 
 
+def test_pages_with_open_elements(spark):
+    rows = "".join(f"<li><a href='/{k}'>m{k}</a>" for k in range(300))
+    body = f"<nav><ul>{rows}</ul></nav>" + "<p>one" * 300 + "<article><h1>Head</h1><div>" + "<div>" * 3000 + "<h2>Deep</h2>"
+    table = "<table><tr><td>a<td>b<table><tr><td>in</table><tr><td>c</table><select><option>x<option>y</select>"
+    fields = [markup.Field("heading", "article h1"), markup.Field("deep", "article h2"), markup.Field("menu", "nav li > a", many=True), markup.Field("paragraphs", "p", many=True), markup.Field("cells", "td", many=True), markup.Field("options", "option", many=True)]
+    row = markup.extract(spark.createDataFrame([(1, "http://a", body + table)], "page_id long, url string, html string"), fields).first()
+    assert (row.heading, row.deep, row.menu, row.paragraphs) == ("Head", "Deep", [f"m{k}" for k in range(300)], ["one"] * 300)
+    assert (row.cells, row.options) == (["a", "b in", "in", "c"], ["x", "y"])
+
+
 def test_chunks():
     parts = chunks.split_text("One two. Three four. Five six.\nSeven.", 20, 10)
     assert parts == ["One two. Three four.", "Five six.\nSeven."]
