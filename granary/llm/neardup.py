@@ -12,7 +12,8 @@ Texts with one and the same set are one class. Within the rows of a key only lin
 between different components matter, so pairs are not enumerated: first each row is
 held against the most widely shared member of its keys, and then only rows of keys that
 are still in different components are compared, where their rarest shingles allow
-a link at all.
+a link at all. That last step is a prefix-filter join on the sets, not a join on the
+keys; it holds all rows of open keys against each other, at any signature distance.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BITS = 14
 LANES = 4  # places in one integer of a signature
 LEAST = 85  # similarity in hundredths, of the contract
-SKETCH = 2048  # one-bit places of the longer sketch of rows that are still open
-SKETCH_DISTANCE = 200  # of 2048 places that differ with probability (1 - 0.85) / 2: exceeded once in 10,000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
@@ -82,35 +81,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (places << shifts).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
-_random = np.random.default_rng(77)
-_AS = _random.integers(0, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BS = _random.integers(0, 2**63, SKETCH, dtype=np.uint64)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, set) to (id, sketch): one bit of each of SKETCH min-hashes, 64 bits in an integer."""
-    for batch in batches:
-        out = []
-        for held in batch.column(1):
-            x = held.values.to_numpy().view(np.uint64)
-            bits = np.empty(SKETCH, dtype=np.uint8)
-            for at in range(0, SKETCH, 128):
-                least = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
-                for part in range(0, len(x), 1024):
-                    np.minimum(least, (x[part : part + 1024, None] * _AS[at : at + 128] + _BS[at : at + 128]).min(axis=0), out=least)
-                bits[at : at + 128] = (_scramble(least) >> np.uint64(63)).astype(np.uint8)
-            out.append(np.packbits(bits).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "sketch"])
-
-
-def bits_apart(a: Column, b: Column) -> Column:
-    """Number of differing bits of two sketches."""
-    total = F.lit(0)
-    for i in range(SKETCH // 64):
-        total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
-    return total
-
-
 _SIGNED = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.StringType()), T.StructField("sig", T.ArrayType(T.LongType()))]
 )
@@ -219,27 +189,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 def open_pairs(rest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of ``rest`` (id, root) in different components that can be similar
-    enough, by a longer sketch as close as similar sets have.
+    enough. Only pairs that cannot be are left out; ``confirm`` decides the others.
 
     Two sets that are share one of their rarest shingles: of a set of n, one of the
     n - ceil(n * least / 100) + 1 rarest. The texts of a large group of loose copies
-    differ in shingles of their own, so most of them meet nobody here.
+    differ in shingles of their own, so most of them meet nobody here. Where two sets
+    meet in a shingle, they share at most that one, as many rarer ones as the lesser
+    has that others hold too, and as many commoner ones as the lesser has.
     """
     each = sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("set").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     ranked = each.join(common, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
     size = F.size("all")
     rare = ranked.select("id", size.alias("size"), F.slice("all", F.lit(1), (size - F.ceil(size * least / 100) + 1).cast("int")).alias("rare"))
+    rare = rare.withColumn("own", F.size(F.filter("rare", lambda r: r["n"] == 1)))
     # A shingle of one text, or of one component, makes no pair.
-    # The sketches are written: each is computed once, not for every branch of the plan.
-    sketches = cut(sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "set").mapInArrow(_sketch, "id long, sketch array<long>"))
-    places = cut(rare.select("id", "size", F.explode("rare").alias("r")).filter("r.n > 1").select("id", "size", F.col("r.shingle").alias("shingle")).join(rest, "id"))
+    places = rare.select("id", "size", "own", F.posexplode("rare").alias("at", "r")).filter("r.n > 1")
+    places = cut(places.select("id", "size", F.col("r.shingle").alias("shingle"), (F.col("at") - F.col("own")).alias("rarer"), (F.col("size") - F.col("at") - 1).alias("commoner")).join(rest, "id"))
     mixed = places.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
-    places = cut(places.join(mixed, "shingle", "left_semi").join(sketches, "id"))
-    one = places.select("shingle", F.col("id").alias("a"), F.col("root").alias("_ra"), F.col("size").alias("_na"), F.col("sketch").alias("_sa"))
-    two = places.select("shingle", F.col("id").alias("b"), F.col("root").alias("_rb"), F.col("size").alias("_nb"), F.col("sketch").alias("_sb"))
-    sizes = (F.col("_na") * 100 >= F.col("_nb") * least) & (F.col("_nb") * 100 >= F.col("_na") * least)
-    met = (one["shingle"] == two["shingle"]) & (F.col("_ra") < F.col("_rb")) & sizes & (bits_apart(F.col("_sa"), F.col("_sb")) <= SKETCH_DISTANCE)
+    places = cut(places.join(mixed, "shingle", "left_semi"))
+    named = lambda own, mark: places.select("shingle", F.col("id").alias(own), *[F.col(c).alias(f"_{c}_{mark}") for c in ("root", "size", "rarer", "commoner")])
+    one, two = named("a", "a"), named("b", "b")
+    both = F.least("_rarer_a", "_rarer_b") + 1 + F.least("_commoner_a", "_commoner_b")
+    met = (one["shingle"] == two["shingle"]) & (F.col("_root_a") < F.col("_root_b")) & ((100 + least) * both >= least * (F.col("_size_a") + F.col("_size_b")))
     return one.join(two, met).select("a", "b").distinct()
 
 
@@ -247,7 +219,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_shingles, component_id, kept) of every row of ``df``.
 
     Linked are texts with ``100 * shared >= least * union`` of their shingle sets;
-    ``least`` may be 80 or more, below that the signature distance would be too small.
+    ``least`` may be 80 or more: there, a pair shares no key about 3 times in a million.
     A text with fewer than five words is one shingle; without words, or null, it has
     none and is linked with nothing. ``component_id`` is the smallest identifier
     reached over links. Rows with one identifier are one document and stay or go

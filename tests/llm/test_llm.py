@@ -168,6 +168,21 @@ def test_near_duplicates_of_the_table(spark, sf):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_open_pairs_of_the_least_similarity(spark):
+    pairs, sets = [], {}
+    for p in range(40):
+        shared = [f"{p} s {k}" for k in range(400)]
+        for side in (0, 1):  # 400 of 500 are shared, 80 of 100
+            sets[2 * p + side] = [*shared, *(f"{p} {side} {k}" for k in range(50))]
+        pairs.append((2 * p, 2 * p + 1))
+    rng = random.Random(80)
+    number = {w: rng.getrandbits(64) - 2**63 for w in sorted({w for s in sets.values() for w in s})}
+    table = spark.createDataFrame([(i, [number[w] for w in s]) for i, s in sets.items()], "id long, set array<long>")
+    rest = table.select("id", F.col("id").alias("root"))
+    assert sorted(map(tuple, neardup.confirm(neardup.open_pairs(rest, table, 80), table, 80).collect())) == pairs
+    assert neardup.confirm(neardup.open_pairs(rest, table, 81), table, 81).isEmpty()
+
+
 def test_hilbert_index_visits_neighbours(spark):
     grid = spark.range(512).select((F.col("id") % 8).alias("x"), (F.floor(F.col("id") / 8) % 8).alias("y"), F.floor(F.col("id") / 64).alias("z"))
     rows = sorted(grid.select(sharding.hilbert_index([F.col("x"), F.col("y"), F.col("z")], 3).alias("h"), "x", "y", "z").collect())
