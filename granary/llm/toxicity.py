@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -31,14 +32,23 @@ BUCKETS = 1 << 18
 DIMENSIONS = 4
 LEAST_ROWS = 3  # training rows that must hold a piece; rarer ones have no vector
 GRAMS = (3, 4, 5)
+LONG = 64  # characters; longer words are read in steps and not cached
 _WORD = re.compile(r"\w+")
 
 
-def pieces(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Hashed places of a word and of its character n-grams, with its ends marked."""
-    marked = f"<{word[:64]}>"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % buckets for g in [word, *grams]]
+def pieces(word: str, buckets: int = BUCKETS) -> Iterator[int]:
+    """Hashed places of a word and of all its character n-grams, with its ends marked."""
+    marked = f"<{word}>"
+    grams = (marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))
+    return (xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % buckets for g in chain([word], grams))
+
+
+def effect_of(word: str, effect: np.ndarray) -> tuple[float, int]:
+    """Sum of the effects of the pieces of a word, and their number; a long word is summed in steps."""
+    total, count, rest = 0.0, 0, pieces(word)
+    while at := list(islice(rest, 4096)):
+        total, count = total + float(effect[at].sum()), count + len(at)
+    return total, count
 
 
 def bag(text: str) -> Counter[str]:
@@ -173,10 +183,11 @@ def scorer(df: DataFrame, model: ToxicityModel):
                 for w, n in bag(text or "").items():
                     known = cache.get(w)
                     if known is None:
-                        if len(cache) > 500_000:
-                            cache.clear()
-                        at = pieces(w)
-                        known = cache[w] = (float(effect[at].sum()), len(at))
+                        known = effect_of(w, effect)
+                        if len(w) <= LONG:
+                            if len(cache) > 500_000:
+                                cache.clear()
+                            cache[w] = known
                     total += n * known[0]
                     count += n * known[1]
                 out[k] = base + (total / count if count else 0.0)

@@ -227,6 +227,16 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert sum(y == s.predicted for y, s in held) >= 0.9 * len(held)
 
 
+def test_toxicity_after_64_characters_of_a_run(spark):
+    run = lambda end: "見" * 70 + end
+    rows = [(i, run("毒毒毒毒" if i % 2 else "花花花花")) for i in range(40)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    asked = docs(spark, [(1, "語_" * 5000 + "毒毒毒毒"), (2, "語_" * 5000 + "花花花花"), (3, run("毒毒毒毒")), (4, run("花花花花"))])
+    score = {r.doc_id: r.score for r in toxicity.add_score(asked, model).collect()}
+    assert score[1] > score[2] and score[3] > 0.5 > score[4]
+
+
 def test_licence_base_phrases(spark, sf):
     phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
