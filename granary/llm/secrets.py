@@ -75,15 +75,19 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     least = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.least)])
     hits = texts.withColumn("_hit", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()))).select("blob", "_hit.*")
     rows = hits.select("blob", "kind", "version", F.posexplode(F.arrays_zip("match", "value", "gap")).alias("at", "m")).filter("m.match is not null")
-    upto = Window.partitionBy("blob", "kind").orderBy("at")
-    rows = rows.withColumn("end", F.sum(F.length("m.gap") + F.length("m.match")).over(upto)).withColumn("start", F.col("end") - F.length("m.match"))
-    return rows.filter(F.length("m.value") >= F.element_at(least, F.col("kind"))).select("blob", "kind", "version", "start", "end")
+    rows = rows.select("blob", "kind", "version", "at", (F.length("m.gap") + F.length("m.match")).alias("step"), F.length("m.match").alias("size"), F.length("m.value").alias("held"))
+    # A blob that comes in several rows has each hit several times; one of them counts. The window needs no further exchange.
+    rows = rows.repartition("blob", "kind").dropDuplicates(["blob", "kind", "at"])
+    upto = Window.partitionBy("blob", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum("step").over(upto)).withColumn("start", F.col("end") - F.col("size"))
+    return rows.filter(F.col("held") >= F.element_at(least, F.col("kind"))).select("blob", "kind", "version", "start", "end")
 
 
 def scan_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New findings by blob, and the ledger rows (blob, kind, version) of this run.
 
-    Equal texts are one blob and are scanned once. A null text counts as empty; an
+    Equal texts are one blob and are scanned once, or as often as the first identifier
+    repeats; such hits count once. A null text counts as empty; an
     empty blob has no findings but is entered in the ledger. Repeated rows change
     nothing. Long texts are scanned whole. An empty table gives empty results.
     """

@@ -105,6 +105,17 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {r.doc_id: r.n_assign for r in both} == {1: 1, 2: 0, 3: 0, 4: 1}
 
 
+def test_repeated_rows_with_two_secrets(spark):
+    text = "é token: abcdefghijklmnop and secret = 'qrstuvwxyz012345' end"
+    single = secrets.scan_versions(docs(spark, [(1, text)]))[0].drop("blob").collect()
+    assert sorted((r.start, r.end) for r in single) == [(2, 25), (30, 56)]
+    for rows in ([(1, text), (1, text), (1, text), (2, text)], [(None, text), (None, text)]):
+        df = docs(spark, rows)
+        found = secrets.scan_versions(df)[0]
+        assert sorted(found.drop("blob").collect()) == sorted(single)
+        assert {(r.n_assign, r.spans) for r in secrets.report(df, found).collect()} == {(2, "assign:2:25,assign:30:56")}
+
+
 def test_quality_counts(spark, sf):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in QUERIES["op3_weak_supervision"](spark, sf).collect():
