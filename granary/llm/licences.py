@@ -1,10 +1,11 @@
 """Licence scan by diagonal voting (operator 8).
 
-Templates are short notices and licence passages. Every word k-gram of a text is
-joined by hash to the places of the same k-gram in the templates; a match votes for
-the diagonal (place in the text minus place in the template). Neighbouring diagonals
-of one template are one occurrence with words put in or left out; it counts when
-enough of the template's k-grams were found, compared as words, not only as hashes.
+Templates are whole licence texts, short notices and licence passages. Every word k-gram
+of a text is joined by hash to the places of the same k-gram in the templates; a match
+votes for the diagonal (place in the text minus place in the template). Neighbouring
+diagonals of one template are one occurrence with words put in or left out. Its span is
+verified: enough of the template's words must stand there, compared as words, and few
+others between them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import let
 
 GRAM = 3
 GAP = 2  # diagonals up to this far apart are neighbours
-COVERAGE = 0.6  # share of a template's k-grams
+COVERAGE = 0.6  # share of the words of a template, or of the span where that is longer
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -56,6 +57,49 @@ NOTICES = (
 )
 
 
+# Whole texts of short public licences, without names and years.
+LICENCES = (
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    Template(
+        "bsd-2-clause-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    Template(
+        "isc-text",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    Template(
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "3 this notice may not be removed or altered from any source distribution",
+    ),
+    Template(
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors "
+        "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+    ),
+)
+
+
 def licence_words(text: Column) -> Column:
     """Words of the A-Z lower-cased text: runs of ASCII letters, digits and non-ASCII characters."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,7 +107,7 @@ def licence_words(text: Column) -> Column:
 
 
 def template_places(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """(template, label, base, grams, size, gram, at): a row for each k-gram of each template.
+    """(template, label, base, words, size, gram, at): a row for each k-gram of each template.
 
     A template shorter than GRAM is one gram of its own size. The table is as large
     as the list of templates, a fixed bound.
@@ -72,69 +116,60 @@ def template_places(spark: SparkSession, templates: tuple[Template, ...]) -> Dat
     for number, t in enumerate(templates):
         ws = t.text.split(" ")
         k = min(GRAM, len(ws))
-        grams = [" ".join(ws[i : i + k]) for i in range(len(ws) - k + 1)]
-        rows += [(number, t.label, t.base, len(grams), k, g, i) for i, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, grams int, size int, gram string, at int")
+        rows += [(number, t.label, t.base, len(ws), k, " ".join(ws[i : i + k]), i) for i in range(len(ws) - k + 1)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, words int, size int, gram string, at int")
 
 
-def _grams_found(ws: Column, known: dict[int, list[str]]) -> Column:
-    """(at, gram) of the k-grams of the word array that some template has.
-
-    A first look at the word that starts a gram skips most places; a gram is built
-    only where that word opens a gram of a template.
-    """
+def word_grams(ws: Column, sizes: list[int]) -> Column:
+    """(at, gram) of every rolling k-gram of the word array, for each k of ``sizes``."""
 
-    def of_size(w: Column, k: int, grams: list[str]) -> Column:
-        opening = sorted({g.split(" ")[0] for g in grams})
+    def of_size(w: Column, k: int) -> Column:
+        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))
+        return F.transform(starts, lambda x, i: F.struct(i.alias("at"), F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]).alias("gram")))
 
-        def at_place(x: Column, i: Column) -> Column:
-            gram = F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)])
-            return F.when(x.isin(opening), F.struct(i.alias("at"), gram.alias("gram")))
+    return let(ws, lambda w: F.concat(*[of_size(w, k) for k in sizes]))
 
-        return F.filter(F.transform(w, at_place), lambda g: g.isNotNull() & g["gram"].isin(sorted(set(grams))))
 
-    return let(ws, lambda w: F.concat(*[of_size(w, k, grams) for k, grams in sorted(known.items())]))
+def occurrences(df: DataFrame, templates: tuple[Template, ...], text: Column, keys: list[str], gap: int = GAP, coverage: float = COVERAGE) -> DataFrame:
+    """Verified occurrences (keys, label, base, first, last, score) in the texts of ``df``;
+    first and last are places of words, the score is the number of the template's words found,
+    over its words or over those of the span, whichever are more.
 
-
-def occurrences(df: DataFrame, templates: tuple[Template, ...], keys: list[str], found_col: str, gap: int = GAP, coverage: float = COVERAGE) -> DataFrame:
-    """Verified occurrences (keys, label, base, first, last, score); first and last are places of words."""
-    spark = df.sparkSession
-    places = template_places(spark, templates)
-    votes = df.select(*keys, F.explode(found_col).alias("_g")).select(*keys, F.col("_g.at").alias("place"), F.col("_g.gram").alias("gram"))
-    votes = votes.withColumn("hash", F.xxhash64("gram"))
-    places = places.select("template", "label", "base", "grams", "size", "at", F.xxhash64("gram").alias("_hash"), F.col("gram").alias("_gram"))
-    same = (votes["hash"] == places["_hash"]) & (votes["gram"] == places["_gram"])  # by hash, then as words
-    votes = votes.join(F.broadcast(places), same).withColumn("diagonal", F.col("place") - F.col("at"))
-    by = [*keys, "template", "label", "base", "grams", "size", "diagonal"]
+    The grams of a text stay in its task: the join is against the table of templates,
+    which is broadcast, and only matches are shuffled. Base phrases count place by place.
+    """
+    places = template_places(df.sparkSession, templates)
+    sizes = sorted({min(GRAM, len(t.text.split(" "))) for t in templates})
+    grams = df.select(*keys, F.explode(word_grams(licence_words(text), sizes)).alias("_g")).select(*keys, F.col("_g.at").alias("place"), F.col("_g.gram").alias("gram"))
+    places = places.select("template", "label", "base", "words", "size", "at", F.xxhash64("gram").alias("_hash"), F.col("gram").alias("_gram"))
+    same = (F.xxhash64("gram") == F.col("_hash")) & (F.col("gram") == F.col("_gram"))  # by hash, then as words
+    votes = grams.join(F.broadcast(places), same).withColumn("diagonal", F.col("place") - F.col("at"))
+    by = [*keys, "template", "label", "base", "words", "size", "diagonal"]
     # Repeated rows vote once: places are distinct on a diagonal.
     lines = votes.groupBy(*by).agg(F.collect_set("at").alias("seen"), F.min("place").alias("first"), F.max("place").alias("last"))
     order = Window.partitionBy(*keys, "template").orderBy("diagonal")
-    near = F.when(F.col("base") | (F.col("grams") == 1), F.lit(1)).otherwise(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
+    near = F.when(F.col("base") | (F.col("words") <= GRAM), F.lit(1)).otherwise(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
     runs = lines.withColumn("_new", near).withColumn("_run", F.sum("_new").over(order))
-    whole = runs.groupBy(*keys, "template", "label", "base", "grams", "size", "_run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("hit"), F.min("first").alias("first"), F.max("last").alias("last"))
-    score = F.col("hit") / F.col("grams")
-    return whole.withColumn("score", score).filter(score >= coverage).select(*keys, "label", "base", "first", (F.col("last") + F.col("size") - 1).alias("last"), "score")
+    whole = runs.groupBy(*keys, "template", "label", "base", "words", "size", "_run").agg(F.flatten(F.collect_list("seen")).alias("seen"), F.min("first").alias("first"), F.max("last").alias("last"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda at: F.sequence(at, at + F.col("size") - 1)))))
+    last = F.col("last") + F.col("size") - 1
+    found = whole.select(*keys, "label", "base", "first", last.alias("last"), (covered / F.greatest(F.col("words"), last - F.col("first") + 1)).alias("score"))
+    return found.filter(F.col("score") >= coverage)
 
 
-def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
+def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = BASE + NOTICES + LICENCES) -> DataFrame:
     """One row for each row of ``df``: identifier, ``n_words``, ``n_base`` (places of base
     phrases), ``first_word`` and ``last_word`` (their smallest and largest start),
     ``base_labels``, ``labels`` (with those of other templates), ``score`` (largest
-    covered share of a template, 0 without any) and ``spans`` (label, first, last).
+    score of an occurrence, 0 without any) and ``spans`` (label, first, last).
 
     A null text counts as empty: no words, no labels, null places, score 0. Repeated
     rows get the result of their text each. Overlapping occurrences all count. Texts are
     read whole; an empty table gives an empty result. Other columns are not used.
     """
-    known: dict[int, list[str]] = {}
-    for t in templates:
-        ws = t.text.split(" ")
-        k = min(GRAM, len(ws))
-        known.setdefault(k, []).extend(" ".join(ws[i : i + k]) for i in range(len(ws) - k + 1))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = df.select(F.col(id_col), F.xxhash64(text).alias("_text"), text.alias("_t"))
-    found = keyed.select(id_col, "_text", _grams_found(licence_words(F.col("_t")), known).alias("_found"))
-    spans = occurrences(found, templates, [id_col, "_text"], "_found")
+    spans = occurrences(keyed, templates, F.col("_t"), [id_col, "_text"])
     per = spans.groupBy(F.col(id_col).alias("_i"), F.col("_text").alias("_k")).agg(
         F.sum(F.col("base").cast("long")).alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).alias("first_word"),

@@ -9,128 +9,164 @@ its documents, and the last pass is the prefix of its permutation that fits.
 
 Every decision on a document compares hashes with one row of its source, so the
 texts are never shuffled and a source that holds a third of the corpus is no
-special case.
+special case. Where the last pass of a source ends is found by descent: sums over
+ranges of block keys, over the blocks of one range, over the rows of one block.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, text_of, words
+from .common import cut, new_folder, spread_join, text_of, word_count
 
 # Production parameters of the registered query and the pipeline stage.
 TARGET_ENTROPY = 0.95  # of ln(number of sources)
-MAX_REPEATS = 4.0  # passes over the most repeated source, against the least repeated one
+MAX_REPEATS = 4.0  # passes over a source
 BLOCK_ROWS = 1024  # expected documents of a block
-MAX_SOURCES = 100_000  # bound of the table on the driver and of the broadcast
+BROADCAST_SOURCES = 100_000  # bound of the tables of sources that are broadcast or collected; more are joined by key
 SEED = 17
+ADDED = ("mix_tokens", "mix_weight", "mix_budget", "mix_pass", "mix_block", "mix_row", "mix_pos")
 
+# sum of t**a and of t**a * ln(t) over the token shares t of all sources, for each of some exponents a.
+Sums = Callable[[list[float]], list[tuple[float, float]]]
 
-@dataclass(frozen=True)
-class SourcePlan:
-    source: str | None
-    rows: int
-    tokens: int
-    weight: float
-    budget: int
-    passes: int  # whole passes
-    rest: int  # tokens of the last, partial pass
-    blocks: int
 
+def entropy(exponent: float, sums: tuple[float, float]) -> float:
+    """Entropy of the weights: ln(S) - a * L / S for the sums S and L."""
+    return math.log(sums[0]) - exponent * sums[1] / sums[0]
 
-def tempered(tokens: list[int], exponent: float) -> list[float]:
-    """Normalised weights of sources for one exponent."""
-    top = max(tokens)
-    raw = [(t / top) ** exponent for t in tokens]
-    total = math.fsum(raw)
-    return [x / total for x in raw]
 
+def boundary(ok: Callable[[float, tuple[float, float]], bool], sums: Sums, rounds: int = 10, ways: int = 16) -> tuple[float, float]:
+    """Neighbouring exponents around the place in [0, 1] where ``ok`` changes from true to false.
 
-def entropy(weights: list[float]) -> float:
-    return -math.fsum(w * math.log(w) for w in weights if w > 0)
-
-
-def repeats(tokens: list[int], weights: list[float]) -> float:
-    """How many times oftener the most repeated source is seen than the least repeated."""
-    rates = [w / t for w, t in zip(weights, tokens, strict=True)]
-    return max(rates) / min(rates)
+    Bisection with ``ways`` trial exponents a round, as each round may be a pass over
+    the table of sources.
+    """
+    low, high = 0.0, 1.0
+    for _ in range(rounds):
+        trials = [low + (high - low) * k / (ways + 1) for k in range(1, ways + 1)]
+        good = [ok(a, s) for a, s in zip(trials, sums(trials), strict=True)]
+        first = good.index(False) if False in good else ways
+        low, high = ([low, *trials][first], [*trials, high][first])
+    return low, high
 
 
-def bisect_exponent(tokens: list[int], target_entropy: float | None, max_repeats: float | None, steps: int = 60) -> float:
+def choose_exponent(sources: int, least: float, most: float, sums: Sums, target_entropy: float | None, max_repeats: float | None, volume: float | None) -> float:
     """The largest exponent in [0, 1] that meets the entropy target, raised to meet the limit.
 
-    Entropy falls and the repetition ratio falls as the exponent grows, so each
+    ``least`` and ``most`` are the smallest and largest share; ``volume`` is the budget over
+    all tokens, or None for the volume at which the least repeated source is seen once.
+    Entropy and the passes over the smallest source fall as the exponent grows, so each
     condition cuts the interval at one point. The repetition limit wins.
     """
-    if len(tokens) < 2:
+    if sources < 2:
         return 1.0
 
-    def cut(ok, keep_low: bool) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(steps):
-            middle = (low + high) / 2
-            if ok(tempered(tokens, middle)) == keep_low:
-                low = middle
-            else:
-                high = middle
-        return low if keep_low else high
+    def passes(a: float, s: tuple[float, float]) -> float:
+        return (most / least) ** (1 - a) if volume is None else least ** (a - 1) / s[0] * volume
 
     chosen = 1.0
     if target_entropy is not None:
-        goal = target_entropy * math.log(len(tokens))
-        if entropy(tempered(tokens, 1.0)) < goal:
-            chosen = cut(lambda w: entropy(w) >= goal, True)
-    if max_repeats is not None and repeats(tokens, tempered(tokens, chosen)) > max_repeats:
-        chosen = cut(lambda w: repeats(tokens, w) <= max_repeats, False)
+        goal = target_entropy * math.log(sources)
+        if entropy(1.0, sums([1.0])[0]) < goal:
+            chosen = boundary(lambda a, s: entropy(a, s) >= goal, sums)[0]
+    if max_repeats is not None and passes(chosen, sums([chosen])[0]) > max_repeats:
+        chosen = boundary(lambda a, s: passes(a, s) > max_repeats, sums)[1]
     return chosen
 
 
-def plan_sources(totals: list[tuple[str | None, int, int]], target_entropy: float | None, max_repeats: float | None, budget: int | None, block_rows: int) -> list[SourcePlan]:
-    """Weights and whole budgets of sources given as (source, rows, tokens).
+def _hash(*cols: Column) -> Column:
+    """A hash in [0, 2**62), so that sums and comparisons never overflow."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 2)
+
+
+def named_source(source: Column) -> Column:
+    """A source as a join key: null is a source of its own."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-"))
+
 
-    Without a budget, the total is the one at which the least repeated source is
-    seen exactly once: no document is left out.
+def block_key(seed: int, source: Column, ident: Column, mix_pass: Column, blocks: Column) -> Column:
+    """Place of the block of a document in the permutation of one pass over its source."""
+    block = F.pmod(_hash(F.lit(seed), mix_pass, ident), blocks)
+    return _hash(F.lit(seed + 1), mix_pass, source, block)
+
+
+def row_key(seed: int, ident: Column, mix_pass: Column) -> Column:
+    """Place of a document in its block in one pass."""
+    return _hash(F.lit(seed + 2), mix_pass, ident)
+
+
+def plan_sources(slim: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(src, tokens, weight, budget, passes, rest, blocks) of the sources of ``slim`` (src, n).
+
+    ``passes`` whole passes and ``rest`` tokens of the last one make up the budget.
+    Without a budget, the total is the one at which the least repeated source is seen
+    exactly once: no document is left out. A budget so large that even natural shares
+    would exceed the repetition limit is lowered to what the limit allows.
+    """
+    totals = cut(slim.groupBy("src").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")))
+    whole = totals.agg(F.count(F.lit(1)).alias("sources"), F.sum("tokens").alias("all"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    share = F.col("tokens") / F.lit(float(whole["all"] or 1))
+    if whole.sources <= BROADCAST_SOURCES:
+        shares = [r[0] for r in totals.select(share).collect()]
+
+        def sums(trials: list[float]) -> list[tuple[float, float]]:
+            return [(math.fsum(t**a for t in shares), math.fsum(t**a * math.log(t) for t in shares)) for a in trials]
+    else:
+
+        def sums(trials: list[float]) -> list[tuple[float, float]]:
+            row = totals.agg(*[f for a in trials for f in (F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share)))]).first()
+            return list(zip(row[::2], row[1::2], strict=True))
+
+    if not whole.sources:
+        exponent, scale, total = 1.0, 1.0, 0.0
+    else:
+        least, most = whole.least / whole["all"], whole.most / whole["all"]
+        volume = None if budget is None else budget / whole["all"]
+        exponent = choose_exponent(whole.sources, least, most, sums, target_entropy, max_repeats, volume)
+        scale = sums([exponent])[0][0]
+        total = most ** (1 - exponent) * scale * whole["all"] if budget is None else float(budget)
+        if max_repeats is not None:
+            top = least ** (exponent - 1) / scale * total / whole["all"]
+            total *= min(1.0, max_repeats / top) if budget is not None and top > 0 else 1.0
+    weight = F.pow(share, F.lit(exponent)) / F.lit(scale)
+    granted = F.greatest(F.lit(0), F.bround(weight * F.lit(total)).cast("long"))
+    granted = F.greatest(granted, F.col("tokens")) if budget is None else granted
+    plan = totals.select("src", "rows", "tokens", weight.alias("weight"), granted.cast("long").alias("budget"))
+    return plan.select("src", "tokens", "weight", "budget", F.floor(F.expr("budget div tokens")).cast("long").alias("passes"), (F.col("budget") % F.col("tokens")).alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).cast("long").alias("blocks"))
+
+
+def _last_places(partial: DataFrame) -> DataFrame:
+    """(src, last, stop): the block and the row key in it at which the last pass of each source ends.
+
+    ``partial`` (src, n, rest, mix_block, mix_row) has a row for each document in the
+    last pass. Each level sums tokens over the children of one node, so no task orders
+    more than 4096 ranges, the blocks of a range, or the rows of a block of one source.
     """
-    if not totals:
-        return []
-    totals = sorted(totals, key=lambda x: (x[0] is not None, x[0] or ""))
-    tokens = [t for _, _, t in totals]
-    weights = tempered(tokens, bisect_exponent(tokens, target_entropy, max_repeats))
-    total = budget if budget is not None else max(t / w for t, w in zip(tokens, weights, strict=True))
-    out = []
-    for (source, rows, t), w in zip(totals, weights, strict=True):
-        share = max(0, round(w * total))
-        if budget is None:
-            share = max(share, t)
-        out.append(SourcePlan(source, rows, t, w, share, share // t, share % t, max(1, -(-rows // block_rows))))
-    return out
-
-
-_PLAN = T.StructType(
-    [
-        T.StructField("_source", T.StringType()),
-        T.StructField("_tokens", T.LongType()),
-        T.StructField("_weight", T.DoubleType()),
-        T.StructField("_budget", T.LongType()),
-        T.StructField("_passes", T.LongType()),
-        T.StructField("_rest", T.LongType()),
-        T.StructField("_blocks", T.LongType()),
-    ]
-)
 
+    def ends_in(df: DataFrame, by: str, left: str) -> DataFrame:
+        """For each source the ``by`` in which ``left`` tokens end, and the tokens left there."""
+        sums = df.groupBy("src", by).agg(F.sum("n").alias("sum"), F.first(left).alias("left"))
+        order = Window.partitionBy("src").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        found = sums.withColumn("end", F.sum("sum").over(order)).filter("end > left and end - sum <= left")
+        return found.select("src", by, (F.col("left") - F.col("end") + F.col("sum")).alias("inner"))
 
-def _hash(*cols: Column) -> Column:
-    """A hash in [0, 2**62), so that sums and comparisons never overflow."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 2)
+    # 2**62 keys in 4096 ranges.
+    ranged = partial.withColumn("range", F.shiftrightunsigned("mix_block", 50))
+    in_range = ranged.join(ends_in(ranged, "range", "rest"), ["src", "range"])
+    blocks = in_range.join(ends_in(in_range, "mix_block", "inner").withColumnRenamed("inner", "held"), ["src", "mix_block"])
+    upto = Window.partitionBy("src").orderBy("mix_row", "n").rowsBetween(Window.unboundedPreceding, 0)
+    fits = blocks.withColumn("end", F.sum("n").over(upto))
+    stop = F.min(F.when(F.col("end") > F.col("held"), F.col("mix_row")))
+    return fits.groupBy("src").agg(F.coalesce(stop, F.lit(-1).cast("long")).alias("stop"), F.first("mix_block").alias("last"))
 
 
-def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """Every row of ``df`` once for each pass that takes it, with all its columns.
 
     Adds ``mix_tokens`` (words and one end mark, so an empty or null text counts 1),
@@ -139,48 +175,32 @@ def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_
     by (mix_pos, mix_row) the result is a stream whose prefixes hold the sources in
     proportion to their weights, block by block.
 
-    A null source is a source of its own. Repeated rows count as rows; equal rows
-    share their keys. An empty table gives an empty result. Over ``max_sources``
-    sources raise ValueError. Columns of ``df`` that start with ``mix_`` and clash
-    are replaced.
+    ``max_repeats`` bounds the passes over every source, whatever the budget. A null
+    source is a source of its own. Repeated rows count as rows; equal rows share their
+    keys. An empty table gives an empty result. Columns of ``df`` with the added names
+    are replaced, all others stay as they are, whatever their names.
     """
     spark = df.sparkSession
-    count = F.size(words(text_of(text_col))) + 1
-    slim = cut(df.select(F.col(source_col).cast("string").alias("_source"), F.col(id_col).alias("_id"), count.cast("long").alias("_n")))
-    totals = slim.groupBy("_source").agg(F.count(F.lit(1)).alias("rows"), F.sum("_n").alias("tokens")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    plans = plan_sources([(r[0], r[1], r[2]) for r in totals], target_entropy, max_repeats, budget, block_rows)
-    table = spark.createDataFrame([(p.source, p.tokens, p.weight, p.budget, p.passes, p.rest, p.blocks) for p in plans], _PLAN)
-
-    def keyed(rows: DataFrame, plan: DataFrame, passes: Column) -> DataFrame:
-        """rows with their source's plan, a row for each pass, and the keys of that pass."""
-        out = rows.join(F.broadcast(plan), F.col("_src").eqNullSafe(F.col("_source")), "inner").withColumn("mix_pass", F.explode(passes))
-        block = F.pmod(_hash(F.lit(seed), F.col("mix_pass"), F.col("_id")), F.col("_blocks"))
-        out = out.withColumn("mix_block", _hash(F.lit(seed + 1), F.col("mix_pass"), F.col("_src"), block))
-        return out.withColumn("mix_row", _hash(F.lit(seed + 2), F.col("mix_pass"), F.col("_id")))
-
-    # The last pass: sum tokens by block, find the block in which the budget ends, and the row within it.
-    partial = keyed(slim.withColumnRenamed("_source", "_src"), table.filter("_rest > 0"), F.array("_passes"))
-    by_block = partial.groupBy("_src", "mix_block").agg(F.sum("_n").alias("_sum"), F.first("_rest").alias("_rest"))
-    order = Window.partitionBy("_src").orderBy("mix_block")
-    last = by_block.withColumn("_end", F.sum("_sum").over(order)).filter("_end > _rest and _end - _sum <= _rest")
-    last = last.select(F.col("_src").alias("_psrc"), F.col("mix_block").alias("_last"), (F.col("_rest") - F.col("_end") + F.col("_sum")).alias("_left"))
-    inside = partial.join(F.broadcast(last), F.col("_src").eqNullSafe(F.col("_psrc")) & (F.col("mix_block") == F.col("_last")), "inner")
-    upto = Window.partitionBy("_src").orderBy("mix_row", "_n")
-    fits = inside.withColumn("_end", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = fits.groupBy("_src").agg(F.min(F.when(F.col("_end") > F.col("_left"), F.col("mix_row"))).alias("_stop"), F.first("_last").alias("_last"))
-    ends = ends.select(F.col("_src").alias("_esrc"), "_last", F.coalesce("_stop", F.lit(-1).cast("long")).alias("_stop"))
-    bounded = table.join(F.broadcast(ends), F.col("_source").eqNullSafe(F.col("_esrc")), "left").drop("_esrc")
-
-    rows = df.drop(*[c for c in df.columns if c in ("mix_tokens", "mix_weight", "mix_budget", "mix_pass", "mix_block", "mix_row", "mix_pos")])
-    rows = rows.withColumns({"_src": F.col(source_col).cast("string"), "_id": F.col(id_col), "mix_tokens": count.cast("long")})
-    last_pass = F.when(F.col("_rest") > 0, F.col("_passes")).otherwise(F.col("_passes") - 1)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    whole = df.select(row, named_source(F.col(source_col)).alias("src"), F.col(id_col).alias("id"), (word_count(text_of(text_col)) + 1).alias("n"))
+    slim = cut(whole.select("src", "id", "n"), new_folder(spark, "mix"))
+    plan = cut(plan_sources(slim, target_entropy, max_repeats, budget, block_rows))
+    small = plan.count() <= BROADCAST_SOURCES
+
+    def planned(rows: DataFrame, table: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(table), "src") if small else spread_join(rows, table, "src", F.col("id"))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        block = block_key(seed, F.col("src"), F.col("id"), F.col("mix_pass"), F.col("blocks"))
+        return rows.withColumns({"mix_block": block, "mix_row": row_key(seed, F.col("id"), F.col("mix_pass"))})
+
+    ends = _last_places(keyed(planned(slim, plan.filter("rest > 0")).withColumn("mix_pass", F.col("passes"))))
+    bounded = cut(plan.join(ends, "src", "left"))
+    last_pass = F.when(F.col("rest") > 0, F.col("passes")).otherwise(F.col("passes") - 1)
     passes = F.when(last_pass >= 0, F.sequence(F.lit(0).cast("long"), last_pass)).otherwise(F.array().cast("array<long>"))
-    out = keyed(rows, bounded, passes)
-    whole = F.col("mix_pass") < F.col("_passes")
-    taken = (F.col("mix_block") < F.col("_last")) | ((F.col("mix_block") == F.col("_last")) & (F.col("mix_row") < F.col("_stop")))
-    out = out.filter(whole | taken)
-    rate = F.col("_budget") / F.col("_tokens")
-    out = out.withColumns({"mix_weight": F.col("_weight"), "mix_budget": F.col("_budget"), "mix_pos": (F.col("mix_pass") + F.col("mix_block") / F.lit(2.0**62)) / rate})
-    return out.select(*rows.drop("_src", "_id", "mix_tokens").columns, "mix_tokens", "mix_weight", "mix_budget", "mix_pass", "mix_block", "mix_row", "mix_pos")
+    out = keyed(planned(whole, bounded).withColumn("mix_pass", F.explode(passes)))
+    taken = (F.col("mix_block") < F.col("last")) | ((F.col("mix_block") == F.col("last")) & (F.col("mix_row") < F.col("stop")))
+    out = out.filter((F.col("mix_pass") < F.col("passes")) | taken)
+    out = out.withColumn("mix_pos", (F.col("mix_pass") + F.col("mix_block") / F.lit(2.0**62)) / (F.col("budget") / F.col("tokens")))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ADDED]
+    return out.select(*kept, F.col("n").alias("mix_tokens"), F.col("weight").alias("mix_weight"), F.col("budget").alias("mix_budget"), "mix_pass", "mix_block", "mix_row", "mix_pos")

@@ -10,10 +10,12 @@ signature distance shares a key, and candidates are confirmed on the full sets.
 
 Texts with one and the same set are one class. Within the rows of a key only links
 between different components matter, so pairs are not enumerated: first each row is
-held against the most widely shared member of its keys, and then only rows of keys that
-are still in different components are compared, where their rarest shingles allow
-a link at all. That last step is a prefix-filter join on the sets, not a join on the
-keys; it holds all rows of open keys against each other, at any signature distance.
+held against the most widely shared member of its keys. A pair within the signature
+distance that is still in different components then lies in an open key, one whose rows
+are not yet all in one component. All rows of open keys are held against each other, and
+of their pairs only those are left out that their shingle counts rule out for certain:
+so every pair under the signature distance is either in one component, impossible, or
+confirmed on the full sets. Full sets are sets of 64-bit hashes of whole shingles.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, let, text_of, words
+from .common import cut, let, new_folder, remove, spread_join, text_of, words
 
 SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 12, 6, 1  # ERRORS: differing places enumerated in a chunk
@@ -36,6 +38,7 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BITS = 14
 LANES = 4  # places in one integer of a signature
 LEAST = 85  # similarity in hundredths, of the contract
+BLOCK = 256  # rows of one shingle that meet in a task
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
@@ -142,26 +145,28 @@ def shingle_set(text: Column) -> Column:
     return let(words(lower), of)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str) -> DataFrame:
     """(id, root) for every node of the undirected edges (a, b): the smallest node it reaches.
 
     Large-star and small-star steps in turn until the edges form stars; each step
-    joins an edge table with one row per node, and is written to the shared folder.
+    joins an edge table with one row per node, and is written to ``folder``.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    spark, step = edges.sparkSession, 0
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), f"{folder}/0")
     seen = None
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        seen = mark
+        seen, step = mark, step + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(small.distinct())
+        now = cut(small.distinct(), f"{folder}/{step}")
+        remove(spark, f"{folder}/{step - 1}")
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -172,30 +177,34 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.join(two, (joined["b"] == two["b"]) & (distance(F.col("_sa"), F.col("_sb")) <= DISTANCE)).select("a", joined["b"])
 
 
-def shingle_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, set) of the rows of ``df`` named in ``ids`` (id), written to the shared folder."""
+def shingle_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """(id, set) of the rows of ``df`` named in ``ids`` (id), as a table in ``path``."""
     wanted = ids.select(F.col("id").alias("_n")).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("_text"))
-    return cut(texts.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("_n"), "left_semi").select("id", shingle_set(F.col("_text")).alias("set")))
+    return cut(texts.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("_n"), "left_semi").select("id", shingle_set(F.col("_text")).alias("set")), path)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    # A shared member of keys (b) may be in many pairs: its set joins last and is not shuffled again.
-    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b")
+    """Those of the table of pairs (a, b) whose full shingle sets are similar enough."""
+    # A shared member of keys (b) may be in many pairs: they are dealt over tasks, each with its set.
+    found = spread_join(pairs, sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b", F.col("a"))
+    found = found.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a")
     both = F.size(F.array_intersect("_x", "_y"))
     return found.filter(100 * both >= least * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
 
-def open_pairs(rest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of ``rest`` (id, root) in different components that can be similar
-    enough. Only pairs that cannot be are left out; ``confirm`` decides the others.
+def open_pairs(rest: DataFrame, sets: DataFrame, least: int, folder: str) -> DataFrame:
+    """Pairs (a, b), a < b, of ``rest`` (id, root) in different components that can be
+    similar enough. Only pairs that cannot be are left out; ``confirm`` decides the others.
 
     Two sets that are share one of their rarest shingles: of a set of n, one of the
     n - ceil(n * least / 100) + 1 rarest. The texts of a large group of loose copies
     differ in shingles of their own, so most of them meet nobody here. Where two sets
     meet in a shingle, they share at most that one, as many rarer ones as the lesser
-    has that others hold too, and as many commoner ones as the lesser has.
+    has that others hold too, and as many commoner ones as the lesser has. Of two sets
+    with more than (100 - least) / (100 + least) of their shingles to themselves, none
+    is similar enough; so one of each pair is ``light``, with fewer. The rows of a shingle
+    that many hold are cut into blocks, and two blocks at a time meet in a task.
     """
     each = sets.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", F.explode("set").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
@@ -205,14 +214,21 @@ def open_pairs(rest: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     rare = rare.withColumn("own", F.size(F.filter("rare", lambda r: r["n"] == 1)))
     # A shingle of one text, or of one component, makes no pair.
     places = rare.select("id", "size", "own", F.posexplode("rare").alias("at", "r")).filter("r.n > 1")
-    places = cut(places.select("id", "size", F.col("r.shingle").alias("shingle"), (F.col("at") - F.col("own")).alias("rarer"), (F.col("size") - F.col("at") - 1).alias("commoner")).join(rest, "id"))
-    mixed = places.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle")
-    places = cut(places.join(mixed, "shingle", "left_semi"))
-    named = lambda own, mark: places.select("shingle", F.col("id").alias(own), *[F.col(c).alias(f"_{c}_{mark}") for c in ("root", "size", "rarer", "commoner")])
-    one, two = named("a", "a"), named("b", "b")
-    both = F.least("_rarer_a", "_rarer_b") + 1 + F.least("_commoner_a", "_commoner_b")
-    met = (one["shingle"] == two["shingle"]) & (F.col("_root_a") < F.col("_root_b")) & ((100 + least) * both >= least * (F.col("_size_a") + F.col("_size_b")))
-    return one.join(two, met).select("a", "b").distinct()
+    light = (100 + least) * F.col("own") <= (100 - least) * F.col("size")
+    places = places.select("id", "size", light.alias("light"), F.col("r.shingle").alias("shingle"), (F.col("at") - F.col("own")).alias("rarer"), (F.col("size") - F.col("at") - 1).alias("commoner"))
+    places = cut(places.join(rest, "id"), f"{folder}/places")
+    mixed = places.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("light").alias("any")).filter("lo < hi and any")
+    mixed = cut(mixed.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"{folder}/mixed")
+    placed = spread_join(places, mixed, "shingle", F.col("id")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    turn = F.sequence(F.lit(0), F.col("blocks") - 1)
+    named = lambda mark: [F.col("id").alias("a" if mark == "a" else "b"), *[F.col(c).alias(f"{c}_{mark}") for c in ("root", "size", "light", "rarer", "commoner")]]
+    one = placed.filter("light").select("shingle", F.col("block").alias("i"), F.explode(turn).alias("j"), *named("a"))
+    two = placed.select(F.col("shingle").alias("_shingle"), F.explode(turn).alias("_i"), F.col("block").alias("_j"), *named("b"))
+    both = F.least("rarer_a", "rarer_b") + 1 + F.least("commoner_a", "commoner_b")
+    enough = (100 + least) * both >= least * (F.col("size_a") + F.col("size_b"))
+    once = (F.col("root_a") < F.col("root_b")) | ((F.col("root_a") > F.col("root_b")) & ~F.col("light_b"))
+    met = (F.col("shingle") == F.col("_shingle")) & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")) & once & enough
+    return one.join(two, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -228,29 +244,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if least < 80:
         raise ValueError("similarity must be 80 hundredths or more")
-    signed = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sign, _SIGNED))
-    classes = cut(signed.filter("set_id is not null and id is not null").groupBy("set_id").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    spark = df.sparkSession
+    folder = new_folder(spark, "neardup")
+    signed = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_sign, _SIGNED), f"{folder}/signed")
+    classes = cut(signed.filter("set_id is not null and id is not null").groupBy("set_id").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), f"{folder}/classes")
     keys = classes.select("id", "sig").mapInArrow(_keys, _KEYED)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut(keys.join(shared, "key"))
+    members = cut(keys.join(shared, "key"), f"{folder}/members")
 
     width = members.groupBy("id").agg(F.sum("n").alias("width"))
     hubs = members.join(width, "id").groupBy("key").agg(F.max(F.struct("width", (-F.col("id")).alias("m"))).alias("h"))
     tried = members.join(hubs, "key").select(F.col("id").alias("a"), (-F.col("h.m")).alias("b")).filter("a <> b").distinct()
-    tried = cut(_near(tried, classes))
-    sets = shingle_sets(members.select("id"), df, id_col, text_col)  # once, for both confirmations: the texts are shuffled for it
-    links = cut(confirm(tried, sets, least))
-    roots = components(links)
+    tried = cut(_near(tried, classes), f"{folder}/tried")
+    sets = shingle_sets(members.select("id"), df, id_col, text_col, f"{folder}/sets")  # once, for both confirmations: the texts are shuffled for it
+    links = cut(confirm(tried, sets, least), f"{folder}/links")
+    roots = components(links, f"{folder}/stars")
 
     placed = members.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = cut(placed.join(open_keys, "key", "left_semi").select("id", "root").distinct())
-    done = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut(open_pairs(rest, sets, least).join(done, ["a", "b"], "left_anti"))
-    further = cut(confirm(more, sets, least))
+    rest = cut(placed.join(open_keys, "key", "left_semi").select("id", "root").distinct(), f"{folder}/rest")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut(open_pairs(rest, sets, least, folder).join(done, ["a", "b"], "left_anti"), f"{folder}/more")
+    further = cut(confirm(more, sets, least), f"{folder}/further")
     if not further.isEmpty():
-        roots = components(links.unionByName(further))
+        roots = components(links.unionByName(further), f"{folder}/stars-2")
+    for name in ("members", "tried", "sets", "rest", "places", "mixed", "more"):
+        remove(spark, f"{folder}/{name}")
 
     named = classes.select("set_id", "id").join(roots, "id", "left").select("set_id", F.coalesce("root", "id").alias("component_id"))
-    out = signed.join(named, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = spread_join(signed, named, "set_id", F.col("id"), "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

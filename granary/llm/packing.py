@@ -5,8 +5,9 @@ minimise padding over the whole corpus come from dynamic programming over the
 global length histogram, whose size is bounded whatever the corpus: lengths below
 512 are exact, longer ones fall into cells one 256th of their size wide, and each
 cell keeps its count, sum and largest length. Inside a bucket rows take the order
-of a hash and are cut into batches of a token budget; the exact position of a row
-comes from block counts, so a bucket with most of the rows is no single task.
+of a hash, or that of the stream they come from, and are cut into batches of a token
+budget; the exact position of a row comes from block counts, so a bucket with most of
+the rows is no single task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, words
+from .common import cut, text_of, word_count
 
 # Production parameters of the registered query and the pipeline stage.
 BUCKETS = 16
@@ -66,7 +67,7 @@ def optimal_limits(cells: list[tuple[int, int]], buckets: int) -> list[int]:
     return limits[::-1]
 
 
-def pack(df: DataFrame, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pack(df: DataFrame, length: Column | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, block_rows: int = BLOCK_ROWS, order: tuple[Column, Column] | None = None) -> DataFrame:
     """All rows and columns of ``df`` with their place in a batch.
 
     Adds ``pack_tokens`` (``length``, or the words of the text and one end mark),
@@ -74,41 +75,57 @@ def pack(df: DataFrame, length: Column | None = None, id_col: str = "doc_id", te
     in its bucket), ``pack_slot`` (from 0 in its batch). A batch of a bucket with limit
     b holds ``max(1, token_budget // b)`` rows; only the last of a bucket is shorter.
 
+    Within a bucket rows follow the hash of their identifier or, for a stream that has
+    an order, ``order``: the part of the stream (string) and the place in that part
+    (integer from 0).
+
     A null or negative length counts as 0, a null or empty text as 1 token. A row
     longer than the budget is a batch of its own and stays whole. Equal and repeated
-    rows are packed one by one. An empty table gives an empty result. Clashing
-    ``pack_*`` columns of ``df`` are replaced.
+    rows are packed one by one. An empty table gives an empty result. Columns of ``df``
+    with the added names are replaced, all others stay, whatever their names.
     """
-    spark = df.sparkSession
-    size = F.size(words(text_of(text_col))) + 1 if length is None else F.greatest(F.coalesce(length, F.lit(0)), F.lit(0))
+    size = word_count(text_of(text_col)) + 1 if length is None else F.greatest(F.coalesce(length, F.lit(0)), F.lit(0))
     added = ("pack_tokens", "pack_bucket", "pack_limit", "pack_batch", "pack_slot")
-    rows = df.drop(*[c for c in df.columns if c in added]).withColumn("pack_tokens", size.cast("long"))
-    sizes = rows.select("pack_tokens").groupBy("pack_tokens").count()
-    cells = sizes.groupBy(length_cell(F.col("pack_tokens")).alias("cell")).agg(F.max("pack_tokens").alias("longest"), F.sum("count").alias("n"))
-    limits = optimal_limits([(r.longest, r.n) for r in sorted(cells.collect())], buckets)
-    if not limits:
-        limits = [0]
-
-    bucket, limit = F.lit(len(limits) - 1), F.lit(limits[-1])
-    for k in range(len(limits) - 2, -1, -1):
-        bucket = F.when(F.col("pack_tokens") <= limits[k], F.lit(k)).otherwise(bucket)
-        limit = F.when(F.col("pack_tokens") <= limits[k], F.lit(limits[k])).otherwise(limit)
-    rows = rows.withColumns({"pack_bucket": bucket.cast("int"), "pack_limit": limit.cast("long")})
-
-    counts = {r.pack_bucket: r.n for r in rows.groupBy("pack_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.lit(1)
-    for k, n in counts.items():
-        blocks = F.when(F.col("pack_bucket") == k, F.lit(max(1, -(-n // block_rows)))).otherwise(blocks)
-    # The block is never null, so the join below adds no null check, which would count the words anew for each limit.
+    columns = [c for c in df.columns if c not in added]
     key = F.shiftrightunsigned(F.xxhash64(F.lit("pack"), F.col(id_col)), 2)
-    keyed = rows.withColumn("_key", key).withColumn("_block", F.coalesce(F.floor(F.col("_key") / F.lit(2.0**62) * blocks), F.lit(0).cast("long")))
-    before = Window.partitionBy("pack_bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("pack_bucket", "_block").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select("pack_bucket", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("pack_bucket", "_block").orderBy("_key", "pack_tokens")
-    placed = keyed.withColumn("_at", F.row_number().over(inside) - 1).join(starts, ["pack_bucket", "_block"])
-    place, per_batch = F.col("_at") + F.col("_start"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("pack_limit"), F.lit(1))))
-    out = placed.withColumns({"pack_batch": F.floor(place / per_batch).cast("long"), "pack_slot": (place % per_batch).cast("long")})
-    return out.select(*df.drop(*[c for c in df.columns if c in added]).columns, *added)
-
-
+    part, place = (F.lit(""), key) if order is None else order
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), size.cast("long").alias("pack_tokens"), part.alias("part"), place.cast("long").alias("place"))
+    # The sizes are counted once and kept, without the texts.
+    slim = cut(rows.select("pack_tokens", "part", "place"))
+    sizes = slim.groupBy("pack_tokens").count()
+    cells = sizes.groupBy(length_cell(F.col("pack_tokens")).alias("cell")).agg(F.max("pack_tokens").alias("longest"), F.sum("count").alias("n"))
+    limits = optimal_limits([(r.longest, r.n) for r in sorted(cells.collect())], buckets) or [0]
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        bucket, limit = F.lit(len(limits) - 1), F.lit(limits[-1])
+        for k in range(len(limits) - 2, -1, -1):
+            bucket = F.when(F.col("pack_tokens") <= limits[k], F.lit(k)).otherwise(bucket)
+            limit = F.when(F.col("pack_tokens") <= limits[k], F.lit(limits[k])).otherwise(limit)
+        return df.withColumns({"pack_bucket": bucket.cast("int"), "pack_limit": limit.cast("long")})
+
+    counts = {r.pack_bucket: r.n for r in bucketed(slim).groupBy("pack_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if order is None:
+        blocks = F.lit(1)
+        for k, n in counts.items():
+            blocks = F.when(F.col("pack_bucket") == k, F.lit(max(1, -(-n // block_rows)))).otherwise(blocks)
+        block = F.floor(F.col("place") / F.lit(2.0**62) * blocks)
+    else:
+        block = F.floor(F.col("place") / F.lit(block_rows))
+
+    def blocked(df: DataFrame) -> DataFrame:
+        # The block is never null, so the join below adds no null check, which would count the words anew for each limit.
+        return bucketed(df).withColumn("block", F.coalesce(block.cast("long"), F.lit(0).cast("long")))
+
+    # Rows in earlier blocks: sums over chunks of blocks first, so that no task orders all blocks of a bucket.
+    starts = blocked(slim).groupBy("pack_bucket", "part", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", F.floor(F.col("block") / 1024))
+    in_chunk = Window.partitionBy("pack_bucket", "part", "chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("pack_bucket").orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = starts.groupBy("pack_bucket", "part", "chunk").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(in_bucket), F.lit(0))).drop("m")
+    starts = starts.withColumn("inner", F.coalesce(F.sum("n").over(in_chunk), F.lit(0))).join(chunks, ["pack_bucket", "part", "chunk"])
+    starts = starts.select("pack_bucket", "part", "block", (F.col("inner") + F.col("before")).alias("start"))
+
+    inside = Window.partitionBy("pack_bucket", "part", "block").orderBy("place", "pack_tokens")
+    placed = blocked(rows).withColumn("at", F.row_number().over(inside) - 1).join(starts, ["pack_bucket", "part", "block"])
+    at, per_batch = F.col("at") + F.col("start"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("pack_limit"), F.lit(1))))
+    out = placed.withColumns({"pack_batch": F.floor(at / per_batch).cast("long"), "pack_slot": (at % per_batch).cast("long")})
+    return out.select(*[F.col("row")[c].alias(c) for c in columns], *added)

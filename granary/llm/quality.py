@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,28 +119,25 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: i
     are the answer.
     """
     start_good, start_bad, start_prior = 0.97, 0.4, 0.85
-    total = sum(n for _, n in patterns)
+    vote = np.array([v for v, _ in patterns], dtype=np.int8).reshape(len(patterns), len(names))
+    rows = np.array([n for _, n in patterns], dtype=np.float64)
+    yes, no, total = vote > 0, vote < 0, rows.sum()
     weight = max(1.0, prior_share * total)
-    prior, right = start_prior, {k: (start_good, start_bad) for k in names}
+    prior, good, bad = start_prior, np.full(len(names), start_good), np.full(len(names), start_bad)
     done = 0
     for done in range(1, rounds + 1):  # noqa: B007
-        split = [(v, n, n * posterior(v, names, prior, right)) for v, n in patterns]
-        new_prior = (math.fsum(g for _, _, g in split) + weight * start_prior) / (total + weight)
-        new = {}
-        for j, name in enumerate(names):
-            yes = math.fsum(g for v, _, g in split if v[j] > 0)
-            cast = math.fsum(g for v, _, g in split if v[j])
-            no = math.fsum(n - g for v, n, g in split if v[j] < 0)
-            said = math.fsum(n - g for v, n, g in split if v[j])
-            a = (yes + start_good * weight) / (cast + weight)
-            a = min(max(a, 0.8), 0.9995)
-            b = (no + start_bad * weight / 5) / (said + weight / 5)
-            new[name] = (a, min(max(b, 1.01 - a), 0.99))
-        moved = max([abs(new_prior - prior)] + [abs(x - y) for k in names for x, y in zip(new[k], right[k], strict=True)])
-        prior, right = new_prior, new
+        odds = math.log(prior / (1 - prior)) + yes @ np.log(good / (1 - bad)) + no @ np.log((1 - good) / bad)
+        mass = rows / (1 + np.exp(-odds))
+        new_prior = (mass.sum() + weight * start_prior) / (total + weight)
+        a = (mass @ yes + start_good * weight) / (mass @ (yes | no) + weight)
+        b = ((rows - mass) @ no + start_bad * weight / 5) / ((rows - mass) @ (yes | no) + weight / 5)
+        a = np.clip(a, 0.8, 0.9995)
+        b = np.clip(b, 1.01 - a, 0.99)
+        moved = max(abs(new_prior - prior), np.abs(a - good).max(), np.abs(b - bad).max())
+        prior, good, bad = float(new_prior), a, b
         if moved < 1e-6:
             break
-    return LabelModel(prior, right, done)
+    return LabelModel(prior, {k: (float(x), float(y)) for k, x, y in zip(names, good, bad, strict=True)}, done)
 
 
 def posterior(vote: tuple[int, ...], names: list[str], prior: float, right: dict[str, tuple[float, float]]) -> float:

@@ -1,9 +1,10 @@
 """Incremental secret scan over a blob ledger (operator 2).
 
 A version is one state of a path; its text is a blob with its SHA-256 as address.
-The ledger holds the (blob, rule, rule version) pairs that were scanned before. A
-run scans every distinct blob once, and only for pairs that the ledger lacks;
-findings are stored by blob and joined back to every version that has it.
+The ledger is a folder of two tables: the (blob, rule, rule version) pairs scanned so
+far, and the findings by blob. A run reads it, scans every distinct blob once and only
+for pairs that the ledger lacks, and appends what is new; a report joins the findings
+of the current rule versions back to every version of every path that has the blob.
 
 All of it is DataFrame work: a rule is a regular expression, its matches and the
 gaps between them give the spans, in code points.
@@ -13,11 +14,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of
+from .common import cut, exists, spread_join, text_of
 
 
 @dataclass(frozen=True)
@@ -93,30 +94,59 @@ def scan_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).withColumn("blob", F.sha2("text", 256))
     # One row stands for each blob: the smallest identifier; counts combine in the map tasks.
-    chosen = named.groupBy("blob").agg(F.min("_id").alias("_id"))
-    todo = unseen(chosen, rules, ledger)
-    due = chosen.join(todo, "blob") if ledger is not None else chosen.withColumn("todo", F.array(*[F.lit(r.kind) for r in rules]))
+    chosen = cut(named.groupBy("blob").agg(F.min("_id").alias("_id")))
+    due = chosen.join(unseen(chosen, rules, ledger), "blob") if ledger is not None else chosen.withColumn("todo", F.array(*[F.lit(r.kind) for r in rules]))
     due = due.select(F.col("blob").alias("_blob"), F.col("_id").alias("_first"), "todo")
     texts = named.join(due.hint("shuffle_hash"), (F.col("blob") == F.col("_blob")) & F.col("_id").eqNullSafe(F.col("_first"))).select("blob", "text", "todo")
-    findings = scan(texts, rules).dropDuplicates()
     entries = _pairs(chosen, rules)
     if ledger is not None:
         entries = entries.join(ledger.select("blob", "kind", "version").distinct(), ["blob", "kind", "version"], "left_anti")
-    return findings, entries
+    return scan(texts, rules).dropDuplicates(), entries
 
 
-def _listed(kinds: tuple[str, ...]) -> Column:
+def read_ledger(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, findings) of a ledger; both empty where there is none yet."""
+    entries, findings = "blob string, kind string, version int", "blob string, kind string, version int, start long, end long"
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}") if exists(spark, f"{folder}/{name}") else spark.createDataFrame([], schema)
+    return table("entries", entries), table("findings", findings).dropDuplicates()
+
+
+def update_ledger(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans what the ledger in ``folder`` has not seen, appends it there, and gives all findings.
+
+    Findings are written before the entries that vouch for them: a run that is lost in
+    between is done again and repeats findings, which count once.
+    """
+    spark = df.sparkSession
+    known, _ = read_ledger(spark, folder)
+    findings, entries = scan_versions(df, id_col, text_col, rules, known if exists(spark, f"{folder}/entries") else None)
+    findings.write.mode("append").parquet(f"{folder}/findings")
+    entries.write.mode("append").parquet(f"{folder}/entries")
+    return read_ledger(spark, folder)[1]
+
+
+def _listed(kinds: tuple[str, ...], rules: tuple[Rule, ...]) -> Column:
     """``kind:start:end`` of spans (start, rank, end) of the named kinds, comma-joined."""
-    names = F.array(*[F.lit(r.kind) for r in RULES])
+    names = F.array(*[F.lit(r.kind) for r in rules])
     kept = F.filter("spans", lambda s: F.get(names, s["rank"]).isin(*kinds))
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(df: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for every version: its findings, joined back by blob."""
+def report(df: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for every version, with its path or other columns in ``keep``: the findings
+    of the current version of each rule, joined back by blob.
+
+    The counts are those of the base kinds; findings of other rule versions, or of rules
+    that are not in ``rules``, are left out.
+    """
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    by_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", F.element_at(rank, F.col("kind")).alias("rank"), "end"))).alias("spans"))
-    versions = df.select(F.col(id_col), F.sha2(text_of(text_col), 256).alias("blob"))
-    out = versions.join(by_blob, "blob", "left").withColumn("spans", F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,rank:int,end:long>>")))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
-    return out.select(F.col(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed(BASE), 256).alias("base_sha256"), _listed(tuple(r.kind for r in rules)).alias("spans"), F.col("blob"))
+    current = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
+    now = findings.filter(F.try_element_at(current, F.col("kind")) == F.col("version"))
+    by_blob = now.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", F.element_at(rank, F.col("kind")).alias("rank"), "end"))).alias("spans"))
+    carried = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, *keep])]).alias("row")
+    versions = cut(df.select(carried, F.sha2(text_of(text_col), 256).alias("blob")))
+    out = spread_join(versions, by_blob, "blob", F.col("row"), "left")
+    out = out.withColumn("spans", F.coalesce("spans", F.expr("array()").cast("array<struct<start:long,rank:int,end:long>>")))
+    place = {r.kind: i for i, r in enumerate(rules)}
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["rank"] == place.get(kind, -1))).cast("long")
+    return out.select("row.*", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(_listed(BASE, rules), 256).alias("base_sha256"), _listed(tuple(r.kind for r in rules), rules).alias("spans"), "blob")

@@ -5,9 +5,10 @@ table, and a text is the mean of the vectors of all pieces of its words. A linea
 softmax on that mean is trained jointly with the table, so a misspelling that was
 never seen shares most of its vectors with the word it stands for.
 
-Training reads a bounded sample of labelled rows; each is reduced to hashed counts
-in the tasks before the driver gets it. As the model is linear in the mean, a piece
-acts on the score through one number; scoring ships that one table of fixed size.
+Training reads a bounded sample of labelled rows, each reduced to hashed counts in
+parallel tasks, and runs in one task; the driver sees the finished model only. As
+the model is linear in the mean, a piece acts on the score through one number;
+scoring ships that one table of fixed size.
 """
 
 from __future__ import annotations
@@ -24,10 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import cut, new_folder, remove
 
 # Production parameters.
 THRESHOLD = 0.3
 MAX_TRAINING_ROWS = 6000  # bound of the labelled sample
+MAX_TRAINING_PIECES = 24_000_000  # bound of its distinct pieces, summed over rows: 8 bytes each in the training task
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 LEAST_ROWS = 3  # training rows that must hold a piece; rarer ones have no vector
@@ -51,24 +56,18 @@ def effect_of(word: str, effect: np.ndarray) -> tuple[float, int]:
     return total, count
 
 
-def bag(text: str) -> Counter[str]:
-    return Counter(_WORD.findall(text.lower()))
-
-
 def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, text) to (id, label, places, shares): each piece's share of all pieces."""
+    """(id, label, text) to (id, label, n, places, counts): the distinct pieces of each text and how often each occurs."""
     for batch in batches:
-        places, shares = [], []
-        for text in batch.column(2):
-            counts: Counter[int] = Counter()
-            for w, n in bag(text.as_py() or "").items():
+        for k, text in enumerate(batch.column(2).to_pylist()):
+            held: Counter[int] = Counter()
+            for w, n in Counter(_WORD.findall((text or "").lower())).items():
                 for p in pieces(w):
-                    counts[p] += n
-            at = np.array(sorted(counts), dtype=np.int32)
-            held = np.array([counts[p] for p in at.tolist()], dtype=np.float32)
-            places.append(at)
-            shares.append(held / max(held.sum(), 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["id", "label", "places", "shares"])
+                    held[p] += n
+            at = np.array(sorted(held), dtype=np.int32)
+            counts = np.array([held[p] for p in at.tolist()], dtype=np.int32)
+            columns = [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(at)], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "n", "places", "counts"])
 
 
 @dataclass(frozen=True)
@@ -80,65 +79,66 @@ class ToxicityModel:
     rows: int
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 5, batch: int = 64, rate: float = 2.0, least_steps: int = 500, scale: float = 20.0, seed: int = 5) -> ToxicityModel:
-    """Vectors and softmax trained together on (places, shares, label) by gradient descent with momentum.
+def train(places: np.ndarray, shares: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 2.0, least_steps: int = 500, scale: float = 20.0, seed: int = 5) -> ToxicityModel:
+    """Vectors and softmax trained together by gradient descent with momentum.
 
-    Vectors are weighted by the squared inverse document frequency of their piece, so
-    that the mean of a long text is not made of the commonest syllables. Plain steps
-    matter here: rare pieces, each seen in a few texts, move little.
+    ``places`` and ``shares`` hold the pieces of all texts end to end, ``sizes`` of them
+    for each text: its distinct pieces, and their shares of all its pieces. Vectors are
+    weighted by the squared inverse document frequency of their piece, so that the mean
+    of a long text is not made of the commonest syllables. Plain steps matter here: rare
+    pieces, each seen in a few texts, move little.
     """
     rng = np.random.default_rng(seed)
-    positive = sum(y for _, _, y in examples)
-    prior = (positive + 1) / (len(examples) + 2)
+    total, positive = len(labels), int(labels.sum())
+    prior = (positive + 1) / (total + 2)
     effect = np.zeros(BUCKETS, dtype=np.float32)
-    if positive in (0, len(examples)):
-        return ToxicityModel(effect, float(np.log(prior / (1 - prior))), len(examples))
-    held = np.zeros(BUCKETS, dtype=np.int64)
-    for places, _, _ in examples:
-        held[places] += 1
+    if positive in (0, total):
+        return ToxicityModel(effect, float(np.log(prior / (1 - prior))), total)
+    held = np.bincount(places, minlength=BUCKETS)
     known = np.flatnonzero(held >= LEAST_ROWS)
-    weight = np.log((len(examples) + 1) / (held[known] + 1)).astype(np.float32) ** 2
+    weight = np.log((total + 1) / (held[known] + 1)).astype(np.float32) ** 2
     slot = np.full(BUCKETS, -1, dtype=np.int32)
     slot[known] = np.arange(len(known))
+    ends = np.cumsum(sizes)
 
     table = rng.normal(0, 0.01, (len(known), DIMENSIONS)).astype(np.float32)
     head = np.full((DIMENSIONS, 2), DIMENSIONS**-0.5, dtype=np.float32)
     head[:, 0] *= -1
     bias = np.array([0.0, np.log(prior / (1 - prior))], dtype=np.float32)
     pace = [np.zeros_like(x) for x in (table, head, bias)]
-    steps, step = max(least_steps, epochs * (len(examples) // batch + 1)), 0
+    steps, step = max(least_steps, epochs * (total // batch + 1)), 0
     while step < steps:
-        order = rng.permutation(len(examples))
+        order = rng.permutation(total)
         for at in range(0, len(order), batch):
             chosen = []
             for i in order[at : at + batch]:
-                places, shares, label = examples[i]
-                own = slot[places]
+                span = slice(ends[i] - sizes[i], ends[i])
+                own = slot[places[span]]
                 if (own >= 0).any():
-                    chosen.append((own[own >= 0], shares[own >= 0], label))
+                    chosen.append((own[own >= 0], shares[span][own >= 0], labels[i]))
             if step >= steps:
                 break
             step += 1
             if not chosen:
                 continue
-            sizes = [len(p) for p, _, _ in chosen]
+            widths = [len(p) for p, _, _ in chosen]
             place = np.concatenate([p for p, _, _ in chosen])
             share = (np.concatenate([w for _, w, _ in chosen]) * weight[place] * scale)[:, None]
             label = np.array([y for _, _, y in chosen])
-            mean = np.add.reduceat(table[place] * share, np.cumsum([0, *sizes[:-1]]), axis=0)
+            mean = np.add.reduceat(table[place] * share, np.cumsum([0, *widths[:-1]]), axis=0)
             logits = mean @ head + bias
             error = np.exp(logits - logits.max(axis=1, keepdims=True))
             error /= error.sum(axis=1, keepdims=True)
             error[np.arange(len(label)), label] -= 1
             error /= len(label)
-            flow = np.repeat(error @ head.T, sizes, axis=0) * share
+            flow = np.repeat(error @ head.T, widths, axis=0) * share
             slope = np.stack([np.bincount(place, flow[:, d], len(known)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
             now = rate * (1 - step / (steps + 1))
             for k, (x, g, r) in enumerate(((table, slope, now), (head, mean.T @ error, now / 10), (bias, error.sum(axis=0), now / 10))):
                 pace[k] = 0.9 * pace[k] + 0.1 * g
                 x -= r * pace[k]
     effect[known] = scale * weight * (table @ (head[:, 1] - head[:, 0]))
-    return ToxicityModel(effect, float(bias[1] - bias[0]), len(examples))
+    return ToxicityModel(effect, float(bias[1] - bias[0]), total)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -146,26 +146,67 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(True))
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> ToxicityModel:
-    """Model from at most ``max_rows`` labelled rows, chosen by the hash of the identifier.
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (label, places, counts), as one row."""
+    places, shares, sizes, labels = [], [], [], []
+    for batch in batches:
+        for label, at, counts in zip(*batch.columns, strict=True):
+            held = counts.values.to_numpy().astype(np.float32)
+            places.append(at.values.to_numpy().copy())
+            shares.append(held / max(held.sum(), 1))
+            sizes.append(len(held))
+            labels.append(label.as_py())
+    ends = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
+    model = train(ends(places, np.int32), ends(shares, np.float32), np.array(sizes, dtype=np.int64), np.array(labels, dtype=np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([model.effect.tobytes()], pa.binary()), pa.array([model.base]), pa.array([model.rows], pa.int64())], names=["effect", "base", "rows"])
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS, max_pieces: int = MAX_TRAINING_PIECES) -> ToxicityModel:
+    """Model from at most ``max_rows`` labelled rows with at most ``max_pieces`` distinct
+    pieces in all, taken in the order of a hash of the identifier.
 
-    A document with several labels is toxic if one of them says so; null labels,
-    null identifiers and held-out rows are not used. Without both classes the score
-    is the share of toxic rows (one added to each class) for every text.
+    A document with several labels is toxic if one of them says so; of rows with one
+    identifier the smallest text is learnt. Null labels, null identifiers and held-out
+    rows are not used. Without both classes the score is the share of toxic rows (one
+    added to each class) for every text.
     """
-    known = labels.filter(~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label")).filter("_label is not null")
-    order = [F.xxhash64(F.lit(3), "_id"), F.col("_id")]
-    chosen = df.select(F.col(id_col).alias("_id")).distinct().join(known, "_id").orderBy(*order).limit(max_rows)
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select(F.col("_id").cast("string"), "_label", "_text")
-    table = rows.mapInArrow(featurise, "id string, label int, places array<int>, shares array<float>").toArrow()
-    found = {}
-    for batch in table.to_batches():
-        for k in range(batch.num_rows):
-            p = batch.column("places")[k].values.to_numpy()
-            w = batch.column("shares")[k].values.to_numpy()
-            key = (batch.column("id")[k].as_py(), len(p), float(w.sum()), p[:8].tobytes())
-            found[key] = (p, w, int(batch.column("label")[k].as_py()))
-    return train([found[k] for k in sorted(found)])
+    spark = df.sparkSession
+    known = labels.filter(~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label")).filter("label is not null")
+    order = [F.xxhash64(F.lit(3), "id"), F.col("id")]
+    chosen = df.select(F.col(id_col).alias("id")).distinct().join(known, "id").orderBy(*order).limit(max_rows)
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    folder = new_folder(spark, "toxicity")
+    sample = cut(texts.select("id", "label", "text").mapInArrow(featurise, f"id {kind}, label int, n long, places array<int>, counts array<int>"), folder)
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # at most max_rows rows
+    bounded = sample.withColumn("so_far", F.sum("n").over(so_far)).filter(F.col("so_far") <= max_pieces).select("label", "places", "counts")
+    found = bounded.mapInArrow(_train, "effect binary, base double, rows long").first()
+    remove(spark, folder)
+    if found is None:
+        return train(*(np.empty(0, dtype=k) for k in (np.int32, np.float32, np.int64, np.int64)))
+    return ToxicityModel(np.frombuffer(found.effect, dtype=np.float32), found.base, found.rows)
+
+
+class _Effects(dict):
+    """Word to the sum of the effects of its pieces and their number, as one complex number."""
+
+    def __init__(self, effect: np.ndarray):
+        super().__init__()
+        self.effect = effect
+
+    def __missing__(self, word: str) -> complex:
+        value = complex(*effect_of(word, self.effect))
+        if len(word) <= LONG:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
+def text_score(text: str, effects: _Effects, base: float) -> float:
+    """Log-odds of a text: the mean effect of all pieces of its words, over the base."""
+    whole = sum(map(effects.__getitem__, _WORD.findall(text.lower())), 0j)
+    return base + (whole.real / whole.imag if whole.imag else 0.0)
 
 
 def scorer(df: DataFrame, model: ToxicityModel):
@@ -175,27 +216,19 @@ def scorer(df: DataFrame, model: ToxicityModel):
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         effect, base = shared.value
-        cache: dict[str, tuple[float, int]] = {}
+        effects = _Effects(effect)
         for texts in parts:
-            out = np.empty(len(texts))
-            for k, text in enumerate(texts):
-                total, count = 0.0, 0
-                for w, n in bag(text or "").items():
-                    known = cache.get(w)
-                    if known is None:
-                        known = effect_of(w, effect)
-                        if len(w) <= LONG:
-                            if len(cache) > 500_000:
-                                cache.clear()
-                            cache[w] = known
-                    total += n * known[0]
-                    count += n * known[1]
-                out[k] = base + (total / count if count else 0.0)
+            out = np.array([text_score(t or "", effects, base) for t in texts], dtype=np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return score
 
 
+def toxicity_of(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
+    """The score of the text column of ``df``; a null text scores as an empty one."""
+    return scorer(df, model)(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def add_score(df: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
@@ -203,5 +236,5 @@ def add_score(df: DataFrame, model: ToxicityModel, text_col: str = "text", thres
     Texts are read whole, of any length; equal texts get equal scores. An empty table
     gives an empty result. Columns of ``df`` named like the added ones are replaced.
     """
-    out = df.withColumn("score", scorer(df, model)(F.coalesce(F.col(text_col), F.lit(""))))
+    out = df.withColumn("score", toxicity_of(df, model, text_col))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -14,10 +14,10 @@ chunked framing is decoded.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import io
 import re
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, heavy_values, partitions, shared_dir, text_of
+from .common import cut, heavy_table, heavy_values, new_folder, spread_join, text_of
 
 SEGMENT = 32_768  # characters of a block in one record
 CHUNK = 8_192  # characters of a chunk of the transfer framing
 LEAST_REVISIT = 100  # bytes; shorter payloads are always stored
-RECORDS = 2_000  # records of a file
+RECORDS = 500  # records of a file, so at most 64 MB of text
 _END = "\r\n"
 
 
@@ -50,31 +50,38 @@ def chunked(text: Column, size: int = CHUNK) -> Column:
     return F.concat(F.array_join(framed, ""), F.lit("0" + _END * 2))
 
 
+def record_name(page_id: Column, number: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), number.cast("string"), F.lit(">"))
+
+
 def with_first(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with digest and, for revisits, the page they repeat.
+    """``pages`` (page_id, url, html) with digest, ``urn`` (name of its record) and, for revisits,
+    ``first``: the page they repeat, and ``first_urn``.
 
-    Payloads shared by a large share of the pages are few and joined by broadcast.
+    Payloads shared by a large share of the pages are few and joined by broadcast. The
+    number in a record's name is its place in the scan of ``pages``.
     """
-    known = pages.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long")})
+    known = pages.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long"), "number": F.monotonically_increasing_id()})
     known = known.withColumn("_k", F.xxhash64("digest"))
-    firsts = known.filter((F.col("bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    heavy = heavy_values(known, F.col("_k"), 4 * partitions(pages.sparkSession))
-    few = firsts.filter(F.xxhash64("digest").isin(heavy)) if heavy else firsts.limit(0)
-    light = known.filter(~F.col("_k").isin(heavy)) if heavy else known
-    out = light.join(firsts, "digest", "left")
-    if heavy:
-        out = out.unionByName(known.filter(F.col("_k").isin(heavy)).join(F.broadcast(few), "digest", "left"))
-    return out.drop("_k").withColumn("first", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    wanted = (F.col("bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()
+    firsts = known.filter(wanted).groupBy("digest").agg(F.min(F.struct("page_id", "number")).alias("_f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    found = heavy_values(known.select("_k"), "_k")
+    few = heavy_table(known.select("_k"), "_k", found).select("_k")
+    out = (known.join(few, "_k", "left_anti") if found else known).join(firsts, "digest", "left")
+    if found:
+        crowd = firsts.withColumn("_k", F.xxhash64("digest")).join(few, "_k", "left_semi").drop("_k")
+        out = out.unionByName(known.join(few, "_k", "left_semi").join(F.broadcast(crowd), "digest", "left"))
+    later = F.col("_f.page_id") != F.col("page_id")
+    return out.select("page_id", "url", "html", "digest", record_name(F.col("page_id"), F.col("number")).alias("urn"), F.when(later, F.col("_f.page_id")).alias("first"), F.when(later, record_name(F.col("_f.page_id"), F.col("_f.number"))).alias("first_urn"))
 
 
 def records(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """The WARC records of ``pages`` (page_id, url, html, digest, bytes, first) as texts."""
-    urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
+    """The WARC records of ``pages`` (page_id, url, html, digest, urn, first, first_urn) as texts."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"), chunked(F.col("html")))
-    revisit = F.col("first").isNotNull()
-    named = pages.select("page_id", "url", "digest", "first", urn.alias("urn"), F.when(revisit, F.lit("")).otherwise(http).alias("block"))
+    revisit = F.col("first_urn").isNotNull()
+    named = pages.select("page_id", "url", "digest", "first_urn", "urn", F.when(revisit, F.lit("")).otherwise(http).alias("block"))
     named = named.withColumn("parts", F.when(F.length("block") > segment, _parts(F.col("block"), segment)).otherwise(F.array("block")))
-    each = named.select("page_id", "url", "digest", "first", "urn", F.octet_length("block").alias("total"), F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part"))
+    each = named.select("page_id", "url", "digest", "first_urn", "urn", F.octet_length("block").alias("total"), F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part"))
     first, last, split = F.col("at") == 0, F.col("at") == F.col("n") - 1, F.col("n") > 1
     kind = F.when(~first, "continuation").when(revisit, "revisit").otherwise("response")
     own = F.when(first, F.col("urn")).otherwise(F.concat(F.lit("<urn:segment:"), F.substring("urn", 11, 1 << 20), F.lit("#"), (F.col("at") + 1).cast("string")))
@@ -87,7 +94,7 @@ def records(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
         _line("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         _line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]+", " ")),
         F.when(first, _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))).otherwise(none),
-        F.when(revisit, F.concat(_line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))))).otherwise(none),
+        F.when(revisit, F.concat(_line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _line("WARC-Refers-To", F.col("first_urn")))).otherwise(none),
         F.when(first & ~revisit, _line("Content-Type", F.lit("application/http; msgtype=response"))).otherwise(none),
         F.when(split, _line("WARC-Segment-Number", (F.col("at") + 1).cast("string"))).otherwise(none),
         F.when(~first, _line("WARC-Segment-Origin-ID", F.col("urn"))).otherwise(none),
@@ -122,25 +129,69 @@ _RECORD = T.StructType(
 )
 
 
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in parts of a megabyte; they end where a damaged member does."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    while content:
+        member = zlib.decompressobj(31)
+        while content and not member.eof:
+            try:
+                part = member.decompress(content, 1 << 20)
+            except zlib.error:
+                return
+            content = member.unused_data if member.eof else member.unconsumed_tail
+            yield part
+
+
+class _Parts(io.RawIOBase):
+    """A stream over an iterator of bytes."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.held = parts, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.held:
+            part = next(self.parts, None)
+            if part is None:
+                return 0
+            self.held = memoryview(part)
+        n = min(len(into), len(self.held))
+        into[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
 def parse(content: bytes) -> Iterator[tuple]:
-    """The records of one archive; a gzip archive may have one member or many."""
-    data = memoryview(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
-    raw, at = data.obj, 0
-    while (start := raw.find(b"WARC/", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        lines = raw[start:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head.get("content-length", 0))
-        block = bytes(data[end + 4 : end + 4 + size])
-        at = end + 4 + size
-        number = int(head.get("warc-segment-number", 1))
+    """The records of one archive, read as a stream; gzip archives may have one member or many.
+
+    A record that is cut off, or whose length cannot be read, is given without its
+    block, and reading goes on at the next line that starts a record.
+    """
+    stream = io.BufferedReader(_Parts(_unpacked(content)), 1 << 20)
+    line, take = stream.readline, stream.read
+
+    now = line()
+    while now:
+        if not now.startswith(b"WARC/"):
+            now = line()
+            continue
+        head, now = {}, line()
+        while now.strip():
+            name, _, value = now.decode("utf-8", "replace").partition(":")
+            head[name.strip().lower()] = value.strip()
+            now = line()
+        size = head.get("content-length", "")
+        block = take(int(size)) if size.isdecimal() else b""
+        whole = now != b"" and size.isdecimal() and len(block) == int(size)
+        number, total = head.get("warc-segment-number", ""), head.get("warc-segment-total-length", "")
         kind, own = head.get("warc-type"), head.get("warc-record-id")
-        segmented = "warc-segment-number" in head
-        origin = head.get("warc-segment-origin-id", own) if segmented else None
-        total = int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None
-        yield own, kind, head.get("warc-payload-digest"), head.get("warc-refers-to"), origin, number, total, block
+        origin = head.get("warc-segment-origin-id", own) if number else None
+        yield own, kind, head.get("warc-payload-digest"), head.get("warc-refers-to"), origin, int(number) if number.isdecimal() else None, int(total) if total.isdecimal() else None, block if whole else None
+        now = line()
 
 
 def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +257,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Responses and revisits of all archives in a folder, reassembled and decoded.
 
     Columns: record_id, record_type, digest (as in the header), refers_to, payload,
-    payload_bytes, payload_digest, damaged. A record with a missing or repeated segment,
-    a total length that does not match, broken framing or a wrong digest is damaged;
-    with broken segments its payload is null. A revisit has no payload of its own.
+    payload_bytes, payload_digest, damaged. A record that is cut off, with a missing or
+    repeated segment, a total length that does not match, broken framing or a wrong
+    digest is damaged; with broken segments its payload is null. Segments whose first
+    one is lost are one damaged response with their origin as record_id. A revisit has
+    no payload of its own.
     """
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse_files, _RECORD)
     single = found.filter("origin is null and record_type in ('response', 'revisit')").select("record_id", "record_type", "digest", "refers_to", "block")
@@ -218,11 +271,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.max("total").alias("total"),
         F.max(F.when(F.col("number") == 1, F.col("record_type"))).alias("record_type"),
         F.max(F.when(F.col("number") == 1, F.col("digest"))).alias("digest"),
+        F.max(F.when(F.col("number") == 1, F.col("refers_to"))).alias("refers_to"),
     )
     ordered = F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("parts"))
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"]))
     joined = F.aggregate("parts", F.unhex(F.lit("")), lambda a, p: F.concat(a, p["block"]))
-    whole = grouped.filter("record_type = 'response'").select(F.col("origin").alias("record_id"), "record_type", "digest", F.lit(None).cast("string").alias("refers_to"), F.when(ordered & (length == F.col("total")), joined).alias("block"))
+    grouped = grouped.withColumn("record_type", F.coalesce("record_type", F.lit("response"))).filter("record_type in ('response', 'revisit')")
+    whole = grouped.select(F.col("origin").alias("record_id"), "record_type", "digest", "refers_to", F.when(ordered & (length == F.col("total")), joined).alias("block"))
     return single.unionByName(whole).mapInArrow(_decode, _PAGE)
 
 
@@ -236,15 +291,14 @@ def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFram
     gives an empty result. Further columns of ``pages`` are not used.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "warc")
     write_archives(pages, path, **options)
     page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]*)", 1), F.lit("")).cast("long")
-    # Written once: the rows below are read by four branches, and none should parse the archives again.
+    # Written once: the rows below are read by several branches, and none should parse the archives again.
     read = cut(read_archives(spark, path).withColumns({"page_id": page("record_id"), "first": page("refers_to")}).drop("payload"))
     stored = read.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "damaged")
-    revisits = read.filter("record_type = 'revisit'").select("page_id", "record_type", F.col("first").alias("refers_to"), F.expr("substring(digest, 8)").alias("_digest"))
-    named = revisits.select("refers_to", "_digest").distinct()
-    sources = stored.select(F.col("page_id").alias("_p"), "payload_bytes", "payload_digest", "damaged").join(named, (F.col("_p") == F.col("refers_to")) & (F.col("payload_digest") == F.col("_digest"))).select("_p", "payload_bytes", "payload_digest", "damaged").distinct()
-    back = revisits.join(sources, (F.col("refers_to") == F.col("_p")) & (F.col("_digest") == F.col("payload_digest")), "left")
+    revisits = read.filter("record_type = 'revisit'").select("page_id", "record_type", F.col("first").alias("refers_to"), F.col("refers_to").alias("_named"))
+    sources = read.filter("record_type = 'response'").select(F.col("record_id").alias("_named"), "payload_bytes", "payload_digest", "damaged")
+    back = spread_join(revisits, sources, "_named", F.col("page_id"), "left")
     back = back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce("damaged", F.lit(True)).alias("damaged"))
     return stored.unionByName(back)

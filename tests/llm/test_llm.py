@@ -1,11 +1,15 @@
 """The training-data operators against SQL, brute force, round trips and held-out labels."""
 
+import gzip
+import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +63,29 @@ def test_edge_rows(spark):
             assert len(rows) == len(EDGES), name
 
 
+def test_edge_rows_have_the_values_of_their_texts(spark):
+    """Nulls, repeated rows, ties, white space: against plain Python."""
+    table = docs(spark, EDGES)
+    out = {name: df.collect() for name, df in applied(spark, table).items()}
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    count = lambda t: len(WORD.findall(t or ""))
+    key = lambda r: (r is None, r)
+    groups = Counter(bare(t) for _, t in EDGES)
+    assert Counter((r.text_sha256, r.group_size) for r in out["exact"]) == Counter((hashlib.sha256(bare(t).encode()).hexdigest(), groups[bare(t)]) for _, t in EDGES)
+    assert sum(r.kept for r in out["exact"]) == len(groups) and all(r.score == "y" and r.shard == "z" for r in out["exact"])
+    assert sorted(((r.doc_id, r.pack_tokens) for r in out["pack"]), key=lambda x: (key(x[0]), x[1])) == sorted(((i, count(t) + 1) for i, t in EDGES), key=lambda x: (key(x[0]), x[1]))
+    assert Counter((r.id, r.n_shingles) for r in out["near"]) == Counter((i, len(shingles(t))) for i, t in EDGES)
+    assert {r.id: r.component_id for r in out["near"] if r.id is not None} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert Counter((r.doc_id, r.size) for r in out["shard"]) == Counter((i, len((t or "").encode()) + 1) for i, t in EDGES)
+    assert Counter((r.doc_id, r.n_words, r.labels) for r in out["licences"]) == Counter((i, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t or "")), "") for i, t in EDGES)
+    assert {(r.doc_id, r.spans) for r in out["secrets"] if r.spans} == {(7, "assign:9:31")}
+    assert Counter((r.doc_id, r.q_words, r.q_dup_lines) for r in out["quality"]) == Counter((i, count(t), 0) for i, t in EDGES)
+    scores = {}
+    for r in out["toxicity"]:
+        scores.setdefault(r.text or "", set()).add(r.score)
+    assert all(len(x) == 1 for x in scores.values())
+
+
 def test_empty_tables(spark):
     for name, out in applied(spark, docs(spark, [])).items():
         assert out.count() == 0, name
@@ -66,17 +93,70 @@ def test_empty_tables(spark):
     assert warc.round_trip(pages).count() == 0
 
 
-@pytest.mark.parametrize("goal, limit", [(0.95, None), (None, None), (1.0, 3.0), (0.5, 100.0)])
-def test_exponent_meets_target_and_limit(goal, limit):
-    import math
+def shares_and_sums(tokens):
+    shares = [t / sum(tokens) for t in tokens]
+    return shares, lambda trials: [(sum(t**a for t in shares), sum(t**a * math.log(t) for t in shares)) for a in trials]
 
+
+@pytest.mark.parametrize("goal, limit, volume", [(0.95, None, None), (None, None, None), (1.0, 3.0, None), (0.5, 100.0, None), (0.99, 2.0, 1.5)])
+def test_exponent_meets_target_and_limit(goal, limit, volume):
     tokens = [1000, 300, 20, 1]
-    w = mixing.tempered(tokens, mixing.bisect_exponent(tokens, goal, limit))
-    assert math.isclose(sum(w), 1)
+    shares, sums = shares_and_sums(tokens)
+    a = mixing.choose_exponent(4, min(shares), max(shares), sums, goal, limit, volume)
+    w = [t**a / sum(x**a for x in shares) for t in shares]
+    assert math.isclose(-sum(x * math.log(x) for x in w), mixing.entropy(a, sums([a])[0]))
+    total = volume or max(t / x for t, x in zip(shares, w, strict=True))
     if limit is not None:
-        assert mixing.repeats(tokens, w) <= limit * 1.0001
+        assert max(total * x / t for t, x in zip(shares, w, strict=True)) <= limit * 1.0001
     elif goal is not None:
-        assert mixing.entropy(w) >= goal * math.log(4) - 1e-9
+        assert -sum(x * math.log(x) for x in w) >= goal * math.log(4) - 1e-9
+
+
+def test_passes_stay_under_the_limit_for_any_budget(spark):
+    rows = [(i, "w " * 9, "a" if i < 100 else "b") for i in range(110)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget in (500, 5_000, 11_000_000):
+        out = mixing.mix(table, budget=budget, max_repeats=4, block_rows=8).toPandas()
+        assert out.mix_pass.max() <= 3 and out.mix_tokens.sum() <= min(budget, 4 * 1100)
+    assert len(out) == 440
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_mix_takes_what_brute_force_takes(spark, monkeypatch, few):
+    """Every pass of every source, ordered in Python; also with the joins for very many sources."""
+    if not few:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    rng = random.Random(1)
+    rows = [(i, " ".join("w" * rng.randrange(1, 30)), rng.choice(["big"] * 8 + ["mid"] * 3 + ["wee", None, ""]), "kept as it is") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, src string")
+    got = mixing.mix(table, block_rows=16, budget=9_000, max_repeats=3).collect()
+    assert all(r.src == "kept as it is" for r in got)
+    tokens = Counter()
+    for _, t, s, _ in rows:
+        tokens[s] += len(t.split()) + 1
+    shares, sums = shares_and_sums(list(tokens.values()))
+    a = mixing.choose_exponent(len(shares), min(shares), max(shares), sums, 0.95, 3, 9_000 / sum(tokens.values()))
+    weight = {s: x**a / sum(y**a for y in shares) for s, x in zip(tokens, shares, strict=True)}
+    top = max(weight[s] * 9_000 / tokens[s] for s in tokens)
+    want = Counter()
+    for s in tokens:
+        budget = round(weight[s] * 9_000 * min(1, 3 / top))
+        own = [r for r in rows if r[2] == s]
+        passes, rest = divmod(budget, tokens[s])
+        blocks = -(-len(own) // 16)
+        for p in range(passes + 1):
+            here = spark.createDataFrame([(r[0], len(r[1].split()) + 1) for r in own], "id long, n long")
+            name, number = F.lit("-" if s is None else "=" + s), F.lit(p).cast("long")
+            block = mixing.block_key(mixing.SEED, name, F.col("id"), number, F.lit(blocks).cast("long"))
+            line = sorted((r.b, r.r, r.n, r.id) for r in here.select("id", "n", block.alias("b"), mixing.row_key(mixing.SEED, F.col("id"), number).alias("r")).collect())
+            left = rest if p == passes else None
+            for _, _, n, i in line:
+                if left is not None:
+                    left -= n
+                    if left < 0:
+                        break
+                want[(i, p)] += 1
+    assert Counter((r.doc_id, r.mix_pass) for r in got) == want
 
 
 def test_mix_fills_budgets(spark, sf):
@@ -105,6 +185,32 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {r.doc_id: r.n_assign for r in both} == {1: 1, 2: 0, 3: 0, 4: 1}
 
 
+def test_stored_ledger_over_runs_and_rule_versions(spark, tmp_path):
+    folder = str(tmp_path / "ledger")
+    history = [(1, "a.txt", "token: abcdefghijklmnop"), (2, "a.txt", "x AKIA" + "B" * 16), (3, "b.txt", "token: abcdefghijklmnop"), (3, "b.txt", "token: abcdefghijklmnop"), (4, "c.txt", None)]
+    table = spark.createDataFrame(history, "doc_id long, path string, text string")
+
+    def spans(rules):
+        rows = secrets.report(table, secrets.read_ledger(spark, folder)[1], rules=rules, keep=("path",)).collect()
+        return sorted((r.doc_id, r.path, r.spans) for r in rows)
+
+    want = [(1, "a.txt", "assign:0:23"), (2, "a.txt", "access:2:22"), (3, "b.txt", "assign:0:23"), (3, "b.txt", "assign:0:23"), (4, "c.txt", "")]
+    secrets.update_ledger(table, folder)
+    assert spans(secrets.RULES) == want
+    entries = secrets.read_ledger(spark, folder)[0].count()
+    assert entries == 3 * len(secrets.RULES)
+    new, more = secrets.scan_versions(table, ledger=secrets.read_ledger(spark, folder)[0])
+    assert new.isEmpty() and more.isEmpty()  # the second run has nothing to scan
+    # A newer version of one rule scans for that rule alone, and its older findings are out of date.
+    newer = tuple(secrets.Rule("access", 2, "KIA[A-Z0-9]+", 0, 18) if r.kind == "access" else r for r in secrets.RULES)
+    secrets.update_ledger(table, folder, rules=newer)
+    assert secrets.read_ledger(spark, folder)[0].count() == entries + 3
+    assert spans(newer) == [(i, p, x.replace("access:2:22", "access:3:22")) for i, p, x in want]
+    assert spans(secrets.RULES) == want
+    swapped = tuple(reversed(secrets.RULES))
+    assert spans(swapped) == want
+
+
 def test_repeated_rows_with_two_secrets(spark):
     text = "é token: abcdefghijklmnop and secret = 'qrstuvwxyz012345' end"
     single = secrets.scan_versions(docs(spark, [(1, text)]))[0].drop("blob").collect()
@@ -130,9 +236,39 @@ def test_quality_counts(spark, sf):
 
 
 def test_quality_model_finds_bad_texts(spark, sf):
-    kept = {r.doc_id: r.kept for r in QUERIES["op3_weak_supervision"](spark, sf).collect()}
-    known = [(r.quality, kept[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None]
-    assert sum((q == 1) == k for q, k in known) >= 0.8 * len(known)
+    sf = sf.replace("sf0.001", "sf0.01")
+    rows = {r.doc_id: r for r in QUERIES["op3_weak_supervision"](spark, sf).collect()}
+    known = [(r.quality, rows[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None]
+    bad, good = [r for q, r in known if q == 0], [r for q, r in known if q == 1]
+    missed = sum(r.kept for r in bad)
+    allowed = [r for r in good if not r.base_failed]  # the base rejects some short texts that are labelled good
+    assert missed <= 0.2 * len(bad) and sum(r.kept for r in allowed) >= 0.97 * len(allowed) and len(allowed) >= 0.9 * len(good)
+    assert missed < sum(not r.base_failed for r in bad)  # more than the base finds
+
+
+def test_label_model_is_expectation_maximisation():
+    rng = random.Random(2)
+    names, patterns = ["a", "b", "c"], {}
+    for _ in range(4000):
+        good = rng.random() < 0.7
+        vote = tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < (0.95 if good else 0.3)) else -1) for _ in names)
+        patterns[vote] = patterns.get(vote, 0) + 1
+    model = quality.fit(sorted(patterns.items()), names)
+    prior, right = 0.85, {k: (0.97, 0.4) for k in names}
+    total = sum(patterns.values())
+    weight = 0.05 * total
+    for _ in range(model.rounds):
+        p = {v: quality.posterior(v, names, prior, right) for v in patterns}
+        g = {v: n * p[v] for v, n in patterns.items()}
+        new = {}
+        for j, k in enumerate(names):
+            yes, cast = sum(g[v] for v in g if v[j] > 0), sum(g[v] for v in g if v[j])
+            no, said = sum(patterns[v] - g[v] for v in g if v[j] < 0), sum(patterns[v] - g[v] for v in g if v[j])
+            x = min(max((yes + 0.97 * weight) / (cast + weight), 0.8), 0.9995)
+            new[k] = (x, min(max((no + 0.4 * weight / 5) / (said + weight / 5), 1.01 - x), 0.99))
+        prior, right = (sum(g.values()) + weight * 0.85) / (total + weight), new
+    assert model.prior == pytest.approx(prior) and all(model.right[k] == pytest.approx(right[k]) for k in names)
+    assert 0.6 < model.prior < 0.8
 
 
 def shingles(text):
@@ -179,7 +315,7 @@ def test_near_duplicates_of_the_table(spark, sf):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_open_pairs_of_the_least_similarity(spark):
+def test_open_pairs_of_the_least_similarity(spark, tmp_path):
     pairs, sets = [], {}
     for p in range(40):
         shared = [f"{p} s {k}" for k in range(400)]
@@ -190,8 +326,24 @@ def test_open_pairs_of_the_least_similarity(spark):
     number = {w: rng.getrandbits(64) - 2**63 for w in sorted({w for s in sets.values() for w in s})}
     table = spark.createDataFrame([(i, [number[w] for w in s]) for i, s in sets.items()], "id long, set array<long>")
     rest = table.select("id", F.col("id").alias("root"))
-    assert sorted(map(tuple, neardup.confirm(neardup.open_pairs(rest, table, 80), table, 80).collect())) == pairs
-    assert neardup.confirm(neardup.open_pairs(rest, table, 81), table, 81).isEmpty()
+    found = lambda least: sorted(map(tuple, neardup.confirm(neardup.open_pairs(rest, table, least, str(tmp_path / str(least))), table, least).collect()))
+    assert found(80) == pairs
+    assert found(81) == []
+
+
+def test_large_loose_group_is_linked_whole(spark, monkeypatch):
+    """Copies that differ from one text in up to a sixth of their shingles, with shingles that many blocks hold."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(rng.randrange(10)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    got = {r.id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == components(rows)
 
 
 def test_hilbert_index_visits_neighbours(spark):
@@ -213,6 +365,29 @@ def test_shards_are_even_runs(spark, sf):
     assert order == sorted(order)
 
 
+def test_files_of_shards_can_be_pruned(spark, sf, tmp_path):
+    table = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    sharding.write_shards(table, str(tmp_path / "shards"), shards=8)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == table.count() and [r[0] for r in back.groupBy("shard").count().sort("shard").select("count").collect()] == [125] * 8
+    # A filter on one dimension skips files by their smallest and largest value: far more than in the order of a hash.
+    ranges = lambda df: df.groupBy("shard").agg(F.min("source").alias("lo"), F.max("source").alias("hi"), F.min("size").alias("small"), F.max("size").alias("large")).collect()
+    spread = [sum(r.lo <= s.source <= r.hi for r in ranges(back)) for s in table.select("source").distinct().collect()]
+    assert sum(spread) < 0.8 * 8 * len(spread)
+
+
+@pytest.mark.parametrize("copies", [10, 90])
+def test_copies_with_leading_spaces_and_clashing_names(spark, copies):
+    """Few copies are sorted, many are combined: the same groups, the same row stays."""
+    body = "a text of more than forty-eight characters without its white space, told once"
+    rows = [(i, body) for i in range(copies)] + [(1000, " " * 500 + body), (1001, " " * 500 + body), (7, body), (2000, None), (2001, " ")]
+    table = spark.createDataFrame([(i, t, f"h{i}", "l", "n", 3) for i, t in rows], "doc_id long, text string, hash string, len string, norm string, id int")
+    out = exact.deduplicate(table).collect()
+    assert all((r.hash, r.len, r.norm, r.id) == (f"h{r.doc_id}", "l", "n", 3) for r in out)
+    assert {(r.keep_id, r.group_size) for r in out if r.doc_id < 2000} == {(1000, copies + 3)}
+    assert [(r.doc_id, r.group_size) for r in out if r.kept] == [(1000, copies + 3), (2001, 2)] or sorted((r.doc_id, r.group_size) for r in out if r.kept) == [(1000, copies + 3), (2001, 2)]
+
+
 def test_crowded_text_is_one_group(spark):
     rows = [(i, "same  text" if i % 2 else f"text {i}") for i in range(400)] + [(1000, " same text   ")]
     out = exact.deduplicate(docs(spark, rows)).collect()
@@ -235,7 +410,32 @@ def test_toxicity_on_held_out_rows(spark, sf):
     score = {r.doc_id: r for r in QUERIES["op7_subword_toxicity"](spark, sf).collect()}
     held = [(r.toxic, score[r.doc_id]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert held and all(s.held_out and 0 <= s.score <= 1 and s.predicted == int(s.score >= 0.3) for _, s in held)
-    assert sum(y == s.predicted for y, s in held) >= 0.9 * len(held)
+    toxic, called = [s for y, s in held if y], [y for y, s in held if s.predicted]
+    assert sum(s.predicted for s in toxic) >= 0.7 * len(toxic) and sum(called) >= 0.8 * len(called)
+
+
+def test_score_is_the_mean_effect_of_all_pieces():
+    rng = random.Random(3)
+    effect = np.array([rng.uniform(-1, 1) for _ in range(toxicity.BUCKETS)], dtype=np.float32)
+    for text in ["", " .,", "one", "One two two", "née ßx " * 300, "x" * 5000 + " y", "a_b-c d1"]:
+        places = []
+        for w in re.findall(r"\w+", text.lower()):
+            places += list(toxicity.pieces(w))
+        want = 0.25 + (sum(float(effect[k]) for k in places) / len(places) if places else 0)
+        assert toxicity.text_score(text, toxicity._Effects(effect), 0.25) == pytest.approx(want, abs=1e-5)
+
+
+def test_training_lowers_the_loss_and_keeps_its_bounds(spark):
+    rows = [(i, f"word{i % 7} " + ("vile slur" if i % 3 == 0 else "kind phrase") + " z" * (i % 5)) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(spark, rows + rows[:50]), labels)
+    used = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert model.rows == len(used)  # repeated rows are learnt once
+    loss = lambda score: -sum(math.log(1 / (1 + math.exp(-x)) if i % 3 == 0 else 1 - 1 / (1 + math.exp(-x))) for i, x in score)
+    effects = toxicity._Effects(model.effect)
+    assert loss([(i, toxicity.text_score(t, effects, model.base)) for i, t in rows]) < 0.2 * loss([(i, math.log(0.5)) for i, _ in rows])
+    assert toxicity.fit(docs(spark, rows), labels, max_rows=20).rows == 20
+    assert toxicity.fit(docs(spark, rows), labels, max_pieces=400).rows < 20
 
 
 def test_toxicity_after_64_characters_of_a_run(spark):
@@ -266,6 +466,46 @@ def test_licence_with_words_put_in(spark):
     assert row.labels == "cc-notice" and row.base_labels == "" and 0.6 <= row.score < 1
 
 
+def test_licence_labels_by_brute_force(spark):
+    """Whole templates, cut ones, and templates with foreign words between, among other words."""
+    rng = random.Random(8)
+    templates, rows, want = licences.NOTICES + licences.LICENCES, [], {}
+    for i, t in enumerate(templates):
+        w = t.text.split(" ")
+        noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+        rows.append((3 * i, " ".join(noise(9) + w + noise(9))))
+        rows.append((3 * i + 1, " ".join(noise(9) + w[: len(w) // 3] + noise(9))))
+        spaced = [x for k, y in enumerate(w) for x in ([y, noise(1)[0]] if k % 7 == 6 else [y])]
+        rows.append((3 * i + 2, " ".join(noise(4) + spaced + noise(4))))
+    for i, text in rows:
+        w = text.split(" ")
+        for t in licences.BASE + templates:
+            own = t.text.split(" ")
+            k = min(licences.GRAM, len(own))
+            at = {}
+            for a in range(len(own) - k + 1):
+                at.setdefault(tuple(own[a : a + k]), []).append(a)
+            lines = {}
+            for place in range(len(w) - k + 1):
+                for a in at.get(tuple(w[place : place + k]), []):
+                    lines.setdefault(place - a, set()).add((place, a))
+            runs, before = [], None
+            for d in sorted(lines):
+                if before is None or d - before > licences.GAP or t.base or len(own) <= licences.GRAM:
+                    runs.append(set())
+                runs[-1] |= lines[d]
+                before = d
+            for run in runs:
+                hit = {a + j for _, a in run for j in range(k)}
+                span = max(p for p, _ in run) + k - min(p for p, _ in run)
+                score = len(hit) / max(len(own), span)
+                if score >= licences.COVERAGE:
+                    want.setdefault(i, {})[t.label] = max(score, want.get(i, {}).get(t.label, 0))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licences.scan_licences(docs(spark, rows)).collect()}
+    assert got == {i: (",".join(sorted(want.get(i, {}))), round(max(want.get(i, {0: 0.0}).values()), 9)) for i, _ in rows}
+    assert all(t.label in got[3 * i][0].split(",") and t.label in got[3 * i + 2][0].split(",") for i, t in enumerate(templates) if len(t.text) > 60)
+
+
 def test_bucket_limits_are_optimal():
     rng = random.Random(9)
     for _ in range(20):
@@ -287,6 +527,24 @@ def test_batches_are_full(spark, sf):
         assert (own.groupby("pack_batch").pack_slot.max() + 1 == sizes).all()
 
 
+def test_long_texts_are_packed_within_a_256th_of_the_optimum(spark):
+    rng = random.Random(12)
+    sizes = [rng.choice([rng.randrange(1, 400), rng.randrange(600, 9000)]) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size long")
+    out = packing.pack(table, length=F.col("size"), buckets=3).collect()
+    padded = sum(r.pack_limit for r in out)
+    ends = sorted(set(sizes))
+    least = min(sum(next(x for x in (a, b, ends[-1]) if x >= n) for n in sizes) for a, b in itertools.combinations(ends[:-1], 2))
+    assert least <= padded <= least * (1 + 1 / 256)
+
+
+def test_packing_keeps_the_order_of_a_stream(spark):
+    table = spark.createDataFrame([(i % 5, f"part-{i // 50:05d}", i % 50, i) for i in range(200)], "doc_id long, file string, at long, n long")
+    out = packing.pack(table, length=F.lit(3), order=(F.col("file"), F.col("at")), token_budget=30, block_rows=8).collect()
+    line = sorted((r.pack_batch, r.pack_slot, r.n) for r in out)
+    assert [n for _, _, n in line] == list(range(200)) and [(b, s) for b, s, _ in line] == [(i // 10, i % 10) for i in range(200)]
+
+
 def test_segments_round_trip(spark, tmp_path):
     big = "".join(f"<p>número {i}</p>\r\n\r\n" for i in range(400))
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c", None), (4, "u", "short"), (5, "u", "short"), (None, "u", big), (6, "u\r\nX: y", "é" * 700)]
@@ -295,8 +553,11 @@ def test_segments_round_trip(spark, tmp_path):
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.damaged) for r in out}
     n = len(big.encode())
     assert got == {1: ("response", None, n, False), 2: ("revisit", 1, n, False), 3: ("response", None, 0, False), 4: ("response", None, 5, False), 5: ("response", None, 5, False), None: got[None], 6: ("response", None, 1400, False)}
-    payloads = {bytes(r.payload).decode() for r in warc.read_archives(spark, path).filter("payload is not null").collect()}
-    assert payloads == {big, "", "short", "é" * 700}
+    records = warc.read_archives(spark, path).collect()
+    assert {bytes(r.payload).decode() for r in records if r.payload is not None} == {big, "", "short", "é" * 700}
+    # A revisit names the record that holds its payload.
+    stored = {r.record_id: r.payload for r in records if r.record_type == "response"}
+    assert len(stored) == 6 and [bytes(stored[r.refers_to]).decode() for r in records if r.record_type == "revisit"] == [big]
 
 
 def test_lost_segment_is_damaged(spark, tmp_path):
@@ -308,6 +569,18 @@ def test_lost_segment_is_damaged(spark, tmp_path):
     assert row.damaged and row.payload is None
 
 
+def test_cut_off_archives_and_lost_first_segments(spark, tmp_path):
+    def record(own, body, more="", size=None):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {own}\r\n{more}Content-Length: {len(body) if size is None else size}\r\n\r\n{body}\r\n\r\n".encode()
+
+    http = "HTTP/1.1 200 OK\r\n\r\n"
+    tail = record("<s>", "tail", "WARC-Segment-Origin-ID: <lost>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: 9\r\n").replace(b"Type: response", b"Type: continuation")
+    (tmp_path / "a.warc").write_bytes(record("<a>", http + "WARC/1.1 in a page") + tail + record("<odd>", http, size="many") + record("<b>", http + "b"))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record("<c>", http + "c")) + gzip.compress(record("<d>", http + "d" * 5000))[:-60])
+    got = {r.record_id: (r.damaged, r.payload and bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {"<a>": (False, b"WARC/1.1 in a page"), "<lost>": (True, None), "<odd>": (True, None), "<b>": (False, b"b"), "<c>": (False, b"c"), "<d>": (True, None)}
+
+
 def test_pipeline(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
@@ -323,3 +596,22 @@ def test_pipeline(spark, sf):
     left = {i for _, i in best.values()}
     near = components([(i, t) for i, t in clean if i in left])
     assert kept == {i for i in left if near[i][1] == i}
+
+
+def test_passes_of_a_document_are_packed_apart(spark, tmp_path):
+    """The order of the mix reaches the batches: one pass of a source after another."""
+    rows = [(i, "a b c", "en", "small" if i < 12 else "large", 5) for i in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix_sources(spark, table, "").write.parquet(str(tmp_path / "mixed"))
+    line = corpus_pipeline.pack_lengths(spark, spark.read.parquet(str(tmp_path / "mixed")), "").toPandas().sort_values(["pack_batch", "pack_slot"])
+    small = [i for i in line.doc_id if i < 12]
+    assert len(small) > 24 and len(line) == 138 + len(small)
+    assert all(sorted(small[k : k + 12]) == list(range(12)) for k in range(0, len(small) - 11, 12))
+
+
+def test_pipeline_passes_clashing_columns_through(spark, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"score": F.lit("s"), "kept": F.col("doc_id"), "mix_pass": F.lit("m"), "id": F.lit("i"), "_": F.lit(1)})
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert len(out) and (out.score == "s").all() and (out.kept == out.doc_id).all() and (out.mix_pass == "m").all() and (out.id == "i").all()
