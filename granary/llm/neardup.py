@@ -52,20 +52,22 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(text: str, cache: dict[bytes, int]) -> np.ndarray:
+class _Codes(dict):
+    """Word to its hash, for the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+def shingle_hashes(text: str, codes: _Codes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text (A-Z lower-cased)."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, dtype=np.uint64)
-    if len(cache) > 500_000:
-        cache.clear()
-    codes = []
-    for w in found:
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        codes.append(h)
-    code = np.array(codes, dtype=np.uint64)
+    code = np.fromiter(map(codes.__getitem__, found), dtype=np.uint64, count=len(found))
     k = min(SHINGLE, len(code))
     out = np.full(len(code) - k + 1, k, dtype=np.uint64)
     for i in range(k):
@@ -90,11 +92,11 @@ _SIGNED = T.StructType(
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict[bytes, int] = {}
+    codes = _Codes()
     for batch in batches:
         sizes, names, sigs = [], [], []
         for text in batch.column(1):
-            s = shingle_hashes(text.as_py() or "", cache)
+            s = shingle_hashes(text.as_py() or "", codes)
             sizes.append(len(s))
             names.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s) if len(s) else None)

@@ -14,15 +14,12 @@ scoring ships that one table of fixed size.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,36 +34,71 @@ BUCKETS = 1 << 18
 DIMENSIONS = 4
 LEAST_ROWS = 3  # training rows that must hold a piece; rarer ones have no vector
 GRAMS = (3, 4, 5)
-LONG = 64  # characters; longer words are read in steps and not cached
-_WORD = re.compile(r"\w+")
-
-
-def pieces(word: str, buckets: int = BUCKETS) -> Iterator[int]:
-    """Hashed places of a word and of all its character n-grams, with its ends marked."""
-    marked = f"<{word}>"
-    grams = (marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))
-    return (xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) % buckets for g in chain([word], grams))
-
-
-def effect_of(word: str, effect: np.ndarray) -> tuple[float, int]:
-    """Sum of the effects of the pieces of a word, and their number; a long word is summed in steps."""
-    total, count, rest = 0.0, 0, pieces(word)
-    while at := list(islice(rest, 4096)):
-        total, count = total + float(effect[at].sum()), count + len(at)
-    return total, count
+_STEP = 1 << 20  # characters of a text that are looked at together, up to the end of a word
+_BETWEEN = re.compile(r"\W")
+_PRIME, _SCATTER = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_BITS = np.uint64(64 - (BUCKETS.bit_length() - 1))
+
+
+def _letters(codes: np.ndarray) -> np.ndarray:
+    """Which code points are letters, digits or underscores."""
+    plain = np.zeros(1 << 16, dtype=bool)
+    seen = np.unique(codes)
+    kind = np.array([chr(c).isalnum() or c == 95 for c in seen.tolist()], dtype=bool)
+    if len(seen) and seen[-1] >= 1 << 16:
+        return kind[np.searchsorted(seen, codes)]
+    plain[seen] = kind
+    return plain[codes]
+
+
+def _scatter(h: np.ndarray) -> np.ndarray:
+    """Hashes to places of the table."""
+    h = (h ^ (h >> np.uint64(32))) * _SCATTER
+    return ((h ^ (h >> np.uint64(29))) * _SCATTER >> _BITS).astype(np.int32)
+
+
+def _places(part: str) -> np.ndarray:
+    codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = _letters(codes)
+    letters = codes[inside].astype(np.uint64)
+    if not len(letters):
+        return np.empty(0, dtype=np.int32)
+    starts = np.flatnonzero((inside & ~np.concatenate([[False], inside[:-1]]))[inside])
+    sizes = np.diff(np.append(starts, len(letters)))
+    number = np.repeat(np.arange(len(starts)), sizes)
+    # All words one after another, each between a mark of its start and one of its end.
+    marked = np.full(len(letters) + 2 * len(starts), ord(">"), dtype=np.uint64)
+    marked[starts + 2 * np.arange(len(starts))] = ord("<")
+    marked[np.arange(len(letters)) + 2 * number + 1] = letters
+    word = np.repeat(np.arange(len(starts)), sizes + 2)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()) - 1, _PRIME, dtype=np.uint64)]), dtype=np.uint64)
+    out = [_scatter(np.add.reduceat(letters * power[np.arange(len(letters)) - starts[number]], starts) + sizes.astype(np.uint64))]
+    h = marked
+    for n in range(2, max(GRAMS) + 1):
+        h = h[: len(marked) - n + 1] * _PRIME + marked[n - 1 :]
+        if n in GRAMS:
+            out.append(_scatter(h[word[: len(h)] == word[n - 1 :]]))
+    return np.concatenate(out)
+
+
+def places_of(text: str) -> np.ndarray:
+    """The hashed places of all pieces of all words of a text: each word, and all character
+    n-grams of the word with its ends marked, as often as they occur."""
+    text, at, out = text.lower(), 0, []
+    while at < len(text):
+        rest = _BETWEEN.search(text, at + _STEP)
+        end = rest.start() if rest else len(text)
+        out.append(_places(text[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, dtype=np.int32)
 
 
 def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, text) to (id, label, n, places, counts): the distinct pieces of each text and how often each occurs."""
     for batch in batches:
-        for k, text in enumerate(batch.column(2).to_pylist()):
-            held: Counter[int] = Counter()
-            for w, n in Counter(_WORD.findall((text or "").lower())).items():
-                for p in pieces(w):
-                    held[p] += n
-            at = np.array(sorted(held), dtype=np.int32)
-            counts = np.array([held[p] for p in at.tolist()], dtype=np.int32)
-            columns = [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(at)], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32()))]
+        for k, text in enumerate(batch.column(2)):
+            at, counts = np.unique(places_of(text.as_py() or ""), return_counts=True)
+            columns = [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([len(at)], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "n", "places", "counts"])
 
 
@@ -187,26 +219,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     return ToxicityModel(np.frombuffer(found.effect, dtype=np.float32), found.base, found.rows)
 
 
-class _Effects(dict):
-    """Word to the sum of the effects of its pieces and their number, as one complex number."""
-
-    def __init__(self, effect: np.ndarray):
-        super().__init__()
-        self.effect = effect
-
-    def __missing__(self, word: str) -> complex:
-        value = complex(*effect_of(word, self.effect))
-        if len(word) <= LONG:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = value
-        return value
-
-
-def text_score(text: str, effects: _Effects, base: float) -> float:
+def text_score(text: str, effect: np.ndarray, base: float) -> float:
     """Log-odds of a text: the mean effect of all pieces of its words, over the base."""
-    whole = sum(map(effects.__getitem__, _WORD.findall(text.lower())), 0j)
-    return base + (whole.real / whole.imag if whole.imag else 0.0)
+    places = places_of(text)
+    return base + (float(effect[places].mean(dtype=np.float64)) if len(places) else 0.0)
 
 
 def scorer(df: DataFrame, model: ToxicityModel):
@@ -216,9 +232,8 @@ def scorer(df: DataFrame, model: ToxicityModel):
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         effect, base = shared.value
-        effects = _Effects(effect)
         for texts in parts:
-            out = np.array([text_score(t or "", effects, base) for t in texts], dtype=np.float64)
+            out = np.array([text_score(t or "", effect, base) for t in texts], dtype=np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
     return score

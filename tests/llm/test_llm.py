@@ -417,12 +417,26 @@ def test_toxicity_on_held_out_rows(spark, sf):
 def test_score_is_the_mean_effect_of_all_pieces():
     rng = random.Random(3)
     effect = np.array([rng.uniform(-1, 1) for _ in range(toxicity.BUCKETS)], dtype=np.float32)
-    for text in ["", " .,", "one", "One two two", "née ßx " * 300, "x" * 5000 + " y", "a_b-c d1"]:
-        places = []
-        for w in re.findall(r"\w+", text.lower()):
-            places += list(toxicity.pieces(w))
-        want = 0.25 + (sum(float(effect[k]) for k in places) / len(places) if places else 0)
-        assert toxicity.text_score(text, toxicity._Effects(effect), 0.25) == pytest.approx(want, abs=1e-5)
+
+    def place(codes, extra=0):
+        h = extra % 2**64
+        for c in codes:
+            h = (h + c) % 2**64
+        h = ((h ^ (h >> 32)) * 0x9E3779B97F4A7C15) % 2**64
+        return (((h ^ (h >> 29)) * 0x9E3779B97F4A7C15) % 2**64) >> 46
+
+    prime = 0x100000001B3
+    for text in ["", " .,", "one", "One two two", "née ßx " * 300, "x" * 5000 + " y", "a_b-c d1", "漢字😀𝒳 z", "long " * 300_000]:
+        places = Counter()
+        for w, n in Counter(re.findall(r"\w+", text.lower())).items():
+            places[place([ord(c) * pow(prime, i, 2**64) for i, c in enumerate(w)], len(w))] += n
+            marked = f"<{w}>"
+            for size in (3, 4, 5):
+                for i in range(len(marked) - size + 1):
+                    places[place([ord(c) * pow(prime, size - 1 - j, 2**64) for j, c in enumerate(marked[i : i + size])])] += n
+        assert Counter(toxicity.places_of(text).tolist()) == places
+        want = 0.25 + (sum(float(effect[k]) * n for k, n in places.items()) / sum(places.values()) if places else 0)
+        assert toxicity.text_score(text, effect, 0.25) == pytest.approx(want, abs=1e-5)
 
 
 def test_training_lowers_the_loss_and_keeps_its_bounds(spark):
@@ -432,8 +446,7 @@ def test_training_lowers_the_loss_and_keeps_its_bounds(spark):
     used = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
     assert model.rows == len(used)  # repeated rows are learnt once
     loss = lambda score: -sum(math.log(1 / (1 + math.exp(-x)) if i % 3 == 0 else 1 - 1 / (1 + math.exp(-x))) for i, x in score)
-    effects = toxicity._Effects(model.effect)
-    assert loss([(i, toxicity.text_score(t, effects, model.base)) for i, t in rows]) < 0.2 * loss([(i, math.log(0.5)) for i, _ in rows])
+    assert loss([(i, toxicity.text_score(t, model.effect, model.base)) for i, t in rows]) < 0.2 * loss([(i, math.log(0.5)) for i, _ in rows])
     assert toxicity.fit(docs(spark, rows), labels, max_rows=20).rows == 20
     assert toxicity.fit(docs(spark, rows), labels, max_pieces=400).rows < 20
 
