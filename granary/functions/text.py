@@ -159,3 +159,78 @@ def escape_data(x: Column) -> Column:
 
 def source_label(doc: Column, page: Column, section: Column) -> Column:
     return F.concat(F.lit("["), doc, F.when(page.isNotNull(), F.concat(F.lit(", стр. "), page.cast("string"))).when(section != "", F.concat(F.lit(", раздел «"), F.substring(section, 1, 80), F.lit("»"))).otherwise(""), F.lit("]"))
+
+
+def person_name(x: Column) -> Column:
+    """struct(value, error): a name of 2 to 60 characters, letters with spaces, hyphens, apostrophes and dots."""
+    s = clean_spaces(x)
+    letters = F.length(F.regexp_replace(s, "[^\\p{L}]", ""))
+    error = F.when(~F.length(s).between(2, 60), "length").when(~s.rlike("^[\\p{L} .'’-]*$"), "characters").when(letters < 2, "letters")
+    return F.struct(F.when(error.isNull(), s).alias("value"), error.alias("error"))
+
+
+def comment(x: Column, longest: int = 1000) -> Column:
+    """struct(value, error): a comment without white space around it, of at most ``longest`` characters."""
+    s = F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")
+    long = F.length(s) > longest
+    return F.struct(F.when(~long, s).alias("value"), F.when(long, "length").alias("error"))
+
+
+# Beginnings of column names and the type of their cells, tried in this order.
+COLUMN_TYPES = (
+    (("телефон", "тел", "phone", "моб"), "phone"),
+    (("инн", "inn"), "inn"),
+    (("email", "e mail", "почта", "mail"), "email"),
+    (("дата", "date", "срок"), "date"),
+    (("сумма", "цена", "стоимость", "количество", "кол во", "остаток", "итого", "amount", "price", "qty"), "number"),
+    (("фио", "имя", "фамилия", "контакт", "клиент", "город", "населенный пункт", "name"), "name"),
+)
+
+
+def column_type(name: Column) -> Column:
+    """Type of the cells of a column by its name: hints of two words anywhere, others as a
+    word, or from four letters on as its beginning; text where none fits."""
+    key = F.concat(F.lit(" "), norm_key(name), F.lit(" "))
+    out = F.lit("text")
+    for hints, kind in reversed(COLUMN_TYPES):
+        held = F.lit(False)
+        for h in hints:
+            held = held | key.contains(h if " " in h else f" {h}" if len(h) >= 4 else f" {h} ")
+        out = F.when(held, kind).otherwise(out)
+    return out
+
+
+def map_value(x: Column, mapping: dict[str, str]) -> Column:
+    """The mapped value of a text: as written, then whatever its case, else the text itself."""
+    out = x
+    for k, v in reversed(list(mapping.items())):
+        out = F.when(F.lower(x) == k.lower(), v).otherwise(out)
+    for k, v in reversed(list(mapping.items())):
+        out = F.when(x == k, v).otherwise(out)
+    return out
+
+
+def unwrap_lines(x: Column) -> Column:
+    """Line breaks inside a sentence become spaces: no closing mark before, a small letter after."""
+    return F.regexp_replace(x, "(?<=[^.!?:;\\n])[ \\t]*\\n(?=\\p{Ll})", " ")
+
+
+def plain_heading(line: Column, following: Column) -> Column:
+    """Whether a line of plain text is a heading: capitals only, three or more, short, with text below."""
+    letters = F.regexp_replace(line, "[^\\p{L}]", "")
+    return (F.length(line) <= 100) & (F.trim(following) != "") & (F.length(letters) >= 3) & (letters == F.upper(letters)) & ~letters.rlike("\\p{Ll}")
+
+
+def strip_inline_marks(x: Column) -> Column:
+    """Text without the marks of emphasis and code."""
+    return F.trim(F.regexp_replace(x, "[*_`]+", ""))
+
+
+def first_line(x: Column, longest: int = 120) -> Column:
+    """The first line with something in it, cut to ``longest`` characters; empty without one."""
+    return F.coalesce(F.substring(F.get(F.filter(F.transform(F.split(x, "\\r\\n|\\n|\\r"), F.trim), lambda y: y != ""), F.lit(0)), 1, longest), F.lit(""))
+
+
+def running_key(line: Column) -> Column:
+    """Key of a line that may repeat from page to page: digits count alike."""
+    return F.regexp_replace(F.lower(clean_spaces(line)), "[0-9]+", "#")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +36,58 @@ def disabled(chosen: DataFrame, rules: DataFrame) -> DataFrame:
 def price(chosen: DataFrame, options: DataFrame, base: int) -> DataFrame:
     """(state, price): the base and the prices of the chosen options."""
     return chosen.join(F.broadcast(options), ["group_id", "option_id"], "left").groupBy("state").agg((F.lit(base) + F.sum(F.coalesce("price", F.lit(0)))).alias("price"))
+
+
+def _reason(rules: list[dict], state: dict, group: str, option: str) -> str | None:
+    for rule in rules:
+        when = rule.get("when", {})
+        if option in rule.get("disable", {}).get(group, ()) and all(k != group and state.get(k) in v for k, v in when.items()):
+            return rule.get("reason", "not available")
+    return None
+
+
+def settled(groups: list[dict], rules: list[dict], state: dict, held: str | None = None) -> dict:
+    """A state without forbidden options: each is replaced by the default of its group, or by
+    the first option that is free, until nothing changes. ``held``: a group to leave alone.
+
+    ``groups``: id, default, options (list of ids). ``rules``: when and disable (group to
+    options), reason.
+    """
+    state = {g["id"]: state[g["id"]] if state.get(g["id"]) in g["options"] else g["default"] for g in groups}
+    for _ in range(len(groups) + 1):
+        before = dict(state)
+        for g in groups:
+            own = g["id"]
+            if own == held or _reason(rules, state, own, state[own]) is None:
+                continue
+            free = (o for o in [g["default"], *g["options"]] if o != state[own] and _reason(rules, state, own, o) is None)
+            state[own] = next(free, state[own])
+        if state == before:
+            break
+    return state
+
+
+def resolve(picks: Column, groups: list[dict], rules: list[dict]) -> Column:
+    """The settled state of a map of picks: defaults for what is missing or unknown, no forbidden option."""
+
+    @F.pandas_udf("map<string,string>")
+    def each(states: pd.Series) -> pd.Series:
+        return states.map(lambda s: settled(groups, rules, dict(s) if s is not None else {}))
+
+    return each(picks)
+
+
+def select(picks: Column, group: Column, option: Column, groups: list[dict], rules: list[dict]) -> Column:
+    """struct(state, blocked): the state after one choice; with a reason in ``blocked`` it stays as it was."""
+
+    @F.pandas_udf("state map<string,string>, blocked string")
+    def each(states: pd.Series, chosen: pd.Series, options: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, g, o in zip(states, chosen, options, strict=True):
+            state = settled(groups, rules, dict(s) if s is not None else {})
+            known = any(x["id"] == g and o in x["options"] for x in groups)
+            blocked = _reason(rules, state, g, o) if known else "unknown option"
+            out.append((state, blocked) if blocked else (settled(groups, rules, {**state, g: o}, g), None))
+        return pd.DataFrame(out, columns=["state", "blocked"])
+
+    return each(picks, group, option)

@@ -56,8 +56,9 @@ def unit_economics(skus: DataFrame, drivers: DataFrame, rates: Rates = Rates())
     x = x.withColumn("pretax", c("price") - c("landed") - c("fee") - c("shipping") - c("ads_unit"))
     tax = {"turnover": c("price") * rates.tax_turnover, "margin": F.greatest(c("pretax") * rates.tax_margin, c("price") * rates.tax_floor), "professional": c("price") * rates.tax_professional}[rates.tax]
     x = x.withColumn("tax", tax).withColumn("profit", c("pretax") - c("tax"))
-    whole = Window.partitionBy("scenario")
-    x = x.withColumn("rev_share", safe_div(c("price") * c("plateau"), F.sum(c("price") * c("plateau")).over(whole)))
+    # The whole of a scenario is summed in the map tasks and joined back: one row a scenario.
+    whole = x.groupBy(c("scenario").alias("_scenario")).agg(F.sum(c("price") * c("plateau")).alias("_whole"))
+    x = x.join(whole, c("scenario") == c("_scenario")).withColumn("rev_share", safe_div(c("price") * c("plateau"), c("_whole"))).drop("_scenario", "_whole")
     paid = c("profit") > 0
     return x.withColumns(
         {
@@ -137,3 +138,43 @@ def sensitivity(skus: DataFrame, rates: Rates, fx_axis: list[float], price_axis:
     grid = spark.createDataFrame([(f"{a}|{b}", float(a), 1 + float(b), 1.0, rates.ads, float(a), float(b)) for a in fx_axis for b in price_axis], "scenario string, fx double, price_mult double, sales_mult double, ads double, axis_fx double, axis_price double")
     unit = unit_economics(skus, grid, rates)
     return unit.groupBy("axis_fx", "axis_price").agg(F.sum(F.col("profit") * F.col("plateau_eff")).alias("profit"))
+
+
+def certification(plan: DataFrame, keys: list[str], month: str, orders: str, cost: str) -> DataFrame:
+    """``plan`` with ``cert``: the cost of certification in the month of the first order of a key."""
+    earlier = Window.partitionBy(*keys).orderBy(month).rowsBetween(Window.unboundedPreceding, -1)
+    first = (F.col(orders) > 0) & (F.coalesce(F.sum(orders).over(earlier), F.lit(0.0)) == 0)
+    return plan.withColumn("cert", F.when(first, F.col(cost)).otherwise(0.0))
+
+
+def running_profit(monthly: DataFrame, keys: list[str], order: str, net: str, revenue: str) -> DataFrame:
+    """``monthly`` with ``net_cum`` (profit so far) and ``net_margin``."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return monthly.withColumns({"net_cum": F.sum(net).over(so_far), "net_margin": safe_div(F.col(net), F.col(revenue))})
+
+
+def project_kpis(monthly: DataFrame, keys: list[str], order: str, revenue: str, net: str, cash: str, start: float) -> DataFrame:
+    """One row for each key: revenue, net_profit, net_margin, peak_investment, max_gap, first_gap,
+    payback (months until the cash never falls below ``start`` again; null: not in the
+    horizon), roi and end_cash, of months in the order of ``order``."""
+    line = Window.partitionBy(*keys).orderBy(order)
+    rows = monthly.withColumns({"_n": F.row_number().over(line), "_low": F.min(cash).over(line.rowsBetween(0, Window.unboundedFollowing))})
+    out = rows.groupBy(*keys).agg(
+        F.sum(revenue).alias("revenue"),
+        F.sum(net).alias("net_profit"),
+        F.greatest(F.lit(0.0), F.lit(start) - F.min(cash)).alias("peak_investment"),
+        F.greatest(F.lit(0.0), -F.min(cash)).alias("max_gap"),
+        F.min(F.when(F.col(cash) < 0, F.col(order))).alias("first_gap"),
+        F.min(F.when(F.col("_low") >= start, F.col("_n"))).alias("payback"),
+        F.max_by(cash, order).alias("end_cash"),
+    )
+    return out.withColumns({"net_margin": safe_div(F.col("net_profit"), F.col("revenue")), "roi": safe_div(F.col("net_profit"), F.col("peak_investment"))})
+
+
+def balance(ends: DataFrame) -> DataFrame:
+    """``ends`` (cash, stock_value, transit_value, receivable, tax_payable, start_capital,
+    start_stock_value, net_profit) with ``equity``, ``balance_diff`` and ``balance_ok``."""
+    c = F.col
+    equity = c("cash") + c("stock_value") + c("transit_value") + c("receivable") - c("tax_payable")
+    diff = equity - (c("start_capital") + c("start_stock_value") + c("net_profit"))
+    return ends.withColumns({"equity": equity, "balance_diff": diff, "balance_ok": excel_round(diff, 2) == 0})

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,3 +49,43 @@ def recent_requests(df: DataFrame, user: str, time: str, order: str, limit: int,
     # Of events in one second only those with a smaller number are earlier.
     out = df.withColumn("_s", at).withColumn("recent", F.count(F.lit(1)).over(trailing) - F.count(F.lit(1)).over(same))
     return out.withColumn("over", F.col("recent") >= limit).drop("_s")
+
+
+def forget_users(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of users that have not withdrawn their consent (``gone`` has their keys)."""
+    return df.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def newest(df: DataFrame, order: str, k: int) -> DataFrame:
+    """The ``k`` newest rows, newest first."""
+    return df.orderBy(F.desc(order)).limit(k)
+
+
+def limited(df: DataFrame, user: str, time: str, order: str, limit: int, seconds: int = 3600) -> DataFrame:
+    """Each request with ``accepted`` and, where it is not, ``wait_minutes``.
+
+    A request is accepted when fewer than ``limit`` of its user were accepted in the
+    ``seconds`` before; otherwise the user waits until the oldest of the last ``limit``
+    leaves the window, in whole minutes. A request at the very end of the window is
+    out of it. Users are sorted inside their partitions and read as a stream, with the
+    last ``limit`` times of one user in memory, however many requests that user made.
+    """
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, taken = object(), deque(maxlen=limit)
+        for rows in batches:
+            accepted, waits = [], []
+            for who, at in zip(rows["_user"], rows["_at"], strict=True):
+                if who != now:
+                    now, taken = who, deque(maxlen=limit)
+                free = len(taken) < limit or at - taken[0] >= seconds
+                accepted.append(free)
+                waits.append(None if free else max(1, math.ceil((taken[0] + seconds - at) / 60)))
+                if free:
+                    taken.append(at)
+            yield pd.DataFrame({"_order": rows["_order"], "accepted": accepted, "wait_minutes": pd.array(waits, dtype="Int64")})
+
+    slim = df.select(F.col(user).alias("_user"), F.unix_seconds(F.col(time).cast("timestamp")).alias("_at"), F.col(order).alias("_order")).filter("_user is not null")
+    kind = slim.schema["_order"].dataType.simpleString()
+    out = slim.repartition("_user").sortWithinPartitions("_user", "_at", "_order").mapInPandas(decide, f"_order {kind}, accepted boolean, wait_minutes long")
+    return df.join(out, F.col(order) == F.col("_order")).drop("_order")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K1, B = 1.5, 0.75
+QUERY_BLOCK = 4096  # vectors of a broadcast
 # English function words that carry no meaning in a query.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your", "do", "does", "can")
 
@@ -62,9 +63,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similar(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine; the query set is a stated, small table."""
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    pairs = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("_v")).crossJoin(F.broadcast(asked))
+    """The k nearest vectors of each query by cosine: a stated set of queries against all vectors.
+
+    Queries are taken in blocks of some ``QUERY_BLOCK``; each block is held against every
+    vector, in as many tasks as the vectors have partitions.
+    """
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q")).withColumn("_block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    rows = vectors.select(F.col(key).alias("doc"), F.col(vector).alias("_v"))
+    pairs = None
+    for b in range(blocks):
+        part = rows.crossJoin(F.broadcast(asked.filter(F.col("_block") == b)))  # some QUERY_BLOCK rows
+        pairs = part if pairs is None else pairs.unionByName(part)
     return top_k(pairs.select("query", "doc", cosine(F.col("_q"), F.col("_v")).alias("score")), k)
 
 
@@ -95,12 +105,88 @@ def vocabulary_variants(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, variant): vocabulary words that share a long prefix with a term.
 
     The common prefix has at least four letters and at most two less than the longer
-    word; lengths differ by three at most; words with digits have no variants. An
+    word; lengths differ by three at most; numbers have no variants. An
     equality of the first four letters finds the candidates.
     """
-    plain = lambda df, c, n: df.select(F.col(c).alias(n)).distinct().filter((F.length(n) >= 4) & ~F.col(n).rlike("[0-9]")).withColumn(f"_{n}", F.substring(n, 1, 4))
+    plain = lambda df, c, n: df.select(F.col(c).alias(n)).distinct().filter((F.length(n) >= 4) & ~F.col(n).rlike("^[0-9]+$")).withColumn(f"_{n}", F.substring(n, 1, 4))
     pairs = plain(terms, "term", "term").join(plain(vocabulary, "term", "variant"), F.col("_term") == F.col("_variant"))
     longest = F.greatest(F.length("term"), F.length("variant"))
     need = F.greatest(F.lit(4), longest - 2)
     close = (F.abs(F.length("term") - F.length("variant")) <= 3) & (F.least(F.length("term"), F.length("variant")) >= need)
     return pairs.filter(close & (F.col("term") != F.col("variant")) & (F.expr("substring(term, 1, greatest(4, greatest(length(term), length(variant)) - 2))") == F.expr("substring(variant, 1, greatest(4, greatest(length(term), length(variant)) - 2))"))).select("term", "variant")
+
+
+def decide(best: DataFrame, least_coverage: float, least_similarity: float | None = None) -> DataFrame:
+    """``best`` (query, terms, hits, coverage, similarity) with ``answer`` and the ``reason``.
+
+    No hits, or a question without terms or vector, is refused; else coverage at its
+    threshold is enough, or similarity at its own.
+    """
+    close = F.coalesce(F.col("similarity") >= F.lit(least_similarity), F.lit(False)) if least_similarity is not None else F.lit(False)
+    covered = F.coalesce(F.col("coverage"), F.lit(0.0)) >= least_coverage
+    reason = (
+        F.when(F.coalesce(F.col("hits"), F.lit(0)) == 0, "nothing found")
+        .when((F.col("terms") == 0) & F.col("similarity").isNull(), "no terms")
+        .when(covered, "coverage")
+        .when(close, "similarity")
+        .otherwise("below threshold")
+    )
+    return best.withColumns({"reason": reason, "answer": reason.isin("coverage", "similarity")})
+
+
+def synonym_groups(lines: DataFrame, line: str, term: Column | None = None) -> DataFrame:
+    """(term, group): interchangeable terms of lines such as ``car, auto  # note``, one group a line.
+
+    Phrases of several words are left out, and so are groups of one term. The group is
+    named by its first term; a term of several lines belongs to all of their groups.
+    """
+    bare = F.substring_index(F.col(line), "#", 1)
+    entries = F.filter(F.transform(F.split(F.lower(bare), ","), F.trim), lambda e: (e != "") & ~e.contains(" "))
+    groups = lines.select(F.array_sort(F.array_distinct(entries)).alias("e")).filter(F.size("e") > 1)
+    return groups.select(F.explode("e").alias("term"), F.get("e", F.lit(0)).alias("group")).distinct()
+
+
+def expand_terms(terms: DataFrame, groups: DataFrame) -> DataFrame:
+    """(query, group, term, weight) of ``terms`` (query, term): each term and its synonyms as one group."""
+    own = groups.select(F.col("term").alias("_t"), F.col("group").alias("_g"))
+    others = groups.select(F.col("term").alias("_o"), F.col("group").alias("_g"))
+    wider = terms.join(own, F.col("term") == F.col("_t")).join(others, "_g").select("query", F.col("term").alias("group"), F.col("_o").alias("term"))
+    return terms.select("query", F.col("term").alias("group"), "term").unionByName(wider).distinct().withColumn("weight", F.lit(1.0))
+
+
+def _plain(x: Column) -> Column:
+    """Names and headings as citations are compared: case, quotes, spaces and final dots do not matter."""
+    bare = F.regexp_replace(F.translate(F.lower(x), "ё«»\"'“”„", "е"), "(?U)\\s+", " ")
+    return F.regexp_replace(bare, "^[ .]+|[ .]+$", "")
+
+
+def citations(answers: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(answer, part, labels): every source that an answer cites in brackets, and the allowed labels meant.
+
+    ``answers``: answer, text. ``allowed``: answer, number (from 1), label, file, page,
+    section. A part names a fragment by number (``фрагмент 2``), or a file, by its path or
+    its end, with a page or part of a section title; a file alone means all its
+    fragments. No labels: the source was not among those given.
+    """
+    inner = F.explode(F.regexp_extract_all("text", F.lit("[\\[]([^\\[\\]]+)[\\]]"), F.lit(1))).alias("inner")
+    parts = answers.select("answer", inner).select("answer", F.explode(F.split("inner", ";")).alias("part")).select("answer", F.trim("part").alias("part")).distinct()
+    rest = F.trim(F.regexp_replace("part", "^[^,]*,?", ""))
+    parts = parts.withColumns({
+        "_number": F.regexp_extract("part", "(?iu)^(?:фрагмент|fragment)?\\s*№?\\s*([0-9]+)$", 1).try_cast("int"),
+        "_file": _plain(F.substring_index("part", ",", 1)),
+        "_page": F.regexp_extract(rest, "([0-9]+)", 1).try_cast("int"),
+        "_rest": _plain(F.regexp_replace(F.lower(rest), "^(раздел|разд[.]|глава|пункт)\\s*", "")),
+    })
+    known = allowed.select(F.col("answer").alias("_a"), "number", "label", "page", _plain(F.col("file")).alias("_known"), _plain(F.col("section")).alias("_section"))
+    joined = parts.join(known, F.col("answer") == F.col("_a"), "left")
+    named = (F.col("_file") != "") & ((F.col("_known") == F.col("_file")) | F.col("_known").endswith(F.concat(F.lit("/"), F.col("_file"))))
+    by_page = named & (F.col("page") == F.col("_page"))
+    by_section = named & (F.col("_rest") != "") & (F.col("_section") != "") & (F.col("_section").contains(F.col("_rest")) | F.col("_rest").contains(F.col("_section")))
+    # Of the ways that fit, the first one counts; a page or a section means one fragment.
+    way = F.when(F.col("_number").isNotNull(), F.when(F.col("number") == F.col("_number"), 0)).when(named & (F.col("_rest") == ""), 3).when(by_page, 1).when(by_section, 2)
+    met = joined.withColumn("_way", way)
+    hit = F.struct(F.col("_way").alias("w"), F.col("number").alias("n"), F.col("label").alias("l"))
+    found = met.groupBy("answer", "part").agg(F.array_sort(F.collect_list(F.when(F.col("_way").isNotNull(), hit))).alias("f"))
+    best = F.get("f", F.lit(0))["w"]
+    labels = F.when(best < 3, F.array(F.get("f", F.lit(0))["l"])).otherwise(F.array_distinct(F.transform("f", lambda x: x["l"])))
+    return found.select("answer", "part", F.coalesce(labels, F.array().cast("array<string>")).alias("labels"))

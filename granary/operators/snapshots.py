@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOLERANCE = 0.005
+RANGES = 256  # ranges that a ranking is cut into
 
 
 def item_key(parts: list[Column], url: Column) -> Column:
@@ -56,9 +57,21 @@ def changes(previous: DataFrame, current: DataFrame, key: str, price: str, title
 
 
 def largest_first(feed: DataFrame) -> DataFrame:
-    """Price changes with their place by size; undefined percentages come first."""
-    order = Window.orderBy(F.abs("pct").desc_nulls_first(), "key")
-    return feed.filter("kind = 'price'").withColumn("place", F.row_number().over(order))
+    """Price changes with their place by size; undefined percentages come first.
+
+    Quantiles of the size cut the feed into ranges; a place is the count of rows in the
+    ranges before and the number of the row in its own, so no task sorts the whole feed.
+    """
+    rows = feed.filter("kind = 'price'").withColumn("_size", F.abs("pct"))
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    ends = sorted(set(rows.agg(F.percentile_approx("_size", shares, F.lit(100 * RANGES))).first()[0] or []), reverse=True)
+    cell = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]).cast("array<double>"), lambda e: e > F.col("_size"))) + 1, F.lit(0))
+    rows = rows.withColumn("_range", F.when(F.col("_size").isNull(), 0).otherwise(cell))
+    # RANGES rows at most
+    starts = rows.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(F.desc_nulls_first("_size"), "key")
+    placed = rows.withColumn("_at", F.row_number().over(inside)).join(starts, F.col("_range") == F.col("_r"))
+    return placed.withColumn("place", F.col("_start") + F.col("_at")).drop("_size", "_range", "_r", "_start", "_at")
 
 
 def latest_run(runs: DataFrame, config: str, run_id: str, complete: str) -> DataFrame:
@@ -92,3 +105,40 @@ def join_details(items: DataFrame, details: DataFrame, url: str, fields: list[st
     named = details.select(F.col(url).alias("_u"), *[F.col(c).alias(f"_d_{c}") for c in fields])
     out = items.join(named, F.col(url) == F.col("_u"), "left")
     return out.withColumns({c: F.coalesce(F.nullif(F.col(f"_d_{c}"), F.lit("")), F.col(c)) for c in fields}).drop("_u", *[f"_d_{c}" for c in fields])
+
+
+def save_run(items: DataFrame, path: str, config: str, run_id: int) -> None:
+    """The items of one run as JSON text (config, run_id, item_key, data), in a folder of its own: writing again replaces it."""
+    data = F.to_json(F.struct(*[c for c in items.columns if c != "item_key"]), {"ignoreNullFields": "false"})
+    items.select("item_key", data.alias("data")).write.mode("overwrite").parquet(f"{path}/config={config}/run_id={run_id}")
+
+
+def load_run(spark, path: str, config: str, run_id: int, schema: str) -> DataFrame:
+    """The items of a stored run, with the columns of ``schema``."""
+    stored = spark.read.parquet(path).filter((F.col("config") == config) & (F.col("run_id") == run_id))
+    return stored.select("item_key", F.from_json("data", schema).alias("d")).select("item_key", "d.*")
+
+
+def list_runs(runs: DataFrame, config: str, run_id: str, k: int = 20) -> DataFrame:
+    """The ``k`` newest runs of each config, with their place from 1."""
+    order = Window.partitionBy(config).orderBy(F.desc(run_id))
+    return runs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def sync_by_content(previous: DataFrame, current: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, state, sha256): added, updated, unchanged or removed documents by the hash of their text.
+
+    ``previous`` holds key and sha256; only added and updated documents need work again.
+    """
+    now = current.select(F.col(key).alias("_n"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_hash"))
+    both = previous.select(F.col(key).alias("_k"), F.col("sha256").alias("_old")).join(now, F.col("_k") == F.col("_n"), "full_outer")
+    state = F.when(F.col("_k").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_old") == F.col("_hash"), "unchanged").otherwise("updated")
+    return both.select(F.coalesce("_n", "_k").alias(key), state.alias("state"), F.col("_hash").alias("sha256"))
+
+
+def change_lines(feed: DataFrame) -> DataFrame:
+    """(kind, key, line): the change feed as lines of a report."""
+    percent = F.when(F.col("pct").isNotNull(), F.concat(F.lit(" ("), F.format_string("%+.1f", "pct"), F.lit(" %)"))).otherwise("")
+    moved = F.concat(F.lit(": "), F.coalesce("old", F.lit("-")), F.lit(" -> "), F.coalesce("new", F.lit("-")))
+    line = F.concat(F.lit("- "), F.coalesce("title", F.col("key").cast("string")), F.when(F.col("kind") == "price", F.concat(moved, percent)).when(F.col("kind") == "field", F.concat(F.lit(", "), F.col("field"), moved)).otherwise(""))
+    return feed.select("kind", "key", line.alias("line"))

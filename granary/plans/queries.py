@@ -321,13 +321,13 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.crossJoin(F.broadcast(total)).select("term", "df", F.round(search.idf(F.col("df"), F.col("total")), 6).alias("idf"))
 
 
-_COSINE = """with q as (select vec_id as query, embedding::double[] as v from embeddings where vec_id < 20), d as (select vec_id as doc, embedding::double[] as w from embeddings),
+_COSINE = """with q as (select vec_id as query, embedding::double[] as v from embeddings where vec_id % 100 = 0), d as (select vec_id as doc, embedding::double[] as w from embeddings),
     c as (select query, doc, list_cosine_similarity(v, w) as score from q, d), cr as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from c)"""
 
 
 def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return search.similar(vectors, vectors.filter("vec_id < 20"), "vec_id", "embedding", k)
+    return search.similar(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", k)
 
 
 @query(_COSINE + " select query, doc, round(score, 6) as score, rank from cr where rank <= 10")
@@ -335,11 +335,15 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
-@query(_BM25 + ", " + _COSINE.removeprefix("with ") + """, u as (select query, doc, rank from top where rank <= 50 union all select query, doc, rank from cr where rank <= 50),
+@query(_BM25 + """, plain as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as place from r),
+    u as (select query, doc, rank from top where rank <= 50 union all select query, doc, place from plain where place <= 50),
     f as (select query, doc, sum(1.0 / (60 + rank)) as score from u group by all), g as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from f)
     select query, doc, round(score, 9) as score, rank from g where rank <= 10""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = search.fuse([_ranked(spark, sf_dir, 50), _nearest(spark, sf_dir, 50)], 10)
+    """Two rankings of the same questions over the same documents: with and without coverage."""
+    scored = search.bm25(table(spark, sf_dir, "documents"), _question_terms(spark, sf_dir), "doc_id", "text")
+    mixed = search.top_k(scored.withColumn("mixed", F.col("score") * (0.25 + F.col("coverage"))), 50, "mixed")
+    fused = search.fuse([mixed, search.top_k(scored, 50)], 10)
     return fused.select("query", "doc", F.round("score", 9).alias("score"), "rank")
 
 

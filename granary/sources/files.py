@@ -31,10 +31,14 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter:
     """A CSV as strings, so that codes keep their zeros; header names are made unique."""
     head = [r.value for r in spark.read.option("encoding", encoding).text(path).limit(20).collect()]
     mark = delimiter or delimiter_of("\n".join(head))
-    df = spark.read.option("header", False).option("sep", mark).option("encoding", encoding).option("multiLine", True).option("inferSchema", False).csv(path)
-    names = unique_names([(c or "").lstrip("﻿") for c in df.first() or []])
-    numbered = df.toDF(*names)
-    return numbered.filter(~F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]).eqNullSafe(F.array(*[F.lit(v or "") for v in (df.first() or [])])))
+    options = spark.read.option("sep", mark).option("encoding", encoding).option("multiLine", True).option("inferSchema", False)
+    first = options.option("header", False).csv(path).first()
+    if first is None:
+        return spark.createDataFrame([], "value string").drop("value")
+    names = unique_names([(c or "").lstrip("\ufeff") for c in first])
+    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    # The reader skips the header of each file itself; names come from the schema.
+    return options.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +67,8 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ";") -> None:
         c = F.col(f"`{f.name}`")
         kind = f.dataType.typeName()
         if kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.translate(F.regexp_replace(c.cast("string"), "\\.0$", ""), ".", ",")
+            plain = F.coalesce(c.try_cast("decimal(38,10)").cast("string"), c.cast("string"))
+            c = F.translate(F.regexp_replace(F.regexp_replace(plain, "([.][0-9]*?)0+$", "$1"), "[.]$", ""), ".", ",")
         elif kind in ("date", "timestamp", "timestamp_ntz"):
             c = F.regexp_replace(F.date_format(c, "dd.MM.yyyy HH:mm"), " 00:00$", "")
         elif kind == "boolean":
