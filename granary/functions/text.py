@@ -228,7 +228,7 @@ def strip_inline_marks(x: Column) -> Column:
 
 def first_line(x: Column, longest: int = 120) -> Column:
     """The first line with something in it, cut to ``longest`` characters; empty without one."""
-    return F.coalesce(F.substring(F.get(F.filter(F.transform(F.split(x, "\\r\\n|\\n|\\r"), F.trim), lambda y: y != ""), F.lit(0)), 1, longest), F.lit(""))
+    return F.coalesce(F.substring(F.get(F.filter(F.transform(F.split(x, "\\r\\n|\\n|\\r"), lambda y: F.trim(y)), lambda y: y != ""), F.lit(0)), 1, longest), F.lit(""))
 
 
 def running_key(line: Column) -> Column:

@@ -141,7 +141,7 @@ def synonym_groups(lines: DataFrame, line: str, term: Column | None = None) -> D
     named by its first term; a term of several lines belongs to all of their groups.
     """
     bare = F.substring_index(F.col(line), "#", 1)
-    entries = F.filter(F.transform(F.split(F.lower(bare), ","), F.trim), lambda e: (e != "") & ~e.contains(" "))
+    entries = F.filter(F.transform(F.split(F.lower(bare), ","), lambda e: F.trim(e)), lambda e: (e != "") & ~e.contains(" "))
     groups = lines.select(F.array_sort(F.array_distinct(entries)).alias("e")).filter(F.size("e") > 1)
     return groups.select(F.explode("e").alias("term"), F.get("e", F.lit(0)).alias("group")).distinct()
 
