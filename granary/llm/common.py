@@ -110,14 +110,15 @@ def heavy_table(df: DataFrame, key: str, found: list[tuple]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame([x for x in found if x[0] is not None], f"`{key}` {df.schema[key].dataType.simpleString()}, parts long"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, salt: Column, how: str = "inner", found: list[tuple] | None = None) -> DataFrame:
     """``left`` joined with ``right`` (few rows of a key) on ``key``, hot keys dealt over tasks.
 
     Rows of ``left`` with a hot key are dealt by the hash of ``salt`` into as many parts
     as that key fills, and its rows of ``right`` are repeated once for each part. ``how``
-    keeps rows of ``left`` only: inner, left, left_semi or left_anti.
+    keeps rows of ``left`` only: inner, left, left_semi or left_anti. ``found``: the hot
+    keys, where ``left`` is no table and should not be computed for them.
     """
-    found = heavy_values(left, key)
+    found = heavy_values(left, key) if found is None else found
     if not found:
         return left.join(right, key, how)
     few = heavy_table(left, key, found).select(F.col(key).alias("_hot"), F.col("parts").alias("_parts"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, let, new_folder, remove, spread_join, text_of, words
+from .common import cut, heavy_values, let, new_folder, remove, spread_join, text_of, words
 
 SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 12, 6, 1  # ERRORS: differing places enumerated in a chunk
@@ -188,9 +188,9 @@ def shingle_sets(ids: DataFrame, df: DataFrame, id_col: str, text_col: str, path
 
 def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """Those of the table of pairs (a, b) whose full shingle sets are similar enough."""
-    # A shared member of keys (b) may be in many pairs: they are dealt over tasks, each with its set.
+    # One row may be in many pairs, on either side: they are dealt over tasks, each with its set.
     found = spread_join(pairs, sets.select(F.col("id").alias("b"), F.col("set").alias("_y")), "b", F.col("a"))
-    found = found.join(sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a")
+    found = spread_join(found, sets.select(F.col("id").alias("a"), F.col("set").alias("_x")), "a", F.col("b"), found=heavy_values(pairs, "a"))
     both = F.size(F.array_intersect("_x", "_y"))
     return found.filter(100 * both >= least * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
