@@ -45,6 +45,19 @@ class Field:
     many: bool = False
 
 
+@dataclass(frozen=True)
+class Specs:
+    """A table of properties: ``key`` and ``value`` select within each of ``rows``, or,
+    without ``rows``, parallel lists of the page (``dt`` and ``dd``)."""
+
+    key: str
+    value: str
+    rows: str = ""
+    prefix: str = ""
+    only: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+
+
 class _Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -193,3 +206,30 @@ def extract(pages: DataFrame, fields: list[Field], card: str = "", page_id: str
             yield pd.DataFrame(out, columns=schema.names)
 
     return pages.selectExpr(f"{page_id} as page_id", f"{url} as url", f"{html} as html").mapInPandas(rows, schema)
+
+
+def specs(pages: DataFrame, spec: Specs, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, name, value) of the properties of each page; of a name found twice the last value counts.
+
+    Names lose colons at their end; ``only`` and ``without`` name those wanted and
+    unwanted. Rows without a key or a value, keys without a partner and empty names are
+    left out; a null page has none.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, text in zip(batch["page_id"], batch["html"], strict=True):
+                tree = _Tree()
+                tree.feed(text or "")
+                tree.close()
+                if spec.rows:
+                    found = [(select(row, spec.key), select(row, spec.value)) for row in select(tree.root, spec.rows)]
+                    pairs = [(k[0], v[0]) for k, v in found if k and v]
+                else:
+                    pairs = list(zip(select(tree.root, spec.key), select(tree.root, spec.value), strict=False))
+                named = {k.text().rstrip(":").strip(): v.text() for k, v in pairs}
+                out.extend((key, spec.prefix + k, v) for k, v in named.items() if k and k not in spec.without and (not spec.only or k in spec.only))
+            yield pd.DataFrame(out, columns=["page_id", "name", "value"])
+
+    return pages.selectExpr(f"cast({page_id} as long) as page_id", f"{html} as html").mapInPandas(rows, "page_id long, name string, value string")

@@ -6,16 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stems import stem_ru
+
 K1, B = 1.5, 0.75
 QUERY_BLOCK = 4096  # vectors of a broadcast
 # English function words that carry no meaning in a query.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your", "do", "does", "can")
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words of letters and digits, lower-cased; stop words and single letters are left out."""
     found = F.regexp_extract_all(F.translate(F.lower(text), "ё", "е"), F.lit("([a-zа-я0-9]+)"), F.lit(1))
-    return F.filter(found, lambda w: ~w.isin(*STOP_WORDS) & ((F.length(w) > 1) | w.rlike("^[0-9]$")))
+    return F.filter(found, lambda w: ~w.isin(*stop) & ((F.length(w) > 1) | w.rlike("^[0-9]$")))
+
+
+def stemmed(words: Column) -> Column:
+    """Tokens with Russian words cut to their stems; numbers and words in other letters stay as they are."""
+    return F.transform(words, lambda w: F.when(w.rlike("[а-я]"), stem_ru(w)).otherwise(w))
 
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:

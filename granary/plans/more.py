@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import choices, finance, layout, leads, search, snapshots, tabular
+from ..operators import choices, finance, layout, leads, markup, search, snapshots, tabular
 from .queries import _BM25, _MONTHLY, _feed, _SNAPSHOTS, _monthly, _question_terms, query, table
 
 # ---- scalars
@@ -57,9 +57,26 @@ def item_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", snapshots.item_key([brand, F.col("p_name")], F.concat(F.lit("http://shop/"), F.col("p_partkey"))).alias("item_key"), text.map_value(F.col("p_brand"), {"BRAND#11": "first"}).alias("mapped"))
 
 
+@query("""with f as (select ['вагоны', 'важнейшими', 'доставка', 'емкость', 'задержали', 'павлиньим', 'скорость', 'длинный'] as said, ['вагон', 'важн', 'доставк', 'емкост', 'задержа', 'павлин', 'скорост', 'длин'] as stems)
+    select p_partkey, stems[p_partkey % 8 + 1] || ' ' || p_size || ' ' || stems[p_size % 8 + 1] || ' boxes' as stems from part, f""")
+def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.array(*[F.lit(w) for w in ("Вагоны", "важнейшими", "ДОСТАВКА", "Ёмкость", "задержали", "павлиньим", "скорость", "длинный")])
+    line = F.concat_ws(" ", F.get(said, (F.col("p_partkey") % 8).cast("int")), F.col("p_size"), F.lit("the"), F.get(said, (F.col("p_size") % 8).cast("int")), F.lit("boxes"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(search.stemmed(search.tokens(line)), " ").alias("stems"))
+
+
 # ---- layout of pages
 
 
+@query("""select p_partkey as page_id, unnest(['spec_Brand', 'spec_Size', 'spec_Box']) as name, unnest([p_brand, p_size::varchar, trim(regexp_replace(p_type, '\\s+', ' ', 'g'))]) as value from part""")
+def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = lambda k, v: F.concat(F.lit(f"<tr><th> {k}: </th><td><b>"), v, F.lit("</b></td>"))
+    html = F.concat(F.lit("<table><tr><td>no name</td></tr>"), row("Size", F.lit("old")), row("Brand", F.col("p_brand")), row("Size", F.col("p_size").cast("string")), row("Box", F.col("p_type")), row("Price", F.lit("1")), F.lit("</table>"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return markup.specs(pages, markup.Specs("th", "td", rows="tr", prefix="spec_", without=("Price",)))
+
+
+
 @query("""with l as (select source, doc_id, 'Page ' || doc_id || ' of the report' as line from documents),
     p as (select source, count(distinct doc_id) as total from documents group by source)
     select source, 'page # of the report' as key, total as pages from p where total >= 2""")

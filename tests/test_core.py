@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import comparable
-from granary.functions import numbers, text, wording
+from granary.functions import numbers, stems, text, wording
 from granary.operators import choices, chunks, finance, layout, leads, markup, search, snapshots
 from granary.plans import more  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
@@ -212,6 +212,20 @@ def test_citations_decisions_synonyms(spark):
     assert sorted((r.group, r.term) for r in wider.collect()) == [("car", "auto"), ("car", "car"), ("red", "red")]
 
 
+def test_stems_and_specs(spark):
+    # Words and stems of the published sample vocabulary.
+    pairs = "в в|вавиловка вавиловк|вагнера вагнер|вагонов вагон|вагоном вагон|важная важн|важнее важн|важнейшие важн|важничал важнича|важного важн|па па|пава пав|павел павел|павильонам павильон|павла павл|павлиний павлин|павлиньи павлин"
+    words = [p.split(" ") for p in pairs.split("|")]
+    rows = spark.createDataFrame([(k, w) for k, (w, _) in enumerate(words)], "k int, w string")
+    assert [r.s for r in rows.select("k", stems.stem_ru(F.col("w")).alias("s")).orderBy("k").collect()] == [s for _, s in words]
+    assert one(spark, None, stems.stem_ru) is None
+    assert one(spark, "Сколько СТОИТ Ёмкость 100 Вт·ч, boxes", lambda x: search.stemmed(search.tokens(x, ("сколько",)))) == ["сто", "емкост", "100", "вт", "boxes"]
+    page = "<dl><dt>Вес :<dd>2 кг<dt>:<dd>x<dt>Цвет<dd>бел<dt>Цвет<dd>сер<dt>Без пары</dl>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
+    assert sorted(map(tuple, markup.specs(pages, markup.Specs("dt", "dd")).collect())) == [(1, "Вес", "2 кг"), (1, "Цвет", "сер")]
+    assert markup.specs(pages, markup.Specs("dt", "dd", only=("Вес",), prefix="p:")).first().name == "p:Вес"
+
+
 def test_stored_runs_and_balance(spark, tmp_path):
     items = spark.createDataFrame([("k1", "a", 1.5), ("k2", None, None)], "item_key string, title string, price double")
     for _ in range(2):
