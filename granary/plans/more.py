@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numbers, text
-from ..operators import choices, finance, layout, leads, markup, search, snapshots, tabular
+from ..operators import choices, cleaning, finance, layout, leads, markup, search, snapshots, tabular
 from .queries import _BM25, _MONTHLY, _feed, _SNAPSHOTS, _monthly, _question_terms, query, table
 
 # ---- scalars
@@ -232,3 +233,85 @@ def content_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SNAPSHOTS + """ select kind, key, '- ' || title || case when kind = 'field' then ', ' || field || ': ' || (select p_brand from part where p_partkey = key) || ' -> renamed' else '' end as line from feed where kind <> 'price'""")
 def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.change_lines(_feed(spark, sf_dir).filter("kind <> 'price'"))
+
+
+# ---- cleaning and reports
+
+_MESSY = """messy as (select c_custkey as k, case c_custkey % 4 when 0 then '8 (900) 123-45-' || lpad((c_custkey % 100)::varchar, 2, '0') when 1 then 'none' when 2 then '+7 (900) 123-45-67' else ' ' end as phone,
+    case when c_custkey % 3 = 0 then ' User' || c_custkey || '@Example.com' when c_custkey % 3 = 1 then 'a@b' else '' end as mail,
+    case c_custkey % 5 when 0 then lpad((c_custkey % 28 + 1)::varchar, 2, '0') || '.03.2024' when 1 then 'soon' end as day,
+    case c_custkey % 2 when 0 then 'ivanov  petr' else 'Ivanov Petr' end as person from customer)"""
+
+
+def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    phone = F.when(k % 4 == 0, F.concat(F.lit("8 (900) 123-45-"), F.lpad((k % 100).cast("string"), 2, "0"))).when(k % 4 == 1, "none").when(k % 4 == 2, "+7 (900) 123-45-67").otherwise(" ")
+    mail = F.when(k % 3 == 0, F.concat(F.lit(" User"), k.cast("string"), F.lit("@Example.com"))).when(k % 3 == 1, "a@b").otherwise("")
+    day = F.when(k % 5 == 0, F.concat(F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(".03.2024"))).when(k % 5 == 1, "soon")
+    person = F.when(k % 2 == 0, "ivanov  petr").otherwise("Ivanov Petr")
+    return table(spark, sf_dir, "customer").select(k.alias("k"), phone.alias("phone"), mail.alias("mail"), day.alias("day"), person.alias("person"))
+
+
+_KINDS = {"phone": "phone", "mail": "email", "day": "date", "person": "name"}
+
+
+@query(f"""with {_MESSY} select k, case k % 4 when 0 then '+7 (900) 123-45-' || lpad((k % 100)::varchar, 2, '0') when 3 then null else phone end as phone, case k % 3 when 0 then 'user' || k || '@example.com' when 1 then 'a@b' end as mail,
+    case k % 5 when 0 then '2024-03-' || lpad((k % 28 + 1)::varchar, 2, '0') when 1 then 'soon' end as day, 'Ivanov Petr' as person from messy""")
+def cleaned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_table(_messy(spark, sf_dir), "k", _KINDS)[0]
+
+
+@query(f"""with {_MESSY} select k as row, 'phone' as "column", phone as before, case when k % 4 = 0 then '+7 (900) 123-45-' || lpad((k % 100)::varchar, 2, '0') else phone end as after, case when k % 4 = 0 then 'phone' else '' end as done, case when k % 4 = 1 then 'not read' end as problem from messy where k % 4 < 2
+    union all select k, 'mail', mail, case k % 3 when 0 then 'user' || k || '@example.com' else mail end, case k % 3 when 0 then 'spaces; email' else '' end, case k % 3 when 1 then 'not read' end from messy where k % 3 < 2
+    union all select k, 'day', day, case k % 5 when 0 then '2024-03-' || lpad((k % 28 + 1)::varchar, 2, '0') else day end, case k % 5 when 0 then 'date' else '' end, case k % 5 when 1 then 'not read' end from messy where k % 5 < 2
+    union all select k, 'person', person, 'Ivanov Petr', 'spaces; name', null from messy where k % 2 = 0""")
+def cleaning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_table(_messy(spark, sf_dir), "k", _KINDS)[1]
+
+
+@query("""with g as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber) as r from lineitem), n as (select l_orderkey, count(*) as n from g group by l_orderkey)
+    select l_orderkey, case when l_orderkey % 5 = 0 then case when n >= 3 then 2 else 0 end when n >= 2 then 1 else 0 end as header from n""")
+def sheet_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("row"), F.col("l_partkey").cast("string").alias("part"), "l_returnflag", F.col("l_quantity").cast("string").alias("qty"))
+    at = F.when(F.col("l_orderkey") % 5 == 0, 2).otherwise(1)
+    cells = F.when(F.col("row") == 0, F.array(F.lit("Report"), F.lit(" "), F.lit(None))).when(F.col("row") == at, F.array(F.lit("part"), F.lit("flag"), F.lit("quantity"))).otherwise(F.array("part", "l_returnflag", "qty"))
+    return cleaning.header_rows(rows.withColumn("cells", cells), "l_orderkey", "row", "cells")
+
+
+@query("""select 'suppliers' as source, count(*) filter (s_suppkey % 10 <> 0) as kept, count(*) filter (s_suppkey % 10 = 0) as skipped, 'segment' as missing, 'score' as unknown from supplier
+    union all select 'customers', count(*), 0, '', '' from customer""")
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = F.col("s_suppkey") % 10 != 0
+    left = table(spark, sf_dir, "supplier").select(F.when(some, F.col("s_name")).alias("supplier"), F.when(some, F.col("s_acctbal")).alias("score"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return cleaning.merge_report([("suppliers", left), ("customers", right)], {"suppliers": {"supplier": "name"}}, ["name", "segment", "country"])
+
+
+@query("""with t as (select distinct sha256(coalesce(text, '')) as key, coalesce(text, '') as text from documents where doc_id % 4 <> 0),
+    c as (select distinct sha256(coalesce(text, '')) as key from documents where doc_id % 3 = 0)
+    select key, case when key in (select key from c) then -1.0::double else length(text)::double end as first from t""")
+def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = docs.filter("doc_id % 3 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.array(F.lit(-1.0)).alias("vector")).distinct()
+    embed = lambda new: new.select("key", F.array(F.length("text").cast("double")).alias("vector"))
+    return cleaning.refreshed_vectors(docs.filter("doc_id % 4 <> 0"), "text", cache, embed).select("key", F.get("vector", F.lit(0)).alias("first"))
+
+
+@query("""with n as (select l_orderkey * 10 + l_linenumber as o, unnest([l_returnflag, l_linestatus]) as name, unnest([1, 2]) as p from lineitem),
+    f as (select name, min(o * 10 + p) as first from n where name <> 'A' group by name) select name, row_number() over (order by first) as place from f""")
+def specification_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.create_map("l_returnflag", F.lit(1), "l_linestatus", F.lit(2)).alias("specs"))
+    return cleaning.found_columns(items, "specs", "o", ["A"])
+
+
+@query("select n_nationkey, '| ' || n_nationkey || ' | ' || n_name || '\\| x | ' || coalesce(case when n_regionkey > 0 then n_regionkey::varchar end, '') || ' |' as line from nation")
+def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("|\nx")).alias("n"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("r"))
+    return rows.select("n_nationkey", cleaning.markdown_row(["n_nationkey", "n", "r"]).alias("line"))
+
+
+@query(_SNAPSHOTS + """, r as (select kind, row_number() over (partition by kind order by key, field)::int as place, title as line from feed)
+    select kind, place, line from r where place <= 5 union all select kind, 6, '... and ' || (count(*) - 5) || ' more' from r group by kind having count(*) > 5""")
+def change_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _feed(spark, sf_dir).select("kind", "key", "field", F.col("title").alias("line"))
+    return cleaning.shown_and_more(lines, "kind", ["key", "field"], "line", 5)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import comparable
 from granary.functions import numbers, stems, text, wording
-from granary.operators import choices, chunks, finance, layout, leads, markup, search, snapshots
+from granary.operators import choices, chunks, cleaning, finance, layout, leads, markup, search, snapshots
 from granary.plans import more  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
 from granary.sources import files
@@ -237,3 +237,47 @@ def test_stored_runs_and_balance(spark, tmp_path):
     path = str(tmp_path / "csv")
     files.write_csv(spark.createDataFrame([(1.5e7, "a"), (0.25, "x")], "n double, n2 string"), path)
     assert sorted(map(tuple, files.read_csv(spark, path).collect())) == [("0,25", "x"), ("15000000", "a")]
+
+
+@pytest.mark.parametrize(
+    "cell, kind, want",
+    [
+        ("  7707083893 ", "inn", ("7707083893", "spaces", None)),
+        ("7707083894", "inn", ("7707083894", "", "checksum")),
+        ("abc", "inn", ("abc", "", "not read")),
+        ("1 250,50", "number", ("1250.5", "number", None)),
+        ("05.09.2026 10:30", "date", ("2026-09-05 10:30:00", "date", None)),
+        ("  ", "text", (None, "", None)),
+        (" a ", "skip", (" a ", "", None)),
+        (None, "phone", (None, "", None)),
+    ],
+)
+def test_clean_cell(spark, cell, kind, want):
+    assert tuple(one(spark, cell, lambda x: cleaning.clean_cell(x, kind))) == want
+
+
+def test_clean_table_drops_rows_without_values(spark):
+    df = spark.createDataFrame([(1, " ", None), (2, "Ann", "x"), (2, "Ann", "x")], "k int, name string, mail string")
+    table, log = cleaning.clean_table(df, "k", {"name": "name", "mail": "email"})
+    assert sorted(map(tuple, table.collect())) == [(2, "Ann", "x")] * 2
+    assert sorted(map(tuple, log.collect())) == [(2, "mail", "x", "x", "", "not read")] * 2
+    assert [x.count() for x in cleaning.clean_table(df.limit(0), "k", {"name": "name"})] == [0, 0]
+
+
+def test_header_rows(spark):
+    rows = [("a", 0, ["Title", None, None]), ("a", 1, ["id", "name", None]), ("a", 2, ["1", "2", "3"]), ("b", 0, [" ", None]), ("b", 1, ["1", "2"]), ("c", 0, []), ("d", 20, ["id", "name"])]
+    grid = spark.createDataFrame(rows, "doc string, row int, cells array<string>")
+    assert dict(map(tuple, cleaning.header_rows(grid, "doc", "row", "cells").collect())) == {"a": 1, "b": 1, "c": 0, "d": 0}
+
+
+def test_refreshed_vectors_asks_for_each_new_text_once(spark):
+    texts = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "text string")
+    seen = []
+
+    def embed(new):
+        seen.extend(r.text for r in new.collect())
+        return new.select("key", F.array(F.lit(2.0)).alias("vector"))
+
+    cache = spark.createDataFrame([("a",), ("gone",)], "t string").select(F.sha2("t", 256).alias("key"), F.array(F.lit(1.0)).alias("vector"))
+    got = cleaning.refreshed_vectors(texts, "text", cache, embed)
+    assert sorted(seen) == ["", "b"] and sorted(r.vector[0] for r in got.collect()) == [1.0, 2.0, 2.0]
