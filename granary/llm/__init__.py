@@ -1,4 +1,4 @@
-"""Training-data operators: ten independent modules and the queries that apply them.
+"""Training-data operators: independent modules and the queries that apply them.
 
 Nothing outside this subpackage imports it, so it can be removed as a whole.
 """

@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters."""
+"""The registered queries of the operators, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licences, mixing, neardup, packing, quality, secrets, sharding, toxicity, warc
+from . import codes, exact, fingerprints, licences, mixing, neardup, packing, quality, resampling, secrets, sharding, toxicity, warc
 from .common import new_folder
 
 
@@ -74,4 +74,33 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_temperature_mixing, op2_secret_ledger, op3_weak_supervision, op4_minhash_hamming, op5_hilbert_shards, op6_content_sort, op7_subword_toxicity, op8_licence_diagonals, op9_length_buckets, op10_warc_segments)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op13_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(_table(spark, sf_dir, "embeddings"))[0]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_temperature_mixing,
+        op2_secret_ledger,
+        op3_weak_supervision,
+        op4_minhash_hamming,
+        op5_hilbert_shards,
+        op6_content_sort,
+        op7_subword_toxicity,
+        op8_licence_diagonals,
+        op9_length_buckets,
+        op10_warc_segments,
+        op11_importance_resampling,
+        op12_improbable_digest,
+        op13_hamerly_codes,
+    )
+}
