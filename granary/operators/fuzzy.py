@@ -24,7 +24,7 @@ from .graphs import components, settled
 
 BLOCK = 512  # keys of a hot feature that meet in one group, on either side
 LEAST = 75  # below this threshold single letters no longer find all pairs
-_MARKS = 32  # counters of characters
+_MARKS = 16  # counters of characters
 
 
 def common_length(a: str, b: str) -> int:
@@ -67,13 +67,13 @@ def _grams(tokens: Column, size: int) -> Column:
 
 
 def _rare(keys: DataFrame, features: Column, held: DataFrame) -> DataFrame:
-    """(key, found): the features of each key with how many keys hold them, rarest first."""
-    each = keys.select("key", F.explode(features).alias("feature")).join(held, "feature", "left")
-    return each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "feature"))).alias("found"))
+    """(key, marks, found): the features of each key with how many keys hold them, rarest first."""
+    each = keys.select("key", "marks", F.explode(features).alias("feature")).join(held, "feature", "left")
+    return each.groupBy("key").agg(F.first("marks").alias("marks"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "feature"))).alias("found"))
 
 
 def _meet(asks: DataFrame, holds: DataFrame) -> DataFrame:
-    """(a, b): keys that ask for a feature, and other keys that hold it.
+    """(a, b, ma, mb): keys that ask for a feature, other keys that hold it, and the ``marks`` of both.
 
     A hot feature is dealt over groups of at most some BLOCK keys on each side.
     """
@@ -81,9 +81,11 @@ def _meet(asks: DataFrame, holds: DataFrame) -> DataFrame:
     counts = counts.select("feature", F.ceil(F.col("asked") / BLOCK).cast("int").alias("pa"), F.ceil(F.col("held") / BLOCK).cast("int").alias("pb"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    left = asks.join(counts, "feature").select(F.col("key").alias("a"), "feature", own("pa").alias("i"), every("pb").alias("j"))
-    right = holds.join(counts, "feature").select(F.col("key").alias("b"), "feature", own("pb").alias("j"), every("pa").alias("i"))
-    return left.join(right, ["feature", "i", "j"]).filter("a != b").select("a", "b")
+    left = asks.join(counts, "feature").select(F.col("key").alias("a"), F.col("marks").alias("ma"), "feature", own("pa").alias("i"), every("pb").alias("j"))
+    right = holds.join(counts, "feature").select(F.col("key").alias("b"), F.col("marks").alias("mb"), "feature", own("pb").alias("j"), every("pa").alias("i"))
+    # Few rows become many pairs, so partitions must not be merged by the size of the rows.
+    n, by = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["feature", "i", "j"]
+    return left.repartition(n, *by).join(right.repartition(n, *by).hint("shuffle_hash"), by).filter("a != b")
 
 
 def similar_keys(keys: DataFrame, threshold: int = 90) -> DataFrame:
@@ -93,8 +95,13 @@ def similar_keys(keys: DataFrame, threshold: int = 90) -> DataFrame:
     tokens = F.split("key", " ")
     near = 100 - threshold
 
+    # How often characters occur, by their hash: each character put in or left out moves one count by one.
+    counts = F.transform(F.sequence(F.lit(0), F.lit(_MARKS - 1)), lambda m: F.size(F.filter("chars", lambda c: c == m)))
+    marked = keys.select("key", F.transform(F.split("key", ""), lambda c: F.pmod(F.xxhash64(c), F.lit(_MARKS)).cast("int")).alias("chars"))
+    keys = settled(marked.select("key", counts.alias("marks")))
+
     # Shared tokens against all tokens of the key that asks.
-    words = settled(keys.select("key", F.explode(tokens).alias("feature")))
+    words = settled(keys.select("key", "marks", F.explode(tokens).alias("feature")))
     held = words.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     alone = F.length("key") * (2 * near) / (200 - threshold)  # longest that a key may have alone, spaces counted
     used = lambda x: F.length(x["feature"]) + 1
@@ -103,7 +110,7 @@ def similar_keys(keys: DataFrame, threshold: int = 90) -> DataFrame:
         F.struct(F.lit(0).alias("sum"), F.array().cast("array<string>").alias("take")),
         lambda s, x: F.struct((s["sum"] + used(x)).alias("sum"), F.when(s["sum"] <= alone, F.array_append(s["take"], x["feature"])).otherwise(s["take"]).alias("take")),
     )
-    asks = _rare(keys, tokens, held).select("key", F.explode(state["take"]).alias("feature"))
+    asks = settled(_rare(keys, tokens, held).select("key", "marks", F.explode(state["take"]).alias("feature")))
     shared = F.array_intersect(F.split("a", " "), F.split("b", " "))
     size = F.aggregate(shared, F.lit(-1), lambda s, w: s + F.length(w) + 1)
     by_tokens = _meet(asks, words).filter(200 * size >= threshold * (size + F.length("a")))
@@ -111,20 +118,17 @@ def similar_keys(keys: DataFrame, threshold: int = 90) -> DataFrame:
     # Whole keys, from the longer one.
     budget = F.floor(F.length("key") * (2 * near) / 100).cast("int")
     sizes = (3, 2, 1)
-    pieces = F.lit(None)
-    for s in reversed(sizes):
-        pieces = F.when(F.size(_pieces(tokens, s)) > budget, F.array_distinct(_pieces(tokens, s))).otherwise(pieces) if s != 1 else F.array_distinct(_pieces(tokens, 1))
-    grams = settled(keys.select("key", F.explode(F.concat(*[_grams(tokens, s) for s in sizes])).alias("feature")))
+    pieces = F.array_distinct(_pieces(tokens, 1))
+    for s in (2, 3):
+        pieces = F.when(F.size(_pieces(tokens, s)) > budget, F.array_distinct(_pieces(tokens, s))).otherwise(pieces)
+    grams = settled(keys.select("key", "marks", F.explode(F.concat(*[_grams(tokens, s) for s in sizes])).alias("feature")))
     held = grams.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    asks = _rare(keys, pieces, held).select("key", F.explode(F.slice("found", 1, budget + 1)["feature"]).alias("feature"))
-    apart = lambda x: F.transform(F.sequence(F.lit(0), F.lit(_MARKS - 1)), lambda m: F.size(F.filter(F.split(F.col(x), ""), lambda c: F.pmod(F.xxhash64(c), F.lit(_MARKS)) == m)))
-    marks = settled(keys.select("key", apart("key").alias("marks")))
+    asks = settled(_rare(keys, pieces, held).select("key", "marks", F.explode(F.slice("found", 1, budget + 1)["feature"]).alias("feature")))
     gap = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     allowed = (F.length("a") + F.length("b")) * near
     able = (F.length("b") <= F.length("a")) & (100 * (F.length("a") - F.length("b")) <= allowed)
-    pairs = _meet(asks, grams).filter(able)
-    pairs = pairs.join(marks.select(F.col("key").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("key").alias("b"), F.col("marks").alias("mb")), "b")
-    pairs = pairs.filter(100 * gap <= allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _meet(asks, grams).filter(able).filter(100 * gap <= allowed)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     @F.pandas_udf(T.BooleanType())
     def matches(a: pd.Series, b: pd.Series) -> pd.Series:
