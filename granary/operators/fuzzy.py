@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import norm_key
-from .graphs import components, settled
+from ..sources.scratch import settled
+from .graphs import components
 
 BLOCK = 512  # keys of a hot feature that meet in one group, on either side
 LEAST = 75  # below this threshold single letters no longer find all pairs
@@ -95,10 +96,12 @@ def similar_keys(keys: DataFrame, threshold: int = 90) -> DataFrame:
     tokens = F.split("key", " ")
     near = 100 - threshold
 
-    # How often characters occur, by their hash: each character put in or left out moves one count by one.
-    counts = F.transform(F.sequence(F.lit(0), F.lit(_MARKS - 1)), lambda m: F.size(F.filter("chars", lambda c: c == m)))
-    marked = keys.select("key", F.transform(F.split("key", ""), lambda c: F.pmod(F.xxhash64(c), F.lit(_MARKS)).cast("int")).alias("chars"))
-    keys = settled(marked.select("key", counts.alias("marks")))
+    # How often characters occur, by their hash, up to 15 in four bits each: each character put in or left out moves one count by one.
+    found = keys.select("key", F.transform(F.split("key", ""), lambda c: F.pmod(F.xxhash64(c), F.lit(_MARKS)).cast("int")).alias("chars"))
+    packed = F.lit(0).cast("long")
+    for m in range(_MARKS):
+        packed = packed.bitwiseOR(F.shiftleft(F.least(F.size(F.filter("chars", F.lit(m).__eq__)), F.lit(15)).cast("long"), 4 * m))
+    keys = settled(found.select("key", packed.alias("marks")))
 
     # Shared tokens against all tokens of the key that asks.
     words = settled(keys.select("key", "marks", F.explode(tokens).alias("feature")))
@@ -124,11 +127,13 @@ def similar_keys(keys: DataFrame, threshold: int = 90) -> DataFrame:
     grams = settled(keys.select("key", "marks", F.explode(F.concat(*[_grams(tokens, s) for s in sizes])).alias("feature")))
     held = grams.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     asks = settled(_rare(keys, pieces, held).select("key", "marks", F.explode(F.slice("found", 1, budget + 1)["feature"]).alias("feature")))
-    gap = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    nibble = lambda c, m: F.shiftright(c, 4 * m).bitwiseAND(F.lit(15))
+    gap = sum(F.abs(nibble("ma", m) - nibble("mb", m)) for m in range(_MARKS))
     allowed = (F.length("a") + F.length("b")) * near
     able = (F.length("b") <= F.length("a")) & (100 * (F.length("a") - F.length("b")) <= allowed)
     pairs = _meet(asks, grams).filter(able).filter(100 * gap <= allowed)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct()
 
     @F.pandas_udf(T.BooleanType())
     def matches(a: pd.Series, b: pd.Series) -> pd.Series:

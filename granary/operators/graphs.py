@@ -1,25 +1,11 @@
-"""Connected components of a table of links, and a cut of lineage for loops over tables."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored below ``spark.checkpoint.dir``, where its lineage ends.
-
-    Only a local session may leave that folder unset (tests, single-node runs); it gets one of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="granary-"))
-    return df.checkpoint()
+from ..sources.scratch import settled
 
 
 def components(links: DataFrame) -> DataFrame:

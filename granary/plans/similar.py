@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fuzzy
+from ..sources.scratch import new_folder
+from ..streaming import service, sinks
 from .queries import query, table
 
 _ROUND = "r{1} as materialized (select l.o, least(l.g, coalesce(min(m.g), l.g)) as g from r{0} l left join p on p.a = l.o left join r{0} m on m.o = p.b group by l.o, l.g)"
@@ -22,3 +24,44 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o"), F.col("c_name").alias("name"))
     names = names.unionByName(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("o"), F.col("s_name").alias("name")))
     return fuzzy.fuzzy_groups(names, ["name"], "o").select("o", "fuzzy_group", "fuzzy_rows", "fuzzy_links")
+
+
+# ---- streams
+
+
+def _events_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows as a stream, from a copy of them in the shared folder."""
+    path = new_folder(spark, "stream")
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _played(spark: SparkSession, stream: DataFrame, write) -> None:
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", new_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+
+
+@query("""with e as (select *, max(ts) filter (event_type = 'signup') over w as begun, lead(ts) over (partition by user_id, event_type = 'signup' order by ts, event_id) as next
+        from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row))
+    select user_id, event_id, epoch_us(ts) as at, case when event_type = 'signup' then 'ask_consent' when epoch_us(ts) - epoch_us(begun) <= 21600000000 then 'consent_required' else 'idle' end as outcome from e
+    union all select user_id, -1, epoch_us(ts) + 21600000000, 'expired' from e where event_type = 'signup' and (next is null or epoch_us(next) - epoch_us(ts) > 21600000000)""")
+def service_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as dialogs that end six hours after their last step: sign-ups begin one, anything else is a text."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "signup", "start").otherwise("text").alias("kind"), F.col("props").alias("payload"))
+    last = events.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("interval 100 days")).alias("ts"), F.lit(service.TICK).alias("kind"), F.lit("").alias("payload"))
+    path = new_folder(spark, "served")
+    _played(spark, service.serve(_events_stream(spark, events.unionByName(last)), {}, ttl_seconds=6 * 3600, limit=1 << 30, delay="40 days"), sinks.once(path))
+    return sinks.stored(spark, path).select("user_id", F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.unix_micros("ts").alias("at"), "outcome")
+
+
+@query("select user_id, event_type, count(*) as events, round(sum(value), 2) as value from events group by all")
+def events_stored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through a sink whose every micro-batch is written twice, as after a failure before its commit."""
+    path = new_folder(spark, "stored")
+    write = sinks.once(path)
+
+    def twice(rows: DataFrame, batch: int) -> None:
+        write(rows, batch)
+        write(rows, batch)
+
+    _played(spark, _events_stream(spark, table(spark, sf_dir, "events")), twice)
+    return sinks.stored(spark, path).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 2).alias("value"))

@@ -10,7 +10,7 @@ from granary.operators import fuzzy, graphs
 from granary.plans import similar  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
 
-NAMES = ["fuzzy_names"]
+NAMES = ["fuzzy_names", "service_replay", "events_stored_once"]
 
 
 @pytest.mark.parametrize("name", NAMES)
