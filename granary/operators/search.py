@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stems import stem_ru
+from ..sources.scratch import settled
 
 K1, B = 1.5, 0.75
 QUERY_BLOCK = 4096  # vectors of a broadcast
+MOST_TERMS = 1_000_000  # rows of query terms that are broadcast
 # English function words that carry no meaning in a query.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your", "do", "does", "can")
 
@@ -38,24 +40,41 @@ def idf(df: Column, total: Column) -> Column:
     return F.log(1 + (total - df + 0.5) / (df + 0.5))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast if it has at most MOST_TERMS rows; else it is joined by key."""
+    return F.broadcast(df) if df.limit(MOST_TERMS + 1).count() <= MOST_TERMS else df
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, text: str) -> DataFrame:
     """(query, doc, score, coverage) for queries (query, group, term, weight).
 
+    Texts are cut into tokens where they are read; only tokens that some query asks for
+    are counted and shuffled.
+    """
+    queries = settled(queries)
+    read = docs.select(F.col(doc).alias("doc"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    whole = read.agg(F.count(F.lit(1)).alias("total"), F.avg(F.size("tokens")).alias("mean"))
+    each = read.select("doc", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("term"))
+    asked = each.join(_few(queries.select("term").distinct()), "term", "left_semi")
+    return score_found(asked.groupBy("doc", "size", "term").agg(F.count(F.lit(1)).alias("tf")), whole, queries)
+
+
+def score_found(found: DataFrame, whole: DataFrame, queries: DataFrame) -> DataFrame:
+    """BM25 and coverage from the postings of the terms of all queries (doc, term, tf, size) and one row (total, mean).
+
     Within a group of interchangeable terms the best one counts; groups add up. The
     group's frequency is the number of documents with any of its terms. Coverage is the
     weight of the groups found over the weight of all groups.
     """
-    terms = F.broadcast(queries)
-    found = postings(docs, doc, text).join(terms, "term")
-    sizes = lengths(docs, doc, text)
-    whole = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean")))
+    found = settled(found.join(_few(queries), "term"))
     frequency = found.groupBy("query", "group").agg(F.count_distinct("doc").alias("df"))
-    rows = found.join(frequency, ["query", "group"]).join(sizes, "doc").crossJoin(whole)
+    rows = found.join(_few(frequency), ["query", "group"]).crossJoin(F.broadcast(whole))  # one row
     norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))
     scored = rows.withColumns({"idf": idf(F.col("df"), F.col("total")), "part": F.col("tf") * (K1 + 1) / norm * F.col("weight")})
     by_group = scored.groupBy("query", "doc", "group").agg(F.max(F.col("idf") * F.col("part")).alias("s"), F.max("weight").alias("w"))
     weight = queries.groupBy("query", "group").agg(F.max("weight").alias("w")).groupBy("query").agg(F.sum("w").alias("all"))
-    return by_group.groupBy("query", "doc").agg(F.sum("s").alias("score"), F.sum("w").alias("hit")).join(F.broadcast(weight), "query").select("query", "doc", "score", (F.col("hit") / F.col("all")).alias("coverage"))
+    totals = by_group.groupBy("query", "doc").agg(F.sum("s").alias("score"), F.sum("w").alias("hit"))
+    return totals.join(_few(weight), "query").select("query", "doc", "score", (F.col("hit") / F.col("all")).alias("coverage"))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:

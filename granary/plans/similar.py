@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy
+from ..operators import fuzzy, inverted, search, vectors
 from ..sources.scratch import new_folder
 from ..streaming import service, sinks
-from .queries import query, table
+from .queries import _BM25, _COSINE, _TOKENS, _question_terms, query, table
 
 _ROUND = "r{1} as materialized (select l.o, least(l.g, coalesce(min(m.g), l.g)) as g from r{0} l left join p on p.a = l.o left join r{0} m on m.o = p.b group by l.o, l.g)"
 
@@ -65,3 +65,73 @@ def events_stored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     _played(spark, _events_stream(spark, table(spark, sf_dir, "events")), twice)
     return sinks.stored(spark, path).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 2).alias("value"))
+
+
+# ---- kept indexes
+
+
+@query(_BM25 + " select query, doc, round(mixed, 6) as score, round(coverage, 6) as coverage, rank from top where rank <= 10")
+def bm25_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after three updates: half the documents with other texts, then most of them, then all as they are."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "index")
+    other = docs.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(" more words"))).otherwise(F.col("text")))
+    gone = docs.filter("doc_id % 5 = 1").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text")
+    for rows in (other.unionByName(gone), docs.filter("doc_id % 7 != 0"), docs):
+        inverted.update(rows, path, "doc_id", "text")
+    scored = inverted.search(spark, path, _question_terms(spark, sf_dir))
+    ranked = search.top_k(scored.withColumn("mixed", F.col("score") * (0.25 + F.col("coverage"))), 10, "mixed")
+    return ranked.select("query", "doc", F.round("mixed", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "rank")
+
+
+@query("""with a as (select doc_id, text, case when doc_id % 3 = 0 then text || ' more words' else text end as old from documents where doc_id % 2 = 0)
+    select doc_id as doc, case when d.doc_id % 2 = 1 then 'added' when d.doc_id % 3 = 0 then 'updated' else 'unchanged' end as state from documents d
+    union all select doc_id + 10000000, 'removed' from documents where doc_id % 5 = 1""")
+def index_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), new_folder(spark, "index")
+    other = docs.filter("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("text"), F.lit(" more words"))).otherwise(F.col("text")))
+    inverted.update(other.unionByName(docs.filter("doc_id % 5 = 1").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text")), path, "doc_id", "text")
+    return inverted.update(docs, path, "doc_id", "text")
+
+
+@query(_COSINE + " select query, doc, round(score, 6) as score, rank from cr where rank <= 10")
+def vector_lists_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lists of the index: every vector is in one, so the result is the exact one."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vectors.build(rows, "vec_id", "embedding")
+    return vectors.search(index, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+
+
+@query("select count(*)::bigint as vectors, count(*) filter (vec_id % 100 = 0)::bigint as queries, true as reached, true as fewer from embeddings")
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the 10 nearest from some of the lists, over the stated queries: at least 0.9."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vectors.build(rows, "vec_id", "embedding", path=new_folder(spark, "lists"))
+    asked = rows.filter("vec_id % 100 = 0")
+    probes, got = vectors.enough_probes(index, asked, "vec_id", "embedding", 10)
+    reached, fewer = F.lit(got >= 0.9), F.lit(probes < len(index.centroids))
+    return index.rows.agg(F.count(F.lit(1)).alias("vectors")).crossJoin(asked.agg(F.count(F.lit(1)).alias("queries"))).select("vectors", "queries", reached.alias("reached"), fewer.alias("fewer"))
+
+
+@query(f"""with {_TOKENS}, qt as (select distinct doc as query, term from kept where doc % 100 = 0),
+    post as (select doc, term, count(*) as tf from kept group by all),
+    len as (select d.doc_id as doc, count(k.term) as size from documents d left join kept k on k.doc = d.doc_id group by d.doc_id),
+    st as (select count(*) as total, avg(size) as mean from len),
+    m as (select q.query, p.doc, p.term, p.tf from post p join qt q using (term)),
+    df as (select query, term, count(distinct doc) as df from m group by all),
+    s as (select m.query, m.doc, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) as score, count(*) as hit
+          from m join df using (query, term) join len using (doc), st group by m.query, m.doc),
+    w as (select query, count(*) as whole from qt group by query),
+    b as (select s.query, doc, row_number() over (partition by s.query order by round(score * (0.25 + hit / whole), 9) desc, doc) as rank from s join w using (query)),
+    q as (select vec_id as query, embedding::double[] as v from embeddings where vec_id % 100 = 0),
+    c as (select query, vec_id as doc, row_number() over (partition by query order by round(list_cosine_similarity(v, embedding::double[]), 9) desc, vec_id) as rank from q, embeddings),
+    u as (select query, doc, rank from b where rank <= 50 union all select query, doc, rank from c where rank <= 50),
+    f as (select query, doc, sum(1.0 / (60 + rank)) as score from u group by all), g as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from f)
+    select query, doc, round(score, 9) as score, rank from g where rank <= 10""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More like this: words by BM25 and vectors from all lists of the index, fused. Queries: every document and vector whose id is divisible by 100."""
+    docs, rows = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    terms = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(search.tokens(F.col("text"))).alias("term")).distinct().withColumns({"group": F.col("term"), "weight": F.lit(1.0)})
+    scored = search.bm25(docs, terms, "doc_id", "text")
+    by_words = search.top_k(scored.withColumn("mixed", F.col("score") * (0.25 + F.col("coverage"))), 50, "mixed")
+    by_vectors = vectors.search(vectors.build(rows, "vec_id", "embedding"), rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 50)
+    return search.fuse([by_words, by_vectors], 10).select("query", "doc", F.round("score", 9).alias("score"), "rank")

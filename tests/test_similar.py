@@ -3,14 +3,16 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import comparable
-from granary.operators import fuzzy, graphs
+from granary.operators import fuzzy, graphs, inverted, search, vectors
 from granary.plans import similar  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
 
-NAMES = ["fuzzy_names", "service_replay", "events_stored_once"]
+NAMES = ["fuzzy_names", "service_replay", "events_stored_once", "bm25_kept_index", "index_states", "vector_lists_exact", "vector_recall", "hybrid_search"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -104,3 +106,66 @@ def test_components(spark):
                 reach[v] = one | two
     got = {x.vertex: x.component for x in graphs.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {v: min(s) for v, s in reach.items()}
+
+
+def ranked(df):
+    return sorted((r.query, r.doc, round(r.score, 9), round(r.coverage, 9)) for r in df.collect())
+
+
+def test_kept_index_equals_a_rebuild(spark, tmp_path):
+    r, path = random.Random(1), str(tmp_path / "index")
+    words = "door window price delivery repair paint wall 7 42".split()
+    queries = spark.createDataFrame([(1, "door", "door", 1.0), (1, "window", "window", 1.0), (2, "price", "price", 2.0), (2, "price", "delivery", 2.0), (3, "none", "none", 1.0)], "query long, group string, term string, weight double")
+    text = lambda: r.choice([None, "", " ".join(r.choice(words) for _ in range(r.randrange(1, 30)))])
+    docs, states = {}, None
+    for step in range(4):
+        for k in range(40):
+            if r.random() < 0.4:
+                docs[k] = text()
+            elif r.random() < 0.2:
+                docs.pop(k, None)
+        rows = spark.createDataFrame(list(docs.items()), "id long, text string")
+        states = {x.doc: x.state for x in inverted.update(rows, path, "id", "text").collect()}
+        assert {k for k, s in states.items() if s != "removed"} == set(docs)
+        want = ranked(search.bm25(rows, queries, "id", "text"))
+        assert ranked(inverted.search(spark, path, queries)) == want and want
+        # An update that was cut off before its commit leaves the version as it is.
+        inverted._store(spark.createDataFrame([(0, "door", 99)], "doc long, term string, tf long"), path, inverted.version(spark, path) + 1)
+        assert ranked(inverted.search(spark, path, queries)) == want
+    again = inverted.update(rows, path, "id", "text")
+    assert {x.state for x in again.collect()} == {"unchanged"}
+    assert spark.read.schema("doc long, term string").parquet(f"{path}/postings/segment={inverted.version(spark, path)}").count() == 0
+    inverted.compact(spark, path)
+    assert ranked(inverted.search(spark, path, queries)) == want
+    inverted.update(rows.limit(0), path, "id", "text")
+    assert inverted.search(spark, path, queries).count() == 0
+
+
+def test_index_reads_only_the_buckets_it_needs(spark, tmp_path):
+    path = str(tmp_path / "index")
+    inverted.update(spark.range(50).select("id", F.concat(F.lit("door w"), "id").alias("text")), path, "id", "text")
+    plan = inverted.postings(spark, path, [3])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_vector_lists(spark, tmp_path):
+    r = np.random.default_rng(4)
+    centers = r.normal(size=(12, 8))
+    rows = [(k, [float(x) for x in centers[k % 12] + r.normal(size=8) * 0.2]) for k in range(600)] + [(600, None), (601, [0.0] * 8), (602, [1.0, None] + [0.5] * 6), (603, [float("nan")] * 8), (604, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    index = vectors.build(df, "id", "v", path=str(tmp_path / "lists"))
+    assert sorted(x.doc for x in index.rows.collect()) == list(range(605))
+    asked = df.filter("id < 600 and id % 20 = 0")
+    exact = search.similar(df.filter("id < 602"), asked, "id", "v", 5)
+    clean = vectors.build(df.filter("id < 602"), "id", "v")
+    flat = lambda d: sorted((x.query, x.doc, x["rank"]) for x in d.collect())
+    assert flat(vectors.search(clean, asked, "id", "v", 5)) == flat(exact)
+    probes, got = vectors.enough_probes(clean, asked, "id", "v", 5)
+    assert got >= 0.9 and probes < len(clean.centroids)
+    found = set(flat(vectors.search(clean, asked, "id", "v", 5, probes)))
+    assert len({x[:2] for x in found} & {x[:2] for x in flat(exact)}) >= 0.9 * len(flat(exact))
+    plan = vectors.search(clean, asked, "id", "v", 5, probes)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    again = vectors.stored(spark, str(tmp_path / "lists"), index.centroids)
+    assert again.rows.count() == 605
+    assert vectors.search(vectors.build(df.limit(0), "id", "v"), asked, "id", "v", 5).count() == 0
