@@ -5,7 +5,8 @@ of a text is joined by hash to the places of the same k-gram in the templates; a
 votes for the diagonal (place in the text minus place in the template). Neighbouring
 diagonals of one template are one occurrence with words put in or left out. Its span is
 verified: enough of the template's words must stand there, compared as words, and few
-others between them.
+others between them; short templates must stand there whole, and longer ones with the
+words that name their licence.
 """
 
 from __future__ import annotations
@@ -21,14 +22,23 @@ from .common import let
 GRAM = 3
 GAP = 2  # diagonals up to this far apart are neighbours
 COVERAGE = 0.6  # share of the words of a template, or of the span where that is longer
+SHORT = 10  # templates of fewer words must be found whole
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
 class Template:
+    """``names``: words of the text that name the licence; an occurrence without one of them is none."""
+
     label: str
     text: str
     base: bool = False
+    names: str = ""
+
+    def needed(self) -> list[int]:
+        """Places of the words that an occurrence must hold."""
+        ws = self.text.split(" ")
+        return [k for k, w in enumerate(ws) if len(ws) < SHORT or w in self.names.split(" ")]
 
 
 # The base phrases of the contract.
@@ -43,15 +53,15 @@ NOTICES = (
     Template("mit-notice", "released under the mit license"),
     Template("mit-notice", "licensed under the mit license"),
     Template("apache-notice", "licensed under the apache license version 2 0"),
-    Template("gpl-notice", "this work is licensed under the gnu general public license version 3"),
+    Template("gpl-notice", "this work is licensed under the gnu general public license version 3", names="gnu general public"),
     Template("cc-notice", "licensed under cc by nc 4 0"),
-    Template("cc-notice", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template("cc-notice", "this work is licensed under a creative commons attribution 4 0 international license", names="creative commons"),
+    Template("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0", names="mozilla"),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", names="apache"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", names="gnu general public"),
     Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     Template("warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
 )
@@ -151,9 +161,11 @@ def occurrences(df: DataFrame, templates: tuple[Template, ...], text: Column, ke
     near = F.when(F.col("base") | (F.col("words") <= GRAM), F.lit(1)).otherwise(F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int"), F.lit(1)))
     runs = lines.withColumn("_new", near).withColumn("_run", F.sum("_new").over(order))
     whole = runs.groupBy(*keys, "template", "label", "base", "words", "size", "_run").agg(F.flatten(F.collect_list("seen")).alias("seen"), F.min("first").alias("first"), F.max("last").alias("last"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda at: F.sequence(at, at + F.col("size") - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform("seen", lambda at: F.sequence(at, at + F.col("size") - 1))))
     last = F.col("last") + F.col("size") - 1
-    found = whole.select(*keys, "label", "base", "first", last.alias("last"), (covered / F.greatest(F.col("words"), last - F.col("first") + 1)).alias("score"))
+    needed = df.sparkSession.createDataFrame([(k, t.needed()) for k, t in enumerate(templates)], "template int, needed array<int>")
+    whole = whole.withColumn("covered", covered).join(F.broadcast(needed), "template").filter(F.size(F.array_except("needed", "covered")) == 0)
+    found = whole.select(*keys, "label", "base", "first", last.alias("last"), (F.size("covered") / F.greatest(F.col("words"), last - F.col("first") + 1)).alias("score"))
     return found.filter(F.col("score") >= coverage)
 
 

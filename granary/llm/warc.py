@@ -58,10 +58,15 @@ def with_first(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html) with digest, ``urn`` (name of its record) and, for revisits,
     ``first``: the page they repeat, and ``first_urn``.
 
-    Payloads shared by a large share of the pages are few and joined by broadcast. The
-    number in a record's name is its place in the scan of ``pages``.
+    Payloads shared by a large share of the pages are few and joined by broadcast. A record
+    is named by its page and payload, so that every branch of the plan gives it the same name;
+    where rows repeat, by their place in a table that is written for that.
     """
-    known = pages.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long"), "number": F.monotonically_increasing_id()})
+    known = pages.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long")})
+    if known.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        known = known.withColumn("number", F.col("digest"))
+    else:
+        known = cut(known.withColumn("number", F.concat_ws("-", "digest", F.monotonically_increasing_id())))
     known = known.withColumn("_k", F.xxhash64("digest"))
     wanted = (F.col("bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()
     firsts = known.filter(wanted).groupBy("digest").agg(F.min(F.struct("page_id", "number")).alias("_f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
