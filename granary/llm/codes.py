@@ -179,6 +179,8 @@ def encode(
     columns are not used, so their names cannot clash. Components too large for exact
     64-bit squares are refused with a ValueError.
     """
+    if entries > 128:
+        raise ValueError("a code holds at most 128 entries")
     spark = df.sparkSession
     row = F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
     rows = whole_vectors(df.select(row.alias("row"), F.col(f"`{vec_col}`").alias("x")), "x").select("row", "v")
@@ -207,28 +209,30 @@ def encode(
     books = [m.book for m in moves]
     digest = hashlib.sha256(",".join(str(int(c)) for book in books for entry in book for c in entry).encode()).hexdigest()
 
-    coded = table.filter("part is null").select("row", "codes", _error(books, width).alias("error"))
+    coded = _coded(table, books, width)
     key = F.when(F.col("row.label").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("row.label").cast("string")))
-    coded = coded.withColumn("_label", key)
+    coded = cut(coded.withColumn("_label", key))
+    remove(spark, path)
     sums = cut(coded.groupBy("_label").agg(F.sum("error").alias("label_error")))
     few = sums.count() <= MOST_LABELS
     out = coded.join(F.broadcast(sums), "_label") if few else spread_join(coded, sums, "_label", F.col("row.id"))
-    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
-    return out.select(F.col("row.id").alias(id_col), code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256")), books
+    return out.select(F.col("row.id").alias(id_col), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256")), books
 
 
-def _error(books: list[np.ndarray], width: int) -> Column:
-    """Squared distances of ``v`` to the entries in ``codes``, summed over parts; the codebooks are a literal of fixed size."""
-    flat = F.array(*[F.lit(int(c)) for c in np.stack(books).ravel()]).cast("array<bigint>")
-    entries = len(books[0])
-
-    def one(at: Column) -> Column:
-        p = F.floor((at) / width).cast("int")
-        entry = F.get(flat, (p * entries + F.get(F.col("codes"), p).cast("int")) * width + at % width)
-        gap = F.get(F.col("v"), at) - entry
-        return gap * gap
+def _coded(table: DataFrame, books: list[np.ndarray], width: int) -> DataFrame:
+    """(row, code, error): the codes as digits, and the squared distances to their entries, summed over parts."""
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(books) * width - 1)), F.lit(0).cast("long"), lambda total, at: total + one(at))
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), len(books) * width, np.int64).reshape(-1, len(books), width)
+            codes = _matrix(batch.column(2), len(books), np.int64)
+            gaps = x - np.stack(books)[np.arange(len(books)), codes]
+            digits = codes.astype(np.uint8).tobytes().hex()
+            code = [digits[k : k + 2 * len(books)] for k in range(0, len(digits), 2 * len(books))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.string()), pa.array((gaps * gaps).sum(axis=(1, 2)))], schema=pa.schema([batch.schema.field(0), pa.field("code", pa.string()), pa.field("error", pa.int64())]))
+
+    held = table.filter("part is null").select("row", "v", "codes")
+    return held.mapInArrow(write, f"row {table.schema['row'].dataType.simpleString()}, code string, error long")
 
 
 def decode(coded: DataFrame, books: list[np.ndarray], scale: int = SCALE) -> DataFrame:
