@@ -59,22 +59,19 @@ def with_first(pages: DataFrame) -> DataFrame:
     ``first``: the page they repeat, and ``first_urn``.
 
     Payloads shared by a large share of the pages are few and joined by broadcast. A record
-    is named by its page and payload, so that every branch of the plan gives it the same name;
-    where rows repeat, by their place in a table that is written for that.
+    is named by its page, so that every branch of the plan gives it the same name; where
+    identifiers repeat, also by its place in a table that is written for that.
     """
-    known = pages.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long")})
-    if known.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        known = known.withColumn("number", F.col("digest"))
-    else:
-        known = cut(known.withColumn("number", F.concat_ws("-", "digest", F.monotonically_increasing_id())))
-    known = known.withColumn("_k", F.xxhash64("digest"))
+    unique = pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    pages = pages.withColumn("number", F.lit(0).cast("long")) if unique else cut(pages.withColumn("number", F.monotonically_increasing_id()))
+    known = pages.withColumns({"digest": F.sha2("html", 256), "bytes": F.octet_length("html").cast("long"), "_k": F.xxhash64("html")})
     wanted = (F.col("bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()
-    firsts = known.filter(wanted).groupBy("digest").agg(F.min(F.struct("page_id", "number")).alias("_f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = known.filter(wanted).groupBy("digest").agg(F.min(F.struct("page_id", "number")).alias("_f"), F.first("_k").alias("_k"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     found = heavy_values(known.select("_k"), "_k")
     few = heavy_table(known.select("_k"), "_k", found).select("_k")
-    out = (known.join(few, "_k", "left_anti") if found else known).join(firsts, "digest", "left")
+    out = (known.join(few, "_k", "left_anti") if found else known).join(firsts.drop("_k"), "digest", "left")
     if found:
-        crowd = firsts.withColumn("_k", F.xxhash64("digest")).join(few, "_k", "left_semi").drop("_k")
+        crowd = firsts.join(few, "_k", "left_semi").drop("_k")
         out = out.unionByName(known.join(few, "_k", "left_semi").join(F.broadcast(crowd), "digest", "left"))
     later = F.col("_f.page_id") != F.col("page_id")
     return out.select("page_id", "url", "html", "digest", record_name(F.col("page_id"), F.col("number")).alias("urn"), F.when(later, F.col("_f.page_id")).alias("first"), F.when(later, record_name(F.col("_f.page_id"), F.col("_f.number"))).alias("first_urn"))
