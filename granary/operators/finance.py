@@ -76,13 +76,13 @@ def unit_economics(skus: DataFrame, drivers: DataFrame, rates: Rates = Rates())
 def inventory_plan(demand: DataFrame, keys: list[str], lead: int, safety: int) -> DataFrame:
     """Month by month arrivals, sales, stock and orders of every key.
 
-    ``demand``: keys, month (1 to N), demand, batch, start_stock. Orders depend on stock
-    and on orders under way, so a fold walks the months of a key: one short array of the
-    key's horizon, never more. What the horizon does not show is taken as the last month.
+    ``demand``: keys, month (1 to N), demand, batch, start_stock; a month that is not given has
+    no demand. Orders depend on stock and on orders under way, so a fold walks the months of a key:
+    one short array of the key's horizon, never more. What the horizon does not show is taken as the last month.
     """
     c = F.col
-    series = demand.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("month", "demand"))).alias("s"), F.max("batch").cast("double").alias("batch"), F.max("start_stock").cast("double").alias("start"))
-    series = series.withColumn("d", F.transform("s", lambda x: x["demand"].cast("double"))).withColumn("n", F.size("s"))
+    series = demand.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(c("month").cast("int"), c("demand").cast("double")))).alias("s"), F.max("month").cast("int").alias("n"), F.max("batch").cast("double").alias("batch"), F.max("start_stock").cast("double").alias("start"))
+    series = series.withColumn("d", F.transform(F.sequence(F.lit(1), c("n")), lambda m: F.coalesce(F.try_element_at("s", m), F.lit(0.0))))
     empty = F.struct(F.array().cast("array<struct<month:int,demand:double,arrivals:double,sales:double,stock:double,transit:double,need:double,orders:double>>").alias("rows"), c("start").alias("stock"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -116,12 +116,29 @@ def running_tax(monthly: DataFrame, keys: list[str], year: str, month: str, base
     return out.withColumn("tax", F.col("ytd_tax") - F.lag("ytd_tax", 1, 0.0).over(by_month))
 
 
+def month_number(year: Column, month: Column) -> Column:
+    """Months since the year 0, so that neighbouring months differ by one."""
+    return year * 12 + month - 1
+
+
+def dense_months(monthly: DataFrame, keys: list[str], order: str, zero: list[str]) -> DataFrame:
+    """``monthly`` with a row for each month between the first and the last one of a key.
+
+    ``order`` numbers months (``month_number``). In added rows the columns in ``zero`` are 0, the others null.
+    """
+    ends = monthly.groupBy(*keys).agg(F.min(order).alias("_a"), F.max(order).alias("_z"))
+    spine = ends.select(*keys, F.explode(F.sequence("_a", "_z")).alias(order))
+    return spine.join(monthly, [*keys, order], "left").fillna(0, subset=zero).select(*monthly.columns)
+
+
 def cash_flow(monthly: DataFrame, keys: list[str], order: str, income: str, tax: str, month: str, days: int, start: float) -> DataFrame:
     """Payouts that arrive after ``days``, quarterly tax payments, and the cash they leave.
 
-    Adds payout, tax_paid, flow, cash (running, from ``start``) and lowest_ahead (the
-    smallest cash of this and all later months).
+    ``order`` numbers months without a gap in time (``month_number``): months without a row are
+    added with no income and no tax, so that a payout or a quarter never moves to a later month. Adds
+    payout, tax_paid, flow, cash (running, from ``start``) and lowest_ahead (the smallest cash of this and all later months).
     """
+    monthly = dense_months(monthly, keys, order, [income, tax]).withColumn(month, F.coalesce(F.col(month), (F.col(order) % 12 + 1).cast("int")))
     line = Window.partitionBy(*keys).orderBy(order)
     whole, part = days // 30, days % 30 / 30
     quarter = line.rowsBetween(-3, -1)

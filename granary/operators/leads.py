@@ -6,9 +6,10 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -69,13 +70,19 @@ def limited(df: DataFrame, user: str, time: str, order: str, limit: int, seconds
     leaves the window, in whole minutes. A request at the very end of the window is
     out of it. Users are sorted inside their partitions and read as a stream, with the
     last ``limit`` times of one user in memory, however many requests that user made.
+    Columns pass through untouched; repeated rows are requests of their own; requests
+    without a user or a time are accepted, as nothing counts against them.
     """
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, taken = object(), deque(maxlen=limit)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, deque(maxlen=limit)
         for rows in batches:
             accepted, waits = [], []
-            for who, at in zip(rows["_user"], rows["_at"], strict=True):
+            for who, at in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                if who is None or at is None:
+                    accepted.append(True)
+                    waits.append(None)
+                    continue
                 if who != now:
                     now, taken = who, deque(maxlen=limit)
                 free = len(taken) < limit or at - taken[0] >= seconds
@@ -83,9 +90,12 @@ def limited(df: DataFrame, user: str, time: str, order: str, limit: int, seconds
                 waits.append(None if free else max(1, math.ceil((taken[0] + seconds - at) / 60)))
                 if free:
                     taken.append(at)
-            yield pd.DataFrame({"_order": rows["_order"], "accepted": accepted, "wait_minutes": pd.array(waits, dtype="Int64")})
-
-    slim = df.select(F.col(user).alias("_user"), F.unix_seconds(F.col(time).cast("timestamp")).alias("_at"), F.col(order).alias("_order")).filter("_user is not null")
-    kind = slim.schema["_order"].dataType.simpleString()
-    out = slim.repartition("_user").sortWithinPartitions("_user", "_at", "_order").mapInPandas(decide, f"_order {kind}, accepted boolean, wait_minutes long")
-    return df.join(out, F.col(order) == F.col("_order")).drop("_order")
+            fields = [*list(rows.schema)[2:], pa.field("accepted", pa.bool_()), pa.field("wait_minutes", pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(accepted, pa.bool_()), pa.array(waits, pa.int64())], schema=pa.schema(fields))
+
+    columns = [c for c in df.columns if c not in ("accepted", "wait_minutes")]
+    keyed = df.select(F.col(user).alias("_user"), F.unix_seconds(F.col(time).cast("timestamp")).alias("_at"), *[F.col(c) for c in columns])
+    # Rows without a user or time are dealt by their number: they are no group.
+    dealt = keyed.repartition("_user", F.when(F.col("_user").isNull() | F.col("_at").isNull(), F.xxhash64(order)))
+    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField("accepted", T.BooleanType()), T.StructField("wait_minutes", T.LongType())])
+    return dealt.sortWithinPartitions("_user", "_at", order).mapInArrow(decide, schema)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import settled
+
 TOLERANCE = 0.005
-RANGES = 256  # ranges that a ranking is cut into
 
 
 def item_key(parts: list[Column], url: Column) -> Column:
@@ -57,21 +58,24 @@ def changes(previous: DataFrame, current: DataFrame, key: str, price: str, title
 
 
 def largest_first(feed: DataFrame) -> DataFrame:
-    """Price changes with their place by size; undefined percentages come first.
+    """Price changes with their place by size, then key; undefined percentages come first.
 
-    Quantiles of the size cut the feed into ranges; a place is the count of rows in the
-    ranges before and the number of the row in its own, so no task sorts the whole feed.
+    Ranges of (size, key) are sorted on their own and stored; a place is the number of rows in the
+    ranges before, one number each, and the number of the row in its own. Many changes of
+    one size fall into many ranges.
     """
-    rows = feed.filter("kind = 'price'").withColumn("_size", F.abs("pct"))
-    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    ends = sorted(set(rows.agg(F.percentile_approx("_size", shares, F.lit(100 * RANGES))).first()[0] or []), reverse=True)
-    cell = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]).cast("array<double>"), lambda e: e > F.col("_size"))) + 1, F.lit(0))
-    rows = rows.withColumn("_range", F.when(F.col("_size").isNull(), 0).otherwise(cell))
-    # RANGES rows at most
-    starts = rows.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n")).select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(F.desc_nulls_first("_size"), "key")
-    placed = rows.withColumn("_at", F.row_number().over(inside)).join(starts, F.col("_range") == F.col("_r"))
-    return placed.withColumn("place", F.col("_start") + F.col("_at")).drop("_size", "_range", "_r", "_start", "_at")
+    order = [F.desc_nulls_first("_size"), F.col("key").asc()]
+    rows = settled(feed.filter("kind = 'price'").withColumn("_size", F.abs("pct")))  # ranges are sampled from it
+    n = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_id", 33).cast("int"))
+    starts, total = [], 0
+    for number, count in ranged.groupBy("_range").agg(F.count(F.lit(1))).orderBy("_range").collect():  # a row for each partition
+        starts.append((number, total))
+        total += count
+    known = feed.sparkSession.createDataFrame(starts, "_range int, _start long")
+    placed = ranged.join(F.broadcast(known), "_range").withColumn("place", F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return placed.select(*feed.columns, "place")
 
 
 def latest_run(runs: DataFrame, config: str, run_id: str, complete: str) -> DataFrame:

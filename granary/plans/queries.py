@@ -395,14 +395,17 @@ def ytd_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("nation", "year", "month", F.round("ytd_base", 2).alias("ytd_base"), F.round(F.col("tax") + 0.0001, 2).alias("tax"))
 
 
-@query(f"""with {_MONTHLY}, t as (select *, 0.06 * revenue as tax, year * 12 + month as k from m), w as (select *, 0.5 * coalesce(lag(revenue, 1) over o, 0) + 0.5 * coalesce(lag(revenue, 2) over o, 0) as payout,
-    case when month % 3 = 1 then coalesce(sum(tax) over (partition by nation order by k rows between 3 preceding and 1 preceding), 0) else 0 end as tax_paid from t window o as (partition by nation order by k)),
+@query(f"""with {_MONTHLY}, t as (select nation, year * 12 + month - 1 as k, revenue from m), sp as (select nation, unnest(range(min(k), max(k) + 1)) as k from t group by nation),
+    r as (select sp.nation, sp.k, coalesce(a.revenue, 0) as one, coalesce(b.revenue, 0) as two, coalesce(c.revenue, 0) as three from sp left join t a on a.nation = sp.nation and a.k = sp.k - 1
+          left join t b on b.nation = sp.nation and b.k = sp.k - 2 left join t c on c.nation = sp.nation and c.k = sp.k - 3),
+    w as (select nation, k, 0.5 * one + 0.5 * two as payout, case when k % 3 = 0 then 0.06 * (one + two + three) else 0 end as tax_paid from r),
     c as (select *, 1000000 + sum(payout - tax_paid) over (partition by nation order by k) as cash from w)
-    select nation, year, month, round(payout + 0.0001, 2) as payout, round(tax_paid + 0.0001, 2) as tax_paid, round(cash + 0.0001, 2) as cash, round(min(cash) over (partition by nation order by k rows between current row and unbounded following) + 0.0001, 2) as lowest_ahead from c""")
+    select nation, (k // 12)::int as year, (k % 12 + 1)::int as month, round(payout + 0.0001, 2) as payout, round(tax_paid + 0.0001, 2) as tax_paid, round(cash + 0.0001, 2) as cash, round(min(cash) over (partition by nation order by k rows between current row and unbounded following) + 0.0001, 2) as lowest_ahead from c""")
 def cash_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _monthly(spark, sf_dir).withColumns({"tax": F.col("revenue") * 0.06, "k": F.col("year") * 12 + F.col("month")})
+    rows = _monthly(spark, sf_dir).withColumns({"tax": F.col("revenue") * 0.06, "k": finance.month_number(F.col("year"), F.col("month"))})
     out = finance.cash_flow(rows, ["nation"], "k", "revenue", "tax", "month", 45, 1_000_000.0)
-    return out.select("nation", "year", "month", *[F.round(F.col(c) + 0.0001, 2).alias(c) for c in ("payout", "tax_paid", "cash", "lowest_ahead")])  # away from ties
+    when = F.floor(F.col("k") / 12).cast("int").alias("year"), (F.col("k") % 12 + 1).cast("int").alias("month")
+    return out.select("nation", *when, *[F.round(F.col(c) + 0.0001, 2).alias(c) for c in ("payout", "tax_paid", "cash", "lowest_ahead")])  # away from ties
 
 
 def _skus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +453,8 @@ def _demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with recursive dm as (select p_brand as brand, month(l_shipdate) as month, sum(l_quantity) as q from lineitem join part on l_partkey = p_partkey group by all),
-    s as (select brand, list(q order by month) as d, count(*) as n from dm group by brand),
+    sp as (select brand, unnest(range(1, max(month) + 1)) as month from dm group by brand),
+    s as (select sp.brand, list(coalesce(q, 0) order by sp.month) as d, count(*) as n from sp left join dm on dm.brand = sp.brand and dm.month = sp.month group by sp.brand),
     r(brand, t, d, n, arrivals, sales, stock, orders) as (
         select brand, 0, d, n, 0.0::double, 0.0::double, 1000.0::double, []::double[] from s
         union all

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy, inverted, search, vectors
+from ..operators import fuzzy, inverted, layout, search, vectors
 from ..sources.scratch import new_folder
 from ..streaming import service, sinks
 from .queries import _BM25, _COSINE, _TOKENS, _question_terms, query, table
@@ -135,3 +135,41 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_words = search.top_k(scored.withColumn("mixed", F.col("score") * (0.25 + F.col("coverage"))), 50, "mixed")
     by_vectors = vectors.search(vectors.build(rows, "vec_id", "embedding"), rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 50)
     return search.fuse([by_words, by_vectors], 10).select("query", "doc", F.round("score", 9).alias("score"), "rank")
+
+
+# ---- printed pages
+
+
+@query("""with p as (select p_partkey // 20 as page, p_partkey % 20 + 2 as row, p_brand, p_name, p_size // 10 || ' ' || p_size % 10 as size from part),
+    h as (select distinct page, 1 as row, 'brand' as p_brand, 'full name' as p_name, 'size' as size from p)
+    select page, row, c.i as column, case c.i when 1 then p_brand when 2 then p_name else size end as text from (select * from p union all select * from h) x, (select unnest([1, 2, 3]) as i) c""")
+def page_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts printed as tables of 20 rows under a header, then read back from the places of their words."""
+    part = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).alias("page"), (F.col("p_partkey") % 20 + 2).alias("row"), "p_brand", "p_name", F.floor(F.col("p_size") / 10).cast("string").alias("tens"), (F.col("p_size") % 10).cast("string").alias("ones"))
+    head = part.select("page").distinct().select("page", F.lit(1).cast("long").alias("row"), F.lit("brand").alias("p_brand"), F.lit("full name").alias("p_name"), F.lit("size").alias("tens"), F.lit(None).cast("string").alias("ones"))
+    put = lambda c, x: F.struct(F.lit(float(x)).alias("x"), F.col(c).alias("t"))
+    cells = part.unionByName(head).select("page", "row", F.explode(F.array(put("p_brand", 10), put("p_name", 120), put("tens", 400), put("ones", 440))).alias("e")).filter("e.t is not null")
+    # A character is 5 wide, so a space in a name is no gap of 6; the digits of a size are 20 apart.
+    words = cells.select("page", "row", "e.x", F.posexplode(F.split("e.t", " ")).alias("k", "text"), F.split("e.t", " ").alias("all"))
+    start = F.col("x") + 5 * F.aggregate(F.slice("all", 1, F.col("k")), F.lit(0), lambda s, w: s + F.length(w) + 1)
+    words = words.select("page", start.alias("x0"), (start + 5 * F.length("text")).alias("x1"), (F.col("row") * 12.0).alias("top"), F.lit(10.0).alias("size"), "text")
+    return layout.table_cells(words, ["page"], "x0", "x1", "top", "size", "text", least=6.0)
+
+
+@query(r"""with l as (select doc_id as doc, unnest(string_split(regexp_replace(lower(text), '[^a-z\n]+', ' ', 'g'), chr(10))) as t, unnest(range(len(string_split(text, chr(10))))) as k from documents),
+    p as (select doc, k, trim(t) as text, (len(string_split(trim(t), ' ')) + 7) // 8 as n from l where trim(t) <> ''),
+    s as (select *, sum(n) over (partition by doc order by k) - n as start from p),
+    g as (select *, sum(case when start > 0 and start % 10 = 0 then 0 else 1 end) over (partition by doc order by k) as g from s)
+    select doc, string_agg(text, ' ' order by k) as text, (min(start) // 10)::bigint as page from g group by doc, g""")
+def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents printed in lines of eight words, ten on a page, then put together again; a paragraph
+    that begins a page goes on with the one before, as no sentence ends in these texts."""
+    plain = F.split(F.regexp_replace(F.lower("text"), "[^a-z\\n]+", " "), "\n")
+    # Lines of one document stand in one array, so their numbers need no sort.
+    cut = lambda t, k: F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split(t, " ")) - 1) / 8).cast("int")), lambda j: F.struct(F.array_join(F.slice(F.split(t, " "), j * 8 + 1, F.lit(8)), " ").alias("text"), (j == F.floor((F.size(F.split(t, " ")) - 1) / 8)).alias("ends"), k.alias("k")))
+    texts = F.filter(F.transform(plain, lambda t: F.trim(t)), lambda t: t != "")
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.flatten(F.transform(texts, cut))).alias("n", "e"))
+    number = F.col("n") % 10
+    top = number * 12.0 + F.col("e.k") * 20.0  # paragraphs stand apart
+    printed = lines.select("doc", F.floor(F.col("n") / 10).alias("page"), number.alias("at"), F.lit(50.0).alias("x0"), F.when(F.col("e.ends"), 200.0).otherwise(500.0).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.lit(10.0).alias("size"), F.col("e.text").alias("text"))
+    return layout.paragraphs(printed).select("doc", "text", "page")
