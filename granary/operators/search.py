@@ -216,3 +216,37 @@ def citations(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     best = F.get("f", F.lit(0))["w"]
     labels = F.when(best < 3, F.array(F.get("f", F.lit(0))["l"])).otherwise(F.array_distinct(F.transform("f", lambda x: x["l"])))
     return found.select("answer", "part", F.coalesce(labels, F.array().cast("array<string>")).alias("labels"))
+
+
+MOST_LINES = 3  # lines of an answer
+LONG_LINE = 300  # characters above which a line is cut into sentences
+
+
+def candidate_lines(text: Column) -> Column:
+    """The lines of a text without white space around them; long ones cut into sentences."""
+    lines = F.filter(F.transform(F.split(text, "\\r\\n|\\n|\\r"), lambda x: F.trim(x)), lambda x: x != "")
+    sentences = lambda x: F.filter(F.transform(F.split(F.regexp_replace(x, "([.!?…])\\s+", "$1\n"), "\n"), lambda y: F.trim(y)), lambda y: y != "")
+    return F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG_LINE, sentences(x)).otherwise(F.array(x))))
+
+
+def extracted_answers(fragments: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query, rank, answer): the lines of the first fragment that match, in their order, as one text.
+
+    ``fragments``: query, rank, text, as a search ranked them. ``terms``: query, group, term. A
+    group weighs more the fewer of the lines of all fragments of its question hold one of its
+    terms; of a fragment the best lines count, if they reach 0.6 of its best one. No row: no answer.
+    """
+    lines = fragments.select("query", "rank", F.posexplode(candidate_lines(F.coalesce("text", F.lit("")))).alias("at", "line"))
+    total = lines.groupBy("query").agg(F.count(F.lit(1)).alias("lines"))
+    words = lines.select("query", "rank", "at", F.explode(F.array_distinct(tokens(F.col("line")))).alias("term"))
+    hits = settled(words.join(terms.select("query", "group", "term").distinct(), ["query", "term"]).select("query", "rank", "at", "group").distinct())
+    weights = hits.groupBy("query", "group").agg(F.count(F.lit(1)).alias("n")).join(total, "query").select("query", "group", F.log(1 + F.col("lines") / F.col("n")).alias("w"))
+    scored = hits.join(weights, ["query", "group"]).groupBy("query", "rank", "at").agg(F.round(F.sum("w"), 9).alias("score"))
+    best = scored.groupBy("query", "rank").agg(F.max("score").alias("best")).groupBy("query").agg(F.min(F.struct("rank", "best")).alias("_b"))
+    first = scored.join(best.select("query", F.col("_b.rank").alias("rank"), F.col("_b.best").alias("best")), ["query", "rank"])
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "at")
+    chosen = first.withColumn("_n", F.row_number().over(order)).filter((F.col("_n") <= MOST_LINES) & (F.col("score") >= 0.6 * F.col("best")))
+    ended = F.when(F.col("line").rlike("[.!?…]$"), F.col("line")).otherwise(F.concat("line", F.lit(".")))
+    told = chosen.select("query", "rank", "at").join(lines, ["query", "rank", "at"]).select("query", "rank", "at", ended.alias("line"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ")
+    return told.groupBy("query", "rank").agg(text.alias("answer"))

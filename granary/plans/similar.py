@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fuzzy, inverted, layout, search, vectors
 from ..sources.scratch import new_folder
 from ..streaming import service, sinks
-from .queries import _BM25, _COSINE, _TOKENS, _question_terms, query, table
+from .queries import _BM25, _COSINE, _STOP, _TOKENS, _question_terms, _ranked, query, table
 
 _ROUND = "r{1} as materialized (select l.o, least(l.g, coalesce(min(m.g), l.g)) as g from r{0} l left join p on p.a = l.o left join r{0} m on m.o = p.b group by l.o, l.g)"
 
@@ -173,3 +173,25 @@ def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = number * 12.0 + F.col("e.k") * 20.0  # paragraphs stand apart
     printed = lines.select("doc", F.floor(F.col("n") / 10).alias("page"), number.alias("at"), F.lit(50.0).alias("x0"), F.when(F.col("e.ends"), 200.0).otherwise(500.0).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.lit(10.0).alias("size"), F.col("e.text").alias("text"))
     return layout.paragraphs(printed).select("doc", "text", "page")
+
+
+# ---- answers
+
+
+@query(_BM25 + rf""", fr as (select query, rank, coalesce(text, '') as text from top join documents on doc_id = doc where rank <= 3),
+    ln as (select query, rank, [x for x in [trim(y) for y in string_split_regex(text, '\r\n|\n|\r')] if x <> ''] as l from fr),
+    ex as (select query, rank, flatten([case when length(x) > 300 then [z for z in [trim(y) for y in string_split(regexp_replace(x, '([.!?…])\s+', '\1' || chr(10), 'g'), chr(10))] if z <> ''] else [x] end for x in l]) as l from ln),
+    li as (select query, rank, unnest(l) as line, unnest(range(len(l))) as pos from ex),
+    tt as (select count(*) as lines, query from li group by query),
+    wd as (select distinct query, rank, pos, unnest(regexp_extract_all(translate(lower(line), 'ё', 'е'), '[a-zа-я0-9]+')) as term from li),
+    ht as (select w.query, rank, pos, w.term from wd w join qt on qt.query = w.query and qt.term = w.term),
+    wt as (select query, term, ln(1 + max(lines) / count(*)) as w from ht join tt using (query) group by query, term),
+    sc as (select query, rank, pos, round(sum(w), 9) as score from ht join wt using (query, term) group by query, rank, pos),
+    bs as (select query, arg_min(best, rank) as best, min(rank) as rank from (select query, rank, max(score) as best from sc group by query, rank) group by query),
+    ch as (select sc.*, best, row_number() over (partition by sc.query order by score desc, pos) as n from sc join bs on bs.query = sc.query and bs.rank = sc.rank)
+    select ch.query, ch.rank, string_agg(case when regexp_matches(line, '[.!?…]$') then line else line || '.' end, ' ' order by ch.pos) as answer
+    from ch join li on li.query = ch.query and li.rank = ch.rank and li.pos = ch.pos where n <= 3 and score >= 0.6 * best group by ch.query, ch.rank""")
+def answers_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a question, answered from its three best documents."""
+    fragments = _ranked(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
+    return search.extracted_answers(fragments, _question_terms(spark, sf_dir))

@@ -12,7 +12,7 @@ from granary.operators import fuzzy, graphs, inverted, search, vectors
 from granary.plans import similar  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
 
-NAMES = ["fuzzy_names", "service_replay", "events_stored_once", "bm25_kept_index", "index_states", "vector_lists_exact", "vector_recall", "hybrid_search"]
+NAMES = ["fuzzy_names", "service_replay", "events_stored_once", "bm25_kept_index", "index_states", "vector_lists_exact", "vector_recall", "hybrid_search", "answers_extracted"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -169,3 +169,11 @@ def test_vector_lists(spark, tmp_path):
     again = vectors.stored(spark, str(tmp_path / "lists"), index.centroids)
     assert again.rows.count() == 605
     assert vectors.search(vectors.build(df.limit(0), "id", "v"), asked, "id", "v", 5).count() == 0
+
+
+def test_extracted_answers(spark):
+    long = "Filler words about nothing at all. " * 9 + "The rare battery lasts a week! More filler"
+    rows = [(1, 1, "nothing here"), (1, 2, "delivery is free\n\n  battery and delivery  \nprice\ndelivery again"), (1, 3, long), (2, 1, None), (3, 1, long)]
+    terms = [(1, "delivery", "delivery"), (1, "battery", "battery"), (1, "battery", "accumulator"), (2, "x", "x"), (3, "battery", "battery")]
+    out = search.extracted_answers(spark.createDataFrame(rows, "query long, rank int, text string"), spark.createDataFrame(terms, "query long, group string, term string"))
+    assert {(r.query, r["rank"]): r.answer for r in out.collect()} == {(1, 2): "battery and delivery.", (3, 1): "The rare battery lasts a week!"}
