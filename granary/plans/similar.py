@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy, inverted, layout, search, vectors
+from ..operators import fuzzy, inverted, layout, paging, search, vectors
 from ..sources.scratch import new_folder
 from ..streaming import service, sinks
 from .queries import _BM25, _COSINE, _STOP, _TOKENS, _question_terms, _ranked, query, table
@@ -195,3 +195,18 @@ def answers_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a question, answered from its three best documents."""
     fragments = _ranked(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), "doc")
     return search.extracted_answers(fragments, _question_terms(spark, sf_dir))
+
+
+# ---- paging
+
+
+@query(r"""with recursive l as (select page_id, regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) as a from pages),
+    g as (select a[1] as url, arg_min(a[len(a)], page_id) as next, min(page_id) as page_id from l where len(a) > 0 group by a[1]),
+    w(start, step, url, next, seen) as (select page_id, 1, url, next, [url] from g
+        union all select w.start, w.step + 1, g.url, g.next, list_append(w.seen, g.url) from w join g on g.url = w.next where w.step < 12 and not list_contains(w.seen, g.url))
+    select start, step, url from w""")
+def paged_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages by their first link, which goes on to the page named by their last one; at most twelve steps from each."""
+    found = table(spark, sf_dir, "pages").select("page_id", paging.links(F.col("html")).alias("a")).filter(F.size("a") > 0)
+    named = found.groupBy(F.get("a", F.lit(0)).alias("url")).agg(F.min_by(F.element_at("a", -1), "page_id").alias("next"), F.min("page_id").alias("start"))
+    return paging.follow(named, named.select("start", "url"), 12)

@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import comparable
-from granary.operators import finance, layout, leads, snapshots
+from granary.operators import finance, layout, leads, paging, snapshots
 from granary.plans import similar  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["page_cells", "page_paragraphs"])
+@pytest.mark.parametrize("name", ["page_cells", "page_paragraphs", "paged_ways"])
 def test_query_matches_sql(spark, duck, sf, name):
     assert comparable(QUERIES[name](spark, sf).toPandas()) == comparable(duck.execute(ORACLES[name]).fetchdf())
 
@@ -91,3 +91,14 @@ def test_many_changes_of_one_size_are_ranked_over_several_tasks(spark):
     assert got == sorted(range(2000), key=lambda k: ((0 if k % 50 == 0 else 1 if k % 50 == 1 else 2), k))
     assert sorted(r.place for r in ranked.collect()) == list(range(1, 2001)) and ranked.columns == ["kind", "key", "pct", "place"]
     assert snapshots.largest_first(feed.limit(0)).count() == 0
+
+
+def test_ways_end(spark):
+    pages = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", None), ("e", "lost"), ("f", "f"), ("g", "a")], "url string, next string")
+    starts = spark.createDataFrame([(1, "a"), (2, "d"), (3, "e"), (4, "f"), (5, "g"), (6, "none")], "start long, url string")
+    way = lambda k: {s: "".join(r.url for r in rows if r.start == s) for s in range(1, 7)} if (rows := sorted(paging.follow(pages, starts, k).collect(), key=lambda r: r.step)) else {}
+    assert way(10) == {1: "abc", 2: "d", 3: "e", 4: "f", 5: "gabc", 6: ""}
+    assert way(2) == {1: "ab", 2: "d", 3: "e", 4: "f", 5: "ga", 6: ""}
+    html = spark.createDataFrame([("<A class=x HREF='/p?a=1&amp;b=2'>1</A> <a>no</a><a href=\" /q \">",), (None,)], "h string")
+    assert [r[0] for r in html.select(paging.links(F.col("h"))).collect()] == [["/p?a=1&b=2", "/q"], []]
+    assert spark.range(3, 4).select(paging.template_url("http://shop/?page={page}&x", F.col("id"))).first()[0] == "http://shop/?page=3&x"
