@@ -66,9 +66,10 @@ def score_found(found: DataFrame, whole: DataFrame, queries: DataFrame) -> DataF
     group's frequency is the number of documents with any of its terms. Coverage is the
     weight of the groups found over the weight of all groups.
     """
-    found = settled(found.join(_few(queries), "term"))
-    frequency = found.groupBy("query", "group").agg(F.count_distinct("doc").alias("df"))
-    rows = found.join(_few(frequency), ["query", "group"]).crossJoin(F.broadcast(whole))  # one row
+    # Dealt by document, the rows of a question and a document stay in one task: only postings are shuffled.
+    met = settled(found).repartition("doc").join(_few(queries), "term")
+    frequency = settled(met.groupBy("query", "group").agg(F.count_distinct("doc").alias("df")))
+    rows = met.join(_few(frequency), ["query", "group"]).crossJoin(F.broadcast(whole))  # one row
     norm = F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))
     scored = rows.withColumns({"idf": idf(F.col("df"), F.col("total")), "part": F.col("tf") * (K1 + 1) / norm * F.col("weight")})
     by_group = scored.groupBy("query", "doc", "group").agg(F.max(F.col("idf") * F.col("part")).alias("s"), F.max("weight").alias("w"))
