@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy, inverted, layout, paging, search, vectors
+from ..operators import choices, fuzzy, inverted, layout, paging, search, vectors
 from ..sources.scratch import new_folder
 from ..streaming import service, sinks
 from .queries import _BM25, _COSINE, _STOP, _TOKENS, _question_terms, _ranked, query, table
@@ -210,3 +210,40 @@ def paged_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", paging.links(F.col("html")).alias("a")).filter(F.size("a") > 0)
     named = found.groupBy(F.get("a", F.lit(0)).alias("url")).agg(F.min_by(F.element_at("a", -1), "page_id").alias("next"), F.min("page_id").alias("start"))
     return paging.follow(named, named.select("start", "url"), 12)
+
+
+# ---- the space of options of each brand
+
+
+_PARTS = ["finish", "look", "body"]
+_PART_RULES = [
+    {"when": {"look": ["cold", "small"]}, "disable": {"finish": ["ECONOMY"]}},
+    {"when": {"finish": ["PROMO"], "look": ["large"]}, "disable": {"body": ["bolt", "widget"]}},
+    {"when": {}, "disable": {"finish": ["STANDARD"]}},
+]
+_OPTIONS_SQL = """with o as (select distinct p_brand as product, unnest(['finish', 'look', 'body']) as group_id, unnest([p_type, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) as option_id from part)"""
+
+
+def _part_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    cells = F.explode(F.array(*[F.struct(F.lit(g).alias("group_id"), x.alias("option_id")) for g, x in zip(_PARTS, (F.col("p_type"), words[0], words[1]), strict=True)]))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("product"), cells.alias("c")).select("product", "c.*")
+
+
+@query(_OPTIONS_SQL + """, f as (select product, option_id as finish from o where group_id = 'finish'), k as (select product, option_id as look from o where group_id = 'look'), b as (select product, option_id as body from o where group_id = 'body'),
+    s as (select * from f join k using (product) join b using (product) where finish <> 'STANDARD' and not (finish = 'ECONOMY' and look in ('cold', 'small')) and not (finish = 'PROMO' and look = 'large' and body in ('bolt', 'widget'))),
+    u as (select product, 'finish' as group_id, finish as option_id from s union all select product, 'look', look from s union all select product, 'body', body from s)
+    select o.product, o.group_id, o.option_id, count(u.product) as states from o left join u using (product, group_id, option_id) group by o.product, o.group_id, o.option_id""")
+def option_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every option of every brand with the number of allowed configurations it stands in."""
+    return choices.option_use(_part_options(spark, sf_dir), _PARTS, _PART_RULES)
+
+
+@query(_OPTIONS_SQL + """, t as (select distinct p_brand as product, unnest(['/' || p_brand || '/{look}/{body}.png', '{finish}-{unknown}.png', 'plain.png']) as template from part)
+    select distinct t.product, replace(replace(replace(template, '{finish}', f.option_id), '{look}', k.option_id), '{body}', b.option_id) as path from t
+    join o f on f.product = t.product and f.group_id = 'finish' join o k on k.product = t.product and k.group_id = 'look' join o b on b.product = t.product and b.group_id = 'body'""")
+def option_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picture paths of every brand, from templates with names of groups in them."""
+    templates = F.explode(F.array(F.concat(F.lit("/"), "p_brand", F.lit("/{look}/{body}.png")), F.lit("{finish}-{unknown}.png"), F.lit("plain.png")))
+    paths = table(spark, sf_dir, "part").select(F.col("p_brand").alias("product"), templates.alias("template"))
+    return choices.expanded(paths, _part_options(spark, sf_dir), _PARTS)

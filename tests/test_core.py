@@ -182,18 +182,30 @@ def test_rate_limit_by_brute_force(spark):
     assert got == want
 
 
+def _forbidden(rules, state, group, option):
+    for rule in rules:
+        if option in rule["disable"].get(group, ()) and all(k != group and state.get(k) in v for k, v in rule["when"].items()):
+            return rule["reason"]
+    return None
+
+
 def test_settled_options_by_brute_force(spark):
     import itertools
 
     groups = [{"id": g, "default": "1", "options": ["1", "2", "3"]} for g in "abc"]
     rules = [{"when": {"a": ["2"]}, "disable": {"b": ["2", "1"]}, "reason": "r1"}, {"when": {"b": ["3"]}, "disable": {"c": ["1"]}, "reason": "r2"}]
-    states = [dict(zip("abc", x, strict=True)) for x in itertools.product("123", repeat=3)] + [{}, {"a": "9", "b": "2"}]
+    states = [dict(zip("abc", x, strict=True)) for x in itertools.product("123", repeat=3)] + [{}, {"a": "9", "b": "2"}, None]
     df = spark.createDataFrame([(s,) for s in states], "s map<string,string>")
-    for r in df.select("s", choices.resolve(F.col("s"), groups, rules).alias("o")).collect():
-        assert set(r.o) == set("abc") and all(choices._reason(rules, r.o, g, o) is None for g, o in r.o.items())
-        full = {g: r.s.get(g) if r.s.get(g) in ("1", "2", "3") else "1" for g in "abc"}
-        if all(choices._reason(rules, full, g, o) is None for g, o in full.items()):
-            assert r.o == full
+    got = df.select("s", choices.resolve(F.col("s"), groups, rules).alias("o"))
+    assert "Python" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        assert set(r.o) == set("abc") and all(_forbidden(rules, r.o, g, o) is None for g, o in r.o.items())
+        full = {g: (r.s or {}).get(g) if (r.s or {}).get(g) in ("1", "2", "3") else "1" for g in "abc"}
+        for _ in range(4):  # group after group: the default, else the first option that is free
+            for g in "abc":
+                if _forbidden(rules, full, g, full[g]):
+                    full[g] = next((o for o in "1123" if o != full[g] and not _forbidden(rules, full, g, o)), full[g])
+        assert r.o == full
     row = df.limit(1).select(choices.select(F.create_map(F.lit("a"), F.lit("2")), F.lit("b"), F.lit("2"), groups, rules).alias("x")).first().x
     assert row.blocked == "r1" and row.state == {"a": "2", "b": "3", "c": "2"}
     row = df.limit(1).select(choices.select(F.create_map(F.lit("b"), F.lit("2")), F.lit("a"), F.lit("2"), groups, rules).alias("x")).first().x
