@@ -234,3 +234,12 @@ def first_line(x: Column, longest: int = 120) -> Column:
 def running_key(line: Column) -> Column:
     """Key of a line that may repeat from page to page: digits count alike."""
     return F.regexp_replace(F.lower(clean_spaces(line)), "[0-9]+", "#")
+
+
+def messages(x: Column, limit: int = 4096) -> Column:
+    """A text as messages of at most ``limit`` characters, cut at line ends; longer lines are cut within.
+
+    Empty lines at the beginning of a message are left out. An empty text is one empty message, a null text none.
+    """
+    found = F.regexp_extract_all(x, F.lit(rf"(?s)[^\n].{{0,{limit - 1}}}(?=\n|\z)|[^\n]{{{limit}}}"), F.lit(0))
+    return F.when(F.size(found) > 0, found).when(x.isNotNull(), F.array(F.lit("")))

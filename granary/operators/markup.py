@@ -34,15 +34,25 @@ _ENDS = {
 _NO_END = (frozenset(), frozenset())
 
 
+# Attributes that hold addresses, and beginnings of what is no address of a page.
+LINK_ATTRIBUTES = ("href", "src", "data-src", "data-original", "data-lazy", "data-href")
+NO_LINK = ("#", "javascript:", "mailto:", "tel:", "data:")
+
+
 @dataclass(frozen=True)
 class Field:
-    """A value: ``css`` selects, ``attr`` reads (text or an attribute), ``pattern`` cuts out."""
+    """A value: ``css`` selects, ``attr`` reads (text, own_text without that of inner elements,
+    or an attribute), ``pattern`` cuts out. What follows is for ``fields.typed``."""
 
     name: str
-    css: str
+    css: str = ""
     attr: str = "text"
     pattern: str | None = None
     many: bool = False
+    kind: str = "str"
+    mapping: dict[str, str] | None = None
+    default: object = None
+    required: bool = False
 
 
 @dataclass(frozen=True)
@@ -170,14 +180,17 @@ def select(root: _Node, css: str) -> list[_Node]:
 
 
 def _value(node: _Node, field: Field, url: str) -> str | None:
-    raw = node.text() if field.attr == "text" else node.attrs.get(field.attr)
-    if raw is None:
-        return None
-    if field.attr in ("href", "src"):
-        raw = None if raw.startswith(("#", "javascript:", "mailto:", "tel:", "data:")) else urljoin(url, raw)
+    if field.attr == "text":
+        raw = node.text()
+    elif field.attr == "own_text":
+        raw = " ".join(c for c in node.children if isinstance(c, str))
+    else:
+        raw = node.attrs.get(field.attr)
     if raw and field.pattern:
         found = re.search(field.pattern, raw)
         raw = found.group(found.re.groups and 1) if found else None
+    if raw is not None and (field.attr in LINK_ATTRIBUTES or field.kind == "url"):
+        raw = None if raw.strip().startswith(NO_LINK) else urljoin(url, raw.strip())
     return " ".join(raw.split()) or None if raw else None
 
 

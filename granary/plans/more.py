@@ -22,7 +22,7 @@ def person_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.person_name(raw).alias("n")).select("c_custkey", F.col("n.value").alias("name"), "n.error")
 
 
-@query("select p_partkey, trunc(p_retailprice)::bigint as whole, round_even(p_retailprice::decimal(38,6), 2)::double as price, strftime(date '2024-01-31' + to_months(p_size::int), '%Y-%m-%d') as later, format('{:,}', p_partkey * 997) as grouped from part")
+@query("select p_partkey, round_even(p_retailprice::decimal(38,6), 0)::bigint as whole, round_even(p_retailprice::decimal(38,6), 2)::double as price, strftime(date '2024-01-31' + to_months(p_size::int), '%Y-%m-%d') as later, format('{:,}', p_partkey * 997) as grouped from part")
 def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("about "), F.col("p_retailprice").cast("decimal(18,2)").cast("string"), F.lit(" USD"))
     later = numbers.months_later(F.lit("2024-01-31").cast("date"), F.col("p_size"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import comparable
 from granary.functions import numbers, stems, text, wording
-from granary.operators import choices, chunks, cleaning, finance, layout, leads, markup, search, snapshots
+from granary.operators import choices, cleaning, finance, layout, leads, markup, search, snapshots
 from granary.plans import more  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
 from granary.sources import files
@@ -106,13 +106,6 @@ def test_pages_with_open_elements(spark):
     assert (row.cells, row.options) == (["a", "b in", "in", "c"], ["x", "y"])
 
 
-def test_chunks():
-    parts = chunks.split_text("One two. Three four. Five six.\nSeven.", 20, 10)
-    assert parts == ["One two. Three four.", "Five six.\nSeven."]
-    assert chunks.split_text("x" * 25, 10, 0) == ["x" * 10, "x" * 10, "x" * 5]
-    assert chunks.split_text("", 10, 2) == []
-
-
 def test_choices(spark):
     rules = spark.createDataFrame([(1, "no lock here", "finish", ["oak"], "lock", "smart")], "rule int, reason string, when_group string, when_options array<string>, group_id string, option_id string")
     chosen = spark.createDataFrame([(1, "finish", "oak"), (1, "lock", "smart"), (2, "finish", "white")], "state int, group_id string, option_id string")
