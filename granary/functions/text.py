@@ -243,3 +243,9 @@ def messages(x: Column, limit: int = 4096) -> Column:
     """
     found = F.regexp_extract_all(x, F.lit(rf"(?s)[^\n].{{0,{limit - 1}}}(?=\n|\z)|[^\n]{{{limit}}}"), F.lit(0))
     return F.when(F.size(found) > 0, found).when(x.isNotNull(), F.array(F.lit("")))
+
+
+def file_name(x: Column) -> Column:
+    """A name that file systems take, of at most 120 characters."""
+    safe = clean_spaces(F.regexp_replace(x, "[<>:\"/\\\\|?*\\x00-\\x1f]", "_"))
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(safe, "^[ .]+|[ .]+$", ""), 1, 120), F.lit("")), F.lit("документ"))

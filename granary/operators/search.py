@@ -120,12 +120,71 @@ def hit_at(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     return asked.agg(F.count(F.lit(1)).alias("questions"), F.avg((F.coalesce("rank", F.lit(10**9)) <= 1).cast("double")).alias("hit_1"), F.avg((F.coalesce("rank", F.lit(10**9)) <= k).cast("double")).alias("hit_k"))
 
 
-def tune_threshold(scores: DataFrame, score: str, wanted: str) -> DataFrame:
-    """Balanced accuracy at thresholds 0.10, 0.15 to 0.90, in one pass over the scores."""
+def _grams(words: str, n: int) -> Column:
+    """Different hashes of ``n`` words in a row, of fewer at the end."""
+    return F.array_distinct(F.transform(words, lambda x, k: F.xxhash64(F.slice(words, k + 1, n))))
+
+
+def holding(docs: DataFrame, passages: DataFrame, doc: str, text: str, key: str, passage: str, words: int = 6) -> DataFrame:
+    """(query, doc) for each passage that stands in a text, character by character.
+
+    Words inside a passage, without its first and last, are whole words of every text that holds
+    it: texts and passages meet by the hash of ``words`` of them, or of one where a passage is
+    short, and what meets is compared in full. Passages of less than three words, as split
+    at spaces, are held against all texts in blocks of some ``QUERY_BLOCK``. Rows without an
+    identifier, null texts and null passages give nothing; repeated rows give one pair.
+    """
+    asked = settled(passages.select(F.col(key).alias("query"), F.col(passage).alias("passage")).withColumn("n", F.size(F.split("passage", " "))))
+    read = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    counts = asked.agg(F.count_if(F.col("n") < 3).alias("few"), F.count_if(F.col("n").between(3, words + 1)).alias("short"), F.count_if(F.col("n") >= words + 2).alias("long")).first()
+    met = []
+    for n, chosen, count in ((words, f"n >= {words + 2}", counts.long), (1, f"n >= 3 and n < {words + 2}", counts.short)):
+        if count:
+            anchors = asked.filter(chosen).select("query", F.xxhash64(F.slice(F.split("passage", " "), 2, n)).alias("gram"))
+            split = read.select("doc", F.split("text", " ").alias("w"))
+            met.append(split.select("doc", F.explode(_grams("w", n)).alias("gram")).join(_few(anchors), "gram").select("query", "doc"))
+    parts = []
+    for pairs in met:
+        hits = settled(pairs.distinct())
+        parts.append(read.join(_few(hits), "doc").join(_few(asked), "query").filter(F.col("text").contains(F.col("passage"))).select("query", "doc"))
+    blocks = -(-counts.few // QUERY_BLOCK)
+    for b in range(blocks):
+        part = asked.filter((F.col("n") < 3) & (F.pmod(F.xxhash64("query", "passage"), F.lit(blocks)) == b))
+        parts.append(read.join(F.broadcast(part), F.col("text").contains(F.col("passage"))).filter("query is not null and doc is not null").select("query", "doc"))  # some QUERY_BLOCK rows
+    out = asked.join(read, F.lit(False)).select("query", "doc") if not parts else parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def tune_threshold(scores: DataFrame, score: str, wanted: str, by: str | None = None) -> DataFrame:
+    """Balanced accuracy at thresholds 0.10, 0.15 to 0.90, in one pass over the scores; for each value of ``by`` if named."""
     steps = F.explode(F.sequence(F.lit(10), F.lit(90), F.lit(5))).alias("t")
-    rows = scores.select(F.col(score).alias("s"), F.col(wanted).alias("y"), steps).withColumn("over", F.col("s") * 100 >= F.col("t"))
-    out = rows.groupBy("t").agg(F.avg(F.when(F.col("y"), F.col("over").cast("double"))).alias("tpr"), F.avg(F.when(~F.col("y"), (~F.col("over")).cast("double"))).alias("tnr"))
-    return out.select((F.col("t") / 100).alias("threshold"), ((F.col("tpr") + F.col("tnr")) / 2).alias("balanced"))
+    split = [F.col(by).alias("split")] if by else []
+    rows = scores.select(F.col(score).alias("s"), F.col(wanted).alias("y"), *split, steps).withColumn("over", F.col("s") * 100 >= F.col("t"))
+    out = rows.groupBy("t", *(["split"] if by else [])).agg(F.avg(F.when(F.col("y"), F.col("over").cast("double"))).alias("tpr"), F.avg(F.when(~F.col("y"), (~F.col("over")).cast("double"))).alias("tnr"))
+    return out.select(*(["split"] if by else []), (F.col("t") / 100).alias("threshold"), ((F.col("tpr") + F.col("tnr")) / 2).alias("balanced"))
+
+
+def threshold_report(scores: DataFrame, score: str, wanted: str, split: str, tuned_on: str) -> DataFrame:
+    """For each split: rows wanted and unwanted, false refusals, correct refusals and balanced accuracy, at the
+    threshold that is best on the split ``tuned_on``; of equally good ones the middle, the upper of two.
+
+    A score that is null counts as 0. Where ``tuned_on`` has only one kind of rows no
+    threshold can be chosen, and the figures are null.
+    """
+    rows = scores.select(F.coalesce(F.col(score), F.lit(0.0)).alias("s"), F.col(wanted).alias("y"), F.col(split).cast("string").alias("split"))
+    tried = tune_threshold(rows.filter(F.col("split") == tuned_on), "s", "y")
+    best = tried.agg(F.sort_array(F.collect_list(F.struct("balanced", "threshold"))).alias("all"))  # seventeen rows
+    top = F.filter("all", lambda x: x["balanced"] == F.array_max("all")["balanced"])
+    chosen = best.select(F.get(top, F.floor(F.size(top) / 2).cast("int"))["threshold"].alias("threshold"))
+    refused = F.col("s") * 100 < F.round(F.col("threshold") * 100)
+    out = rows.join(F.broadcast(chosen), F.lit(True)).groupBy("split", "threshold").agg(  # one row
+        F.count_if("y").alias("wanted"), F.count_if(~F.col("y")).alias("unwanted"), F.count_if(F.col("y") & refused).alias("false_refusals"), F.count_if(~F.col("y") & refused).alias("correct_refusals")
+    )
+    known = lambda c: F.when(F.col("threshold").isNotNull(), F.col(c)).alias(c)
+    balanced = (F.try_divide(F.col("wanted") - F.col("false_refusals"), F.col("wanted")) + F.try_divide(F.col("correct_refusals"), F.col("unwanted"))) / 2
+    return out.select("split", "threshold", "wanted", "unwanted", known("false_refusals"), known("correct_refusals"), F.when(F.col("threshold").isNotNull(), balanced).alias("balanced"))
 
 
 def vocabulary_variants(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:

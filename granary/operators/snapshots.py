@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import settled
+from .ranges import numbered
 
 TOLERANCE = 0.005
 
@@ -58,24 +58,10 @@ def changes(previous: DataFrame, current: DataFrame, key: str, price: str, title
 
 
 def largest_first(feed: DataFrame) -> DataFrame:
-    """Price changes with their place by size, then key; undefined percentages come first.
-
-    Ranges of (size, key) are sorted on their own and stored; a place is the number of rows in the
-    ranges before, one number each, and the number of the row in its own. Many changes of
-    one size fall into many ranges.
-    """
-    order = [F.desc_nulls_first("_size"), F.col("key").asc()]
-    rows = settled(feed.filter("kind = 'price'").withColumn("_size", F.abs("pct")))  # ranges are sampled from it
-    n = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settled(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_range", F.shiftright("_id", 33).cast("int"))
-    starts, total = [], 0
-    for number, count in ranged.groupBy("_range").agg(F.count(F.lit(1))).orderBy("_range").collect():  # a row for each partition
-        starts.append((number, total))
-        total += count
-    known = feed.sparkSession.createDataFrame(starts, "_range int, _start long")
-    placed = ranged.join(F.broadcast(known), "_range").withColumn("place", F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    return placed.select(*feed.columns, "place")
+    """Price changes with their place by size, then key; undefined percentages come first."""
+    size = F.abs("pct")
+    # Nulls come first in an ascending order, and so does the largest negated size.
+    return numbered(feed.filter("kind = 'price'"), [-size, F.col("key")], "place")
 
 
 def latest_run(runs: DataFrame, config: str, run_id: str, complete: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, wording
-from ..operators import chunks, fields, markup
+from ..operators import chunks, documents, fields, markup, search
 from .queries import query, table
 
 
@@ -142,3 +142,36 @@ def offer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     found = fields.typed(markup.extract(pages, wanted), wanted).withColumn("sizes", F.col("sizes").cast("array<string>"))
     return found.select("page_id", "price", "currency", "in_stock", F.date_format("since", "yyyy-MM-dd").alias("since"), "sale", "stars", *_told("sizes", "failed", "missing"))
+
+
+# ---- passages, thresholds, filled documents
+
+
+@query("select item_id as query, doc_id as doc from benchmark b join documents d on contains(d.text, b.text) group by all")
+def passages_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.holding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query("""with s as (select n_chars / 8000.0 as s, quality = 1 as y, source as split from documents join labels using (doc_id)), t as (select unnest(range(10, 91, 5)) as t),
+    b as (select t, (avg(case when y then (s * 100 >= t)::int end) + avg(case when not y then (s * 100 < t)::int end)) / 2 as v from s, t where split = (select min(split) from s) group by t),
+    c as (select list(t order by t) as best from b where v = (select max(v) from b)), d as (select best[len(best) // 2 + 1] as t from c),
+    r as (select split, t, count(*) filter (y) as wanted, count(*) filter (not y) as unwanted, count(*) filter (y and s * 100 < t) as false_refusals, count(*) filter (not y and s * 100 < t) as correct_refusals from s, d group by split, t)
+    select split, t / 100 as threshold, wanted, unwanted, false_refusals, correct_refusals, case when wanted > 0 and unwanted > 0 then ((wanted - false_refusals) / wanted + correct_refusals / unwanted) / 2 end as balanced from r""")
+def threshold_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold is chosen on the first source and judged on all of them."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = docs.select((F.col("n_chars") / 8000.0).alias("s"), (F.col("quality") == 1).alias("y"), F.col("source").alias("split"))
+    return search.threshold_report(rows, "s", "y", "split", rows.agg(F.min("split")).first()[0])
+
+
+@query("""with c as (select *, row_number() over (order by c_custkey) as n, case when c_custkey % 9 <> 0 then 'tel ' || c_nationkey end as phone, case when c_custkey % 4 = 0 then c_name else c_mktsegment end as seg from customer),
+    t as (select *, row_number() over (partition by seg order by n) as k from c)
+    select n as number, seg || case when k > 1 then '_' || k else '' end as name, n || '. ' || upper(c_name) || ', ' || coalesce(phone, '') || ': ' || translate(format('{:,.2f}', c_acctbal::decimal(18,2)::double), ',.', chr(160) || ',') as text,
+    case when phone is null then 'phone' else '' end as problems from t""")
+def filled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter for each customer; most are named by their segment, so five names repeat very often."""
+    phone = F.when(F.col("c_custkey") % 9 != 0, F.concat(F.lit("tel "), F.col("c_nationkey").cast("string")))
+    seg = F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("Name"), phone.alias("phone"), F.col("c_acctbal").cast("decimal(18,2)").alias("balance"), seg.alias("seg"))
+    made = documents.fill_documents(rows, "{{№}}. {{name|заглавные}}, {{phone}}: {{balance|деньги}}", ["c_custkey"], "{{seg}}")
+    return made.select("number", "name", "text", *_told("problems"))

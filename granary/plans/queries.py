@@ -352,9 +352,8 @@ _EXPECTED = ", e as (select item_id as query, min(doc_id) as doc from benchmark
 
 @query(_BM25 + _EXPECTED + ", h as (select e.query, min(rank) as rank from e left join top on top.query = e.query and top.doc = e.doc and rank <= 10 group by e.query) select count(*) as questions, avg((coalesce(rank, 99) <= 1)::int) as hit_1, avg((coalesce(rank, 99) <= 5)::int) as hit_k from h")
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("_t")))
-    docs = table(spark, sf_dir, "documents")
-    expected = docs.join(asked, F.col("text").contains(F.col("_t"))).groupBy(F.col("item_id").alias("query")).agg(F.min("doc_id").alias("doc"))
+    held = search.holding(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    expected = held.groupBy("query").agg(F.min("doc").alias("doc"))
     return search.hit_at(_ranked(spark, sf_dir, 10), expected, 5)
 
 

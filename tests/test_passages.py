@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import text, wording
-from granary.operators import chunks, fields, markup
+from granary.operators import chunks, documents, fields, markup, ranges, search
 from granary.plans import passages  # noqa: F401
 from granary.plans.queries import ORACLES, QUERIES
 from tests.conftest import comparable
@@ -158,6 +158,59 @@ def test_attributes(spark):
     assert (row.own, row.image, row.links, row.said) == ("own text", "http://h/a/p.png", ["http://h/a/b/c?q=1"], "http://h/a/b/inner")
 
 
-@pytest.mark.parametrize("name", ["chunk_documents", "chunk_dialogs", "split_messages", "prompts_from_dialogs", "page_extract", "page_fields", "offer_fields"])
+@pytest.mark.parametrize("name", ["chunk_documents", "chunk_dialogs", "split_messages", "prompts_from_dialogs", "page_extract", "page_fields", "offer_fields", "passages_held", "threshold_by_source", "filled_letters"])
 def test_queries_match_sql(spark, duck, sf, name):
     assert comparable(QUERIES[name](spark, sf).toPandas()) == comparable(duck.execute(ORACLES[name]).fetchdf())
+
+
+def test_passages_by_brute_force(spark):
+    draw = random.Random(5)
+    word = lambda: draw.choice(["a", "b", "ab", "", "c\n", "ba"])
+    docs = [(k, " ".join(word() for _ in range(draw.randint(0, 30)))) for k in range(80)] + [(200, None), (None, "a b a"), (201, "a b a"), (201, "a b a")]
+    asked = [(k, " ".join(word() for _ in range(draw.choice([1, 2, 3, 4, 5, 6, 8])))) for k in range(60)] + [(90, ""), (91, None), (None, "a"), (92, "not there at all"), (92, "b a")]
+    left, right = spark.createDataFrame(docs, "id int, body string"), spark.createDataFrame(asked, "id int, body string")
+    want = {(q, d) for q, p in asked for d, t in docs if None not in (q, d, p, t) and p in t}
+    for words in (2, 6):
+        got = [tuple(r) for r in search.holding(left, right, "id", "body", "id", "body", words).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert search.holding(left, right.limit(0), "id", "body", "id", "body").count() == 0
+    assert search.holding(left.limit(0), right, "id", "body", "id", "body").count() == 0
+
+
+def test_threshold_report(spark):
+    rows = [(0.9, True, "a"), (0.3, True, "a"), (0.2, False, "a"), (None, False, "a"), (0.5, False, "b"), (0.26, True, "b"), (0.1, True, "b")]
+    table = spark.createDataFrame(rows, "s double, y boolean, split string")
+    got = {r.split: r for r in search.threshold_report(table, "s", "y", "split", "a").collect()}
+    assert got["a"].threshold == 0.3 and got["a"].balanced == 1.0 and got["a"].false_refusals == 0  # 0.25 and 0.30 are equally good
+    assert (got["b"].wanted, got["b"].unwanted, got["b"].false_refusals, got["b"].correct_refusals, got["b"].balanced) == (2, 1, 2, 0, 0.0)
+    none = search.threshold_report(table.filter("y"), "s", "y", "split", "a").collect()
+    assert len(none) == 2 and all(r.false_refusals is None and r.balanced is None for r in none)
+    assert search.threshold_report(table.limit(0), "s", "y", "split", "a").count() == 0
+
+
+def test_filled_documents(spark):
+    rows = [(1, "x/y", "10"), (2, "X_Y", "many"), (3, "x_y_3", None), (4, None, " "), (5, "x_y", "2"), (None, None, None), (6, " . ", "0")]
+    table = spark.createDataFrame(rows, "id int, name string, n string")
+    got = documents.fill_documents(table, "{{№}}: {{N|число}} of {{name}}", ["id"], "{{ name }}").orderBy("number").collect()
+    assert [tuple(r) for r in got] == [
+        (2, "x_y", "2: 10 of x/y", []),
+        (3, "X_Y_2", "3: many of X_Y", ["N|число"]),
+        (4, "x_y_3", "4:  of x_y_3", ["N"]),
+        (5, "документ", "5:  of ", ["N", "name"]),
+        (6, "x_y_3_№6", "6: 2 of x_y", []),
+        (7, "документ_2", "7: 0 of  . ", []),
+    ]
+    assert documents.fill_documents(table, "{{gone}}", ["id"], allow_missing=True).first().text == "{{gone}}"
+    assert documents.fill_documents(table.limit(0), "{{n}}", ["id"]).count() == 0
+    for wrong in ("none", "{{gone}}", "{{n|шум}}"):
+        with pytest.raises(ValueError):
+            documents.fill_documents(table, wrong, ["id"])
+
+
+def test_numbered(spark):
+    draw = random.Random(1)
+    rows = [(k, draw.choice([None, 1, 2, 2, 3]), "old") for k in range(500)]
+    table = spark.createDataFrame(rows, "id int, v int, place string")
+    got = sorted(ranges.numbered(table, [F.col("v"), F.col("id")], "place").collect(), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(1, 501))
+    assert [r.id for r in got] == [k for k, v, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
