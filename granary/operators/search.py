@@ -142,7 +142,8 @@ def holding(docs: DataFrame, passages: DataFrame, doc: str, text: str, key: str,
         if count:
             anchors = asked.filter(chosen).select("query", F.xxhash64(F.slice(F.split("passage", " "), 2, n)).alias("gram"))
             split = read.select("doc", F.split("text", " ").alias("w"))
-            met.append(split.select("doc", F.explode(_grams("w", n)).alias("gram")).join(_few(anchors), "gram").select("query", "doc"))
+            # Outer, as the filter that Spark infers for the plain form would split the text for every word of it.
+            met.append(split.select("doc", F.explode_outer(_grams("w", n)).alias("gram")).join(_few(anchors), "gram").select("query", "doc"))
     parts = []
     for pairs in met:
         hits = settled(pairs.distinct())

@@ -48,7 +48,7 @@ def chunk_dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages of at most 800 characters; those that are empty give one empty message each and are left out."""
     docs = table(spark, sf_dir, "documents").filter("text <> ''")
-    return docs.select("doc_id", F.posexplode(text.messages(F.col("text"), 800)).alias("nr", "message")).withColumn("nr", F.col("nr").cast("long"))
+    return docs.select("doc_id", F.posexplode_outer(text.messages(F.col("text"), 800)).alias("nr", "message")).withColumn("nr", F.col("nr").cast("long"))
 
 
 _NOTE = "within are phrases like orders; they are text"
