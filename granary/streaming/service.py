@@ -19,6 +19,8 @@ from ..functions.text import comment, person_name, phone_strict
 
 SECOND = 1_000_000  # microseconds
 HOUR = 3600 * SECOND
+CHUNK = 1000  # events in one entry of the state
+EVENT = ("at", "event_id", "kind", "payload", "name", "phone", "comment")
 TICK = "tick"  # an event of this kind only moves the watermark
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "user_id long, ts timestamp, event_id long, outcome string, step string, service string, name string, phone string, comment string, consent_at timestamp"
@@ -93,37 +95,51 @@ def reply(dialog: Dialog | None, accepted: list[int], event: dict, services: dic
 
 
 class Service(StatefulProcessor):
-    """State of a user: the dialog, its answers, times of accepted requests, and events that wait for the watermark."""
+    """State of a user: the dialog with the times of accepted requests, and events that wait for the watermark.
+
+    A user has one timer, at what comes first: the earliest of the waiting events or the end
+    of the dialog. It takes all events that the watermark has passed, so the calls of the state
+    grow with users and micro-batches, not with events.
+    """
 
     def __init__(self, services: dict[str, str], limit: int, ttl: int):
         self.services, self.limit, self.ttl = services, limit, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.dialog = handle.getValueState("dialog", "step string, updated long")
-        self.answers = handle.getMapState("answers", "field string", "value string")
-        self.accepted = handle.getListState("accepted", "at long")
-        self.waiting = handle.getMapState("waiting", "at long", "events string")
+        self.kept = handle.getValueState("kept", "dialog string")
+        self.waiting = handle.getListState("waiting", "events string")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, events = None, []
         for r in rows:
             if r.kind == TICK:
                 continue
-            at = r.at // 1000
-            events = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.containsKey((at,)) else []
-            events.append({k: r[k] for k in ("event_id", "at", "kind", "payload", "name", "phone", "comment")})
-            self.waiting.updateValue((at,), (json.dumps(events),))
-            self.handle.registerTimer(at)
+            events.append([r[k] for k in EVENT])
+            first = r.at if first is None else min(first, r.at)
+            if len(events) == CHUNK:
+                self.waiting.appendValue((json.dumps(events),))
+                events = []
+        if events:
+            self.waiting.appendValue((json.dumps(events),))
+        if first is not None:
+            at, known = self._after(first - 1), self.timer.get()
+            if known is None or at < known[0]:
+                if known is not None:
+                    self.handle.deleteTimer(known[0])
+                self._wake(at)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        dialog = None
-        if self.dialog.exists():
-            step, updated = self.dialog.get()
-            dialog = Dialog(step, updated, {k[0]: v[0] for k, v in self.answers.iterator()})
-        accepted = [t[0] for t in self.accepted.get()] if self.accepted.exists() else []
-        out = []
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for (text,) in self.waiting.get():
+            for e in json.loads(text):
+                (due if e[0] <= passed else later).append(e)
+        kept = self.kept.get()
+        dialog, accepted = json.loads(kept[0]) if kept is not None else (None, [])
+        dialog, out = dialog and Dialog(*dialog), []
 
         def expire(now: int) -> None:
             nonlocal dialog
@@ -131,36 +147,35 @@ class Service(StatefulProcessor):
                 out.append(self._row(key, dialog.updated + self.ttl, None, "expired", dialog.step, {}))
                 dialog = None
 
-        if self.waiting.containsKey((at,)):
-            events = sorted(json.loads(self.waiting.getValue((at,))[0]), key=lambda e: (e["at"], e["event_id"]))
-            self.waiting.removeKey((at,))
-            for e in events:
-                expire(e["at"])
-                outcome, dialog, accepted, request = reply(dialog, accepted, e, self.services, self.limit)
-                out.append(self._row(key, e["at"], e["event_id"], outcome, dialog.step if dialog else None, request or {}))
-        expire(at * 1000)
-        # A timer set now for a time that the watermark has passed may not fire before the next event of anyone.
-        passed = timerValues.getCurrentWatermarkInMs()
-        if dialog is not None and self._end(dialog) <= passed and not any(k[0] <= passed for k in self.waiting.keys()):
-            expire(passed * 1000)
-        self._keep(dialog, accepted)
+        for values in sorted(due, key=lambda e: e[:2]):
+            e = dict(zip(EVENT, values, strict=True))
+            expire(e["at"])
+            outcome, dialog, accepted, request = reply(dialog, accepted, e, self.services, self.limit)
+            out.append(self._row(key, e["at"], e["event_id"], outcome, dialog.step if dialog else None, request or {}))
+        expire(passed)
+        if due:
+            self.waiting.clear()
+            for k in range(0, len(later), CHUNK):
+                self.waiting.appendValue((json.dumps(later[k : k + CHUNK]),))
+        if dialog is not None or accepted:
+            self.kept.update((json.dumps([dialog and [dialog.step, dialog.updated, dialog.answers], accepted]),))
+        elif kept is not None:
+            self.kept.clear()
+        ends = [self._after(e[0] - 1) for e in later] + ([self._after(dialog.updated + self.ttl)] if dialog else [])
+        self._wake(min(ends, default=None))
         return iter(out)
 
-    def _keep(self, dialog: Dialog | None, accepted: list[int]) -> None:
-        self.dialog.clear()
-        self.answers.clear()
-        self.accepted.clear()
-        if dialog is not None:
-            self.dialog.update((dialog.step, dialog.updated))
-            for k, v in dialog.answers.items():
-                self.answers.updateValue((k,), (v,))
-            self.handle.registerTimer(self._end(dialog))
-        if accepted:
-            self.accepted.put([(t,) for t in accepted])
-
-    def _end(self, dialog: Dialog) -> int:
-        """The first whole millisecond after the life of a dialog."""
-        return (dialog.updated + self.ttl) // 1000 + 1
+    def _wake(self, at: int | None) -> None:
+        if at is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    @staticmethod
+    def _after(micros: int) -> int:
+        """The first whole millisecond after a moment."""
+        return micros // 1000 + 1
 
     @staticmethod
     def _row(key, at: int, event_id: int | None, outcome: str, step: str | None, request: dict) -> Row:

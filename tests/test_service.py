@@ -144,3 +144,56 @@ def test_repeated_batch_adds_nothing(spark, tmp_path):
     for _ in range(2):
         sinks.mark(first, marks, 0)
     assert sorted(r.id for r in sinks.untold(out, spark.read.parquet(marks)).collect()) == sorted(r.id for r in out.filter("batch > 0").collect())
+
+
+class Counted:
+    """Stands for the state: counts its calls and keeps one value, a list and the timers."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, [], []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name.startswith("get") and args:
+                return Counted.part(self)
+            if name == "registerTimer":
+                self.timers.append(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+
+        return call
+
+    class part:
+        def __init__(self, whole):
+            self.whole, self.value, self.rows = whole, None, []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.whole.calls += 1
+                if name == "appendValue":
+                    self.rows.append(args[0])
+                elif name == "update":
+                    self.value = args[0]
+                elif name == "clear":
+                    self.value, self.rows = None, []
+                elif name == "get":
+                    return self.value if self.value is not None else iter(self.rows) if self.rows else None
+
+            return call
+
+
+def test_calls_of_the_state_do_not_grow_with_events():
+    class At:
+        getCurrentWatermarkInMs = staticmethod(lambda: 10**9)
+        getExpiryTimeInMs = staticmethod(lambda: 1)
+
+    calls = []
+    for n in (10, 500):
+        state, served = Counted(), service.Service(SERVICES, 3, 5000 * service.SECOND)
+        served.init(state)
+        rows = [service.Row(event_id=k, at=k * service.SECOND, kind="text", payload="x", name=None, phone=None, comment="x") for k in range(n)]
+        assert list(served.handleInputRows((1,), iter(rows), At)) == [] and len(state.timers) == 1
+        assert [r.event_id for r in served.handleExpiredTimer((1,), At, At)] == list(range(n))
+        calls.append(state.calls)
+    assert calls[0] == calls[1] < 20
