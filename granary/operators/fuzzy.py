@@ -10,10 +10,14 @@ Candidates come from two rules; each finds every pair over the threshold of its
   they are longer than that, at least one is shared;
 - whole keys: with at most k characters put in or left out, of the longer key's disjoint
   pieces at most k are broken, so of its k + 1 rarest pieces one stands in the other key.
+  Two short keys have at most three characters left out in all, so they meet in what
+  remains of each; pieces of numbered names would make candidates of nearly all pairs.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ from .graphs import components
 BLOCK = 512  # keys of a hot feature that meet in one group, on either side
 LEAST = 75  # below this threshold single letters no longer find all pairs
 _MARKS = 16  # counters of characters
+LONGEST_SHORT, MOST_TOKENS = 24, 3  # characters and tokens of short keys
 
 
 def common_length(a: str, b: str) -> int:
@@ -48,6 +53,35 @@ def whole_key_matches(a: str, b: str, threshold: int) -> bool:
     return 100 * (len(a) + len(b) - apart) >= threshold * (len(a) + len(b))
 
 
+def _short(threshold: int) -> int:
+    """The longest key of which two can differ by no more than three characters."""
+    near = 100 - threshold
+    return min(LONGEST_SHORT, -(-200 // near) - 1) if near else LONGEST_SHORT
+
+
+def remainders(key: str, lengths: list[int], threshold: int) -> list[str]:
+    """What is left of a short key, once some tokens are set apart as shared, without up to three characters of the others.
+
+    Two short keys that match whole have one of these in common. ``lengths``: those of all keys,
+    as the number of characters that the other key loses follows from its length.
+    """
+    tokens, near, out = key.split(" "), 100 - threshold, set()
+    ways = []
+    for own in range(4):
+        for other in range(4 - own):
+            length = len(key) - own + other
+            if own + other and length in lengths and 100 * (own + other) <= near * (len(key) + length):
+                ways.append((own, other))
+    for n in range(1, len(tokens) + 1):
+        for apart in combinations(range(len(tokens)), n):
+            rest = " ".join(tokens[k] for k in apart)
+            shared = " ".join(t for k, t in enumerate(tokens) if k not in apart)
+            for own, other in ways:
+                cuts = {"".join(c) for c in combinations(rest, len(rest) - own)} if own <= len(rest) else ()
+                out.update(f"{max(own, other)}{min(own, other)}{shared}|{c}" for c in cuts)
+    return list(out)
+
+
 def token_key(columns: list[Column]) -> Column:
     """The distinct tokens of the normalised columns, sorted, between single spaces; null without any."""
     text = F.concat_ws(" ", *[F.coalesce(norm_key(c.cast("string")), F.lit("")) for c in columns])
@@ -131,7 +165,17 @@ def similar_keys(keys: DataFrame, threshold: int = 90) -> DataFrame:
     gap = sum(F.abs(nibble("ma", m) - nibble("mb", m)) for m in range(_MARKS))
     allowed = (F.length("a") + F.length("b")) * near
     able = (F.length("b") <= F.length("a")) & (100 * (F.length("a") - F.length("b")) <= allowed)
-    pairs = _meet(asks, grams).filter(able).filter(100 * gap <= allowed)
+    # Two short keys meet in what is left of them, all others by pieces.
+    short = lambda c: (F.length(c) <= _short(threshold)) & (F.size(F.split(c, " ")) <= MOST_TOKENS)
+    lengths = [r[0] for r in keys.filter(short("key")).select(F.length("key")).distinct().collect()]  # at most LONGEST_SHORT rows
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def left_over(key: pd.Series) -> pd.Series:
+        return key.map(lambda x: remainders(x, lengths, threshold))
+
+    left = settled(keys.filter(short("key")).select("key", "marks", F.explode(left_over("key")).alias("feature")))
+    met = [_meet(asks.filter(~short("key")), grams), _meet(asks.filter(short("key")), grams.filter(~short("key"))), _meet(left, left)]
+    pairs = met[0].unionByName(met[1]).unionByName(met[2]).filter(able).filter(100 * gap <= allowed)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = pairs.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct()
 

@@ -177,3 +177,26 @@ def test_extracted_answers(spark):
     terms = [(1, "delivery", "delivery"), (1, "battery", "battery"), (1, "battery", "accumulator"), (2, "x", "x"), (3, "battery", "battery")]
     out = search.extracted_answers(spark.createDataFrame(rows, "query long, rank int, text string"), spark.createDataFrame(terms, "query long, group string, term string"))
     assert {(r.query, r["rank"]): r.answer for r in out.collect()} == {(1, 2): "battery and delivery.", (3, 1): "The rare battery lasts a week!"}
+
+
+def test_short_keys_meet_in_what_is_left():
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("ab1") for _ in range(draw.randint(1, 7)))
+    for threshold in (75, 85, 90):
+        keys = {" ".join(sorted({word() for _ in range(draw.randint(1, 3))})) for _ in range(400)}
+        keys = sorted(k for k in keys if len(k) <= fuzzy._short(threshold))
+        lengths = sorted({len(k) for k in keys})
+        left = {k: set(fuzzy.remainders(k, lengths, threshold)) for k in keys}
+        for a in keys:
+            for b in keys:
+                one, two = set(a.split(" ")), set(b.split(" "))
+                if a < b and one - two and two - one and fuzzy.whole_key_matches(a, b, threshold):
+                    assert left[a] & left[b], (a, b)
+
+
+def test_numbered_names_do_not_all_meet():
+    met = {}
+    for k in range(20_000):
+        for x in fuzzy.remainders(f"{k:09d} customer", [18], 90):
+            met[x] = met.get(x, 0) + 1
+    assert max(met.values()) <= 100
