@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
-from .search import cosine, top_k
+from .search import nearest
 
 MOST_SAMPLED = 20_000  # vectors that the centroids are fitted on
 MOST_LISTS = 4096
@@ -60,7 +60,8 @@ def _nearest_lists(df: DataFrame, key: str, vector: str, centroids: np.ndarray,
             width = centroids.shape[1]
             x = np.array([v if v is not None and len(v) == width else [0.0] * width for v in batch.column(1).to_pylist()], dtype=object)
             x = np.nan_to_num(np.array([[0.0 if c is None else c for c in v] for v in x], dtype=np.float64).reshape(-1, width))
-            order = np.argsort(-(_units(x) @ centroids.T), axis=1, kind="stable")[:, :probes]
+            near = _units(x) @ centroids.T
+            order = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
             at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["list", kind, "vector"])
 
@@ -94,11 +95,10 @@ def build(df: DataFrame, key: str, vector: str, lists: int | None = None, path:
 
 def search(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, probes: int | None = None) -> DataFrame:
     """The k nearest vectors of each query by cosine (query, doc, score, rank) among its ``probes`` nearest lists (all: exact)."""
-    probes = min(probes or len(index.centroids), len(index.centroids))
-    asked = _nearest_lists(queries, key, vector, index.centroids, probes, "query").withColumnRenamed("vector", "_q")
-    # Without a hint: the planner takes the smaller side as a table of hashes, and AQE splits long lists.
-    met = index.rows.join(asked, "list")
-    return top_k(met.select("query", "doc", cosine(F.col("_q"), F.col("vector")).alias("score")), k)
+    if (probes or len(index.centroids)) >= len(index.centroids):
+        asked = queries.select(F.lit(0).alias("list"), F.col(key).alias("query"), F.col(vector).alias("vector"))
+        return nearest(index.rows.withColumn("list", F.lit(0)), asked, k)
+    return nearest(index.rows, settled(_nearest_lists(queries, key, vector, index.centroids, probes, "query")), k)
 
 
 def recall(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> float:
