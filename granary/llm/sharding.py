@@ -22,41 +22,49 @@ from .common import cut, partitions, text_of
 
 SHARDS = 16
 BITS = 4  # per dimension, at least; more for more shards
-SAMPLE = 10_000  # rows that quantiles of strings are taken from
 ADDED = ("size", "text_crc32", "law", "hilbert", "shard", "slot")
 
 
-def _text_ends(sample: list[str | None], bits: int) -> list[str]:
-    """Values that cut a sample of strings, in the order of their bytes, into runs of about equal
-    count; where there are few different ones, each is a run of its own."""
-    values = sorted((x for x in sample if x is not None), key=str.encode)
-    different = sorted(set(values), key=str.encode)
-    if len(different) <= 2**bits:
-        return different[:-1]
-    return sorted({values[k * len(values) // 2**bits] for k in range(1, 2**bits)}, key=str.encode)
+def _ends(values: DataFrame, bits: int) -> list:
+    """Values that cut all rows of ``values`` (one column, x), in its order, into runs of about equal
+    count; where there are few different ones, each is a run of its own. Nulls are left out.
+
+    Different values are counted, dealt over ranges and stored. A row for each partition gives the
+    counts before its range, so a value knows its places among all rows; at most 2**bits ends are gathered.
+    """
+    spark = values.sparkSession
+    counts = cut(values.filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n")))
+    few = sorted((r["x"] for r in counts.limit(2**bits + 1).collect()), key=lambda x: x.encode() if isinstance(x, str) else (x != x, x))
+    if len(few) <= 2**bits:
+        return few[:-1]
+    # Where the ranges are cut decides only how the values are dealt.
+    ranged = cut(counts.repartitionByRange(partitions(spark), "x").withColumn("range", F.spark_partition_id()))
+    starts, total = [], 0
+    for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect():  # a row for each partition
+        starts.append((r["range"], total))
+        total += r["n"]
+    known = F.broadcast(spark.createDataFrame(starts, "range int, start long"))
+    upto = Window.partitionBy("range").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("upto", F.sum("n").over(upto)).join(known, "range").select("x", (F.col("start") + F.col("upto") - F.col("n")).alias("first"), (F.col("start") + F.col("upto")).alias("after"))
+    # Whole-number arithmetic: how many of the places k * total / 2**bits, k from 1, lie before a place.
+    passed = lambda c: F.expr(f"({c} * {2**bits}L - 1) div {total}L")
+    return [r["x"] for r in placed.filter(passed("after") > passed("first")).orderBy("x").select("x").collect()]
 
 
 def quantised(df: DataFrame, dimensions: list[Column], bits: int) -> list[Column]:
     """Each dimension as a cell from 0 to 2**bits - 1: the number of its quantiles that a
     value exceeds. Order is kept, so a range of cells is a range of values; null is cell 0.
 
-    One pass gathers the quantiles of all numbers, a sketch of fixed size for each. Strings are
-    compared whole with quantiles of a sample of some ``SAMPLE`` rows.
+    The quantiles are those of all rows: numbers in their order, strings in that of their bytes.
     """
-    found = df.select(*[d.alias(f"d{i}") for i, d in enumerate(dimensions)])
-    texts = [f.name for f in found.schema if isinstance(f.dataType, T.StringType)]
-    shares = F.array(*[F.lit(k / 2**bits) for k in range(1, 2**bits)])
-    row = found.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col(c).cast("double"), shares, F.lit(10 * 2**bits)).alias(c) for c in found.columns if c not in texts]).first()
-    sample = found.select(*texts).sample(min(1.0, SAMPLE / max(1, row["n"])), seed=5).limit(2 * SAMPLE).collect() if texts else []
+    kinds = [f.dataType for f in df.select(*[d.alias(f"d{i}") for i, d in enumerate(dimensions)]).schema]
 
-    def cell(d: Column, name: str) -> Column:
-        if name in texts:
-            ends = F.array(*[F.lit(x) for x in _text_ends([r[name] for r in sample], bits)]).cast("array<string>")
-            return F.coalesce(F.size(F.filter(ends, lambda q: q < d)), F.lit(0))
-        ends = F.array(*[F.lit(float(x)) for x in sorted(set(row[name] or []))]).cast("array<double>")
-        return F.coalesce(F.size(F.filter(ends, lambda q: q < d.cast("double"))), F.lit(0))
+    def cell(d: Column, kind: T.DataType) -> Column:
+        d, name = (d, "string") if isinstance(kind, T.StringType) else (d.cast("double"), "double")
+        ends = F.array(*[F.lit(x) for x in _ends(df.select(d.alias("x")), bits)]).cast(f"array<{name}>")
+        return F.coalesce(F.size(F.filter(ends, lambda q: q < d)), F.lit(0))
 
-    return [cell(d, f"d{i}") for i, d in enumerate(dimensions)]
+    return [cell(d, kind) for d, kind in zip(dimensions, kinds, strict=True)]
 
 
 def hilbert_index(cells: list[Column], bits: int) -> Column:
@@ -116,8 +124,8 @@ def shard(df: DataFrame, dimensions: list[Column] | None = None, shards: int = S
     Adds ``size`` (UTF-8 bytes of the text, null none, plus 1), ``text_crc32``
     (unsigned), ``law`` ("rows": shard counts differ by one at most), ``hilbert`` (index
     of the cell), ``shard`` and ``slot`` (gapless from 0 in the shard). Dimensions are
-    numbers or strings, by default source, language and size, and are quantised by their
-    quantiles; ``bits`` grows with the shards, to some 64 cells or more for each.
+    numbers or strings, by default source, language and size, and are quantised by the
+    quantiles of all rows; ``bits`` grows with the shards, to some 64 cells or more for each.
 
     A null dimension is cell 0; a missing text is empty. Ties in a cell are ordered by
     a hash of the identifier, then size and checksum; repeated rows get neighbouring
