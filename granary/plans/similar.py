@@ -78,8 +78,8 @@ def bm25_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = docs.filter("doc_id % 5 = 1").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text")
     for rows in (other.unionByName(gone), docs.filter("doc_id % 7 != 0"), docs):
         inverted.update(rows, path, "doc_id", "text")
-    scored = inverted.search(spark, path, _question_terms(spark, sf_dir))
-    ranked = search.top_k(scored.withColumn("mixed", F.col("score") * (0.25 + F.col("coverage"))), 10, "mixed")
+    scored = inverted.search(spark, path, _question_terms(spark, sf_dir), 10)
+    ranked = search.top_k(scored.withColumn("mixed", search.mixed(F.col("score"), F.col("coverage"))), 10, "mixed")
     return ranked.select("query", "doc", F.round("mixed", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "rank")
 
 
@@ -131,8 +131,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More like this: words by BM25 and vectors from all lists of the index, fused. Queries: every document and vector whose id is divisible by 100."""
     docs, rows = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     terms = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(search.tokens(F.col("text"))).alias("term")).distinct().withColumns({"group": F.col("term"), "weight": F.lit(1.0)})
-    scored = search.bm25(docs, terms, "doc_id", "text")
-    by_words = search.top_k(scored.withColumn("mixed", F.col("score") * (0.25 + F.col("coverage"))), 50, "mixed")
+    scored = search.bm25(docs, terms, "doc_id", "text", 50)
+    by_words = search.top_k(scored.withColumn("mixed", search.mixed(F.col("score"), F.col("coverage"))), 50, "mixed")
     by_vectors = vectors.search(vectors.build(rows, "vec_id", "embedding"), rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 50)
     return search.fuse([by_words, by_vectors], 10).select("query", "doc", F.round("score", 9).alias("score"), "rank")
 
