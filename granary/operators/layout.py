@@ -16,6 +16,8 @@ from ..functions.text import is_empty, norm_key
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """(keys, start, end, pieces): touching or overlapping intervals of a key as one; null bounds are left out."""
     rows = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")).filter("start is not null and end is not null")
+    # A task sorts its rows and holds them; a stated number of partitions is not merged into as many as there are cores.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = rows.withColumn("_new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
