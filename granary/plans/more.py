@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import numbers, text
 from ..operators import choices, cleaning, finance, layout, leads, markup, search, snapshots, tabular
+from ..sources.scratch import spread
 from .queries import _BM25, _MONTHLY, _feed, _SNAPSHOTS, _monthly, _question_terms, query, table
 
 # ---- scalars
@@ -73,7 +74,7 @@ def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda k, v: F.concat(F.lit(f"<tr><th> {k}: </th><td><b>"), v, F.lit("</b></td>"))
     html = F.concat(F.lit("<table><tr><td>no name</td></tr>"), row("Size", F.lit("old")), row("Brand", F.col("p_brand")), row("Size", F.col("p_size").cast("string")), row("Box", F.col("p_type")), row("Price", F.lit("1")), F.lit("</table>"))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    pages = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_type")).select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     return markup.specs(pages, markup.Specs("th", "td", rows="tr", prefix="spec_", without=("Price",)))
 
 
@@ -249,7 +250,7 @@ def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.when(k % 3 == 0, F.concat(F.lit(" User"), k.cast("string"), F.lit("@Example.com"))).when(k % 3 == 1, "a@b").otherwise("")
     day = F.when(k % 5 == 0, F.concat(F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit(".03.2024"))).when(k % 5 == 1, "soon")
     person = F.when(k % 2 == 0, "ivanov  petr").otherwise("Ivanov Petr")
-    return table(spark, sf_dir, "customer").select(k.alias("k"), phone.alias("phone"), mail.alias("mail"), day.alias("day"), person.alias("person"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("k"), phone.alias("phone"), mail.alias("mail"), day.alias("day"), person.alias("person"))
 
 
 _KINDS = {"phone": "phone", "mail": "email", "day": "date", "person": "name"}

@@ -29,6 +29,21 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{top}/{kind}-{uuid.uuid4().hex}"
 
 
+LEAST_ROWS, MOST_ROWS = 500, 10_000  # of a task with much work for each row
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over tasks by its number of rows.
+
+    Files are dealt by their bytes, so one task reads a million narrow rows. Where each of them
+    is much work, such as texts to parse, they are dealt out first: to all cores, and then to as
+    many tasks as ``MOST_ROWS`` ask for.
+    """
+    rows = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(cores, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS)))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared folder, where its lineage ends."""
     path = new_folder(df.sparkSession, "table")
