@@ -73,13 +73,14 @@ def header_rows(grid: DataFrame, doc: str, row: str, cells: str, scan: int = 15)
     """
     full = F.filter(cells, lambda v: ~is_empty(v))
     words = F.forall(full, lambda v: cell_number(v).isNull())
-    head = grid.filter(F.col(row) < scan).select(doc, F.col(row).alias("_row"), F.size(full).alias("_width"), words.alias("_words"))
-    head = head.withColumn("_widest", F.max("_width").over(Window.partitionBy(doc)))  # at most ``scan`` rows
-    fits = F.col("_words") & (F.col("_width") >= F.greatest(F.lit(2), F.floor(F.col("_widest") * 0.6)))
-    found = head.groupBy(doc).agg(F.min(F.when(fits, F.col("_row"))).alias("_fits"), F.min(F.when(F.col("_width") > 0, F.col("_row"))).alias("_some"))
-    named = found.select(doc, F.coalesce("_fits", "_some", F.lit(0)).alias("header"))
+    # One pass; at most ``scan`` rows of a sheet are gathered, and cells of others are not read.
+    near = F.when(F.col(row) < scan, F.struct(F.col(row).alias("row"), F.size(full).alias("width"), words.alias("words")))
+    found = grid.select(doc, near.alias("_r")).groupBy(doc).agg(F.collect_list("_r").alias("_r"))
+    widest = F.array_max(F.transform("_r", lambda r: r["width"]))
+    first = lambda test: F.array_min(F.transform(F.filter("_r", test), lambda r: r["row"]))
+    fits = first(lambda r: r["words"] & (r["width"] >= F.greatest(F.lit(2), F.floor(F.col("_widest") * 0.6))))
     # Sheets whose first rows are all out of reach have their header at 0, too.
-    return grid.select(doc).distinct().join(named, doc, "left").select(doc, F.coalesce("header", F.lit(0)).alias("header"))
+    return found.withColumn("_widest", widest).select(doc, F.coalesce(fits, first(lambda r: r["width"] > 0), F.lit(0)).alias("header"))
 
 
 def merge_report(tables: list[tuple[str, DataFrame]], names: dict[str, dict[str, str]], known: list[str]) -> DataFrame:
