@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import is_empty, norm_key
+from ..sources.scratch import settled
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -120,8 +121,8 @@ def paragraphs(lines: DataFrame, doc: str = "doc", page: str = "page", at: str =
     compared over a document, so one long document is not one task.
     """
     body = body_size(lines, doc, "size", "text")
-    sheet = Window.partitionBy(doc, page)
-    down = sheet.orderBy(at)
+    down = Window.partitionBy(doc, page).orderBy(at)
+    sheet = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of ``down``, so rows are sorted once
     c = F.col
     rows = lines.join(body, doc).withColumns({"_left": F.min("x0").over(sheet), "_right": F.max("x1").over(sheet)})
     rows = rows.withColumns({"_head": c("size") >= c("body") * 1.15, "_bullet": c("text").rlike(BULLET), "_marker": c("text").rlike(BULLET) | c("text").rlike(NUMBERED)})
@@ -143,10 +144,13 @@ def paragraphs(lines: DataFrame, doc: str = "doc", page: str = "page", at: str =
     rows = rows.withColumn("_open", opened.cast("int")).withColumn("_block", F.sum("_open").over(down))
     kind = F.when(c("_head"), "heading").when(c("_bullet"), "bullet").otherwise("para")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(c(at).alias("a"), c("text").alias("t")))), lambda x: x["t"]), _NEXT)
-    blocks = rows.groupBy(doc, page, "_block").agg(F.min_by(kind, at).alias("kind"), text.alias("text"))
+    # Stored, as their ends are compared first and then they are put together.
+    blocks = settled(rows.groupBy(doc, page, "_block").agg(F.min_by(kind, at).alias("kind"), text.alias("text")))
 
-    ends = blocks.groupBy(doc, page).agg(F.max("_block").alias("_last"), F.min_by(F.struct("kind", "text"), "_block").alias("_a"), F.max_by(F.struct("kind", "text"), "_block").alias("_z"))
-    ends = ends.select(doc, page, "_last", c("_a.kind").alias("_ka"), F.substring("_a.text", 1, 1).alias("_ta"), c("_z.kind").alias("_kz"), F.substring(c("_z.text"), -1, 1).alias("_tz"))
+    # Only the letters at both ends of a block are compared, so its text stays where it is.
+    letters = blocks.select(doc, page, "_block", "kind", F.substring("text", 1, 1).alias("_t1"), F.substring("text", -1, 1).alias("_t9"))
+    ends = letters.groupBy(doc, page).agg(F.max("_block").alias("_last"), F.min_by(F.struct("kind", "_t1"), "_block").alias("_a"), F.max_by(F.struct("kind", "_t9"), "_block").alias("_z"))
+    ends = ends.select(doc, page, "_last", c("_a.kind").alias("_ka"), c("_a._t1").alias("_ta"), c("_z.kind").alias("_kz"), c("_z._t9").alias("_tz"))
     over = Window.partitionBy(doc).orderBy(page)
     goes_on = (c("_ka") == "para") & (F.lag("_kz").over(over) == "para") & ~F.lag("_tz").over(over).rlike("[.!?:;…]") & c("_ta").rlike("^\\p{Ll}")
     ends = ends.withColumn("_on", F.coalesce(goes_on, F.lit(False)))

@@ -166,7 +166,9 @@ def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     that begins a page goes on with the one before, as no sentence ends in these texts."""
     plain = F.split(F.regexp_replace(F.lower("text"), "[^a-z\\n]+", " "), "\n")
     # Lines of one document stand in one array, so their numbers need no sort.
-    cut = lambda t, k: F.transform(F.sequence(F.lit(0), F.floor((F.size(F.split(t, " ")) - 1) / 8).cast("int")), lambda j: F.struct(F.array_join(F.slice(F.split(t, " "), j * 8 + 1, F.lit(8)), " ").alias("text"), (j == F.floor((F.size(F.split(t, " ")) - 1) / 8)).alias("ends"), k.alias("k")))
+    # A line is cut once; cut again for each of its parts, a text would take time by the square of its length.
+    marked = lambda parts, k: F.transform(parts, lambda x, j: F.struct(x.alias("text"), (j == F.size(parts) - 1).alias("ends"), k.alias("k")))
+    cut = lambda t, k: F.get(F.transform(F.array(F.regexp_extract_all(t, F.lit("[a-z]+(?: [a-z]+){0,7}"), F.lit(0))), lambda parts: marked(parts, k)), F.lit(0))
     texts = F.filter(F.transform(plain, lambda t: F.trim(t)), lambda t: t != "")
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.flatten(F.transform(texts, cut))).alias("n", "e"))
     number = F.col("n") % 10

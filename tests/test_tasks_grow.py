@@ -41,3 +41,18 @@ def test_header_rows_read_a_sheet_once(spark):
     got = cleaning.header_rows(spark.createDataFrame(rows, kind).mapInArrow(seen, kind), "d", "r", "c").collect()
     assert {r.d: r.header for r in got} == {1: 1, 2: 2, 17: 0, 30: 0, 31: 3}
     assert read.value == len(rows)
+
+
+def test_paragraphs_read_lines_twice_and_shuffle_texts_of_blocks_only_to_join_them(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(d, p, k, 50.0, 500.0, k * 12.0, k * 12.0 + 10, 10.0, f"line {d} {p} {k}") for d in range(3) for p in range(4) for k in range(5)]
+    kind = "doc long, page int, at int, x0 double, x1 double, top double, bottom double, size double, text string"
+    got = layout.paragraphs(spark.createDataFrame(rows, kind).mapInArrow(seen, kind)).collect()
+    assert sorted((r.doc, r.page, r.text) for r in got) == [(d, 0, " ".join(f"line {d} {p} {k}" for p in range(4) for k in range(5))) for d in range(3)]
+    assert read.value == 2 * len(rows)
