@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settled
+from ..sources.scratch import settled, spread
 from .search import nearest
 
 MOST_SAMPLED = 20_000  # vectors that the centroids are fitted on
@@ -37,6 +38,15 @@ def _units(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
 
+def _rows(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, width): null vectors and those of another length are zeros, null components too."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(column.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    fit, out = sizes == width, np.zeros((len(column), width))
+    out[fit] = flat[(np.cumsum(sizes) - sizes)[fit][:, None] + np.arange(width)]
+    return np.nan_to_num(out)
+
+
 def fit_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     """Centroids of unit vectors by rounds of assignment and mean; an empty list takes the worst fitting vector."""
     x = _units(np.nan_to_num(sample.astype(np.float64)))
@@ -57,12 +67,9 @@ def _nearest_lists(df: DataFrame, key: str, vector: str, centroids: np.ndarray,
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            width = centroids.shape[1]
-            x = np.array([v if v is not None and len(v) == width else [0.0] * width for v in batch.column(1).to_pylist()], dtype=object)
-            x = np.nan_to_num(np.array([[0.0 if c is None else c for c in v] for v in x], dtype=np.float64).reshape(-1, width))
-            near = _units(x) @ centroids.T
+            near = _units(_rows(batch.column(1), centroids.shape[1])) @ centroids.T
             order = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
+            at = pa.array(np.repeat(np.arange(len(order)), order.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["list", kind, "vector"])
 
     plain = df.select(F.col(key).alias(kind), F.col(vector).alias("vector"))
@@ -83,13 +90,14 @@ def build(df: DataFrame, key: str, vector: str, lists: int | None = None, path:
     common = sized.groupBy(F.size(vector).alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
     width = common["size"] if common else 1
     sample = sized.filter(F.size(vector) == width).orderBy(F.xxhash64(key), key).limit(MOST_SAMPLED).select(vector)
-    sampled = np.array([[0.0 if c is None else c for c in r[0]] for r in sample.collect()], dtype=np.float64).reshape(-1, width)
+    sampled = _rows(sample.toArrow().column(0).combine_chunks(), width)
     centroids = fit_centroids(sampled, lists) if len(sampled) else np.zeros((1, width))
-    rows = _nearest_lists(df, key, vector, centroids, 1, "doc")
+    # A file of a hundred thousand vectors is read by one task; each of them is held against all centroids.
+    rows = _nearest_lists(spread(df.select(key, vector)), key, vector, centroids, 1, "doc")
     if path is None:
         return VectorIndex(centroids, settled(rows))
-    spread = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // lists)
-    rows.repartition("list", F.pmod(F.xxhash64("doc"), F.lit(spread))).write.mode("overwrite").partitionBy("list").parquet(path)
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // lists)
+    rows.repartition("list", F.pmod(F.xxhash64("doc"), F.lit(parts))).write.mode("overwrite").partitionBy("list").parquet(path)
     return VectorIndex(centroids, spark.read.parquet(path).select(F.col("list").cast("int"), "doc", "vector"))
 
 
@@ -101,19 +109,29 @@ def search(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int
     return nearest(index.rows, settled(_nearest_lists(queries, key, vector, index.centroids, probes, "query")), k)
 
 
-def recall(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> float:
-    """Share of the exact k nearest that the search with ``probes`` finds; over at most ``MOST_CHECKED`` queries of the smallest hashes."""
+def _checked(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """At most ``MOST_CHECKED`` queries of the smallest hashes, and the exact k nearest of each."""
     few = settled(queries.orderBy(F.xxhash64(key), key).limit(MOST_CHECKED))
-    exact = settled(search(index, few, key, vector, k))
-    found = search(index, few, key, vector, k, probes).join(exact.select("query", "doc"), ["query", "doc"], "left_semi").count()
+    return few, settled(search(index, few, key, vector, k).select("query", "doc"))
+
+
+def _share(index: VectorIndex, checked: tuple[DataFrame, DataFrame], key: str, vector: str, k: int, probes: int) -> float:
+    few, exact = checked
+    found = search(index, few, key, vector, k, probes).join(exact, ["query", "doc"], "left_semi").count()
     return found / max(1, exact.count())
 
 
+def recall(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> float:
+    """Share of the exact k nearest that the search with ``probes`` finds; over at most ``MOST_CHECKED`` queries of the smallest hashes."""
+    return _share(index, _checked(index, queries, key, vector, k), key, vector, k, probes)
+
+
 def enough_probes(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, goal: float = 0.9) -> tuple[int, float]:
     """(probes, recall): twice as many lists until the measured recall reaches the goal; all lists always do."""
     probes = max(1, len(index.centroids) // 8)
+    checked = _checked(index, queries, key, vector, k) if probes < len(index.centroids) else None  # the exact ones are the same for all
     while probes < len(index.centroids):
-        got = recall(index, queries, key, vector, k, probes)
+        got = _share(index, checked, key, vector, k, probes)
         if got >= goal:
             return probes, got
         probes *= 2

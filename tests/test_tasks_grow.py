@@ -1,10 +1,13 @@
 """Work for each row is dealt over tasks by rows, not by bytes of files; what a task holds is bounded."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from granary.operators import cleaning, layout
+from granary.operators import cleaning, layout, vectors
 from granary.sources import scratch
 
 
@@ -56,3 +59,22 @@ def test_paragraphs_read_lines_twice_and_shuffle_texts_of_blocks_only_to_join_th
     got = layout.paragraphs(spark.createDataFrame(rows, kind).mapInArrow(seen, kind)).collect()
     assert sorted((r.doc, r.page, r.text) for r in got) == [(d, 0, " ".join(f"line {d} {p} {k}" for p in range(4) for k in range(5))) for d in range(3)]
     assert read.value == 2 * len(rows)
+
+
+def test_recall_holds_all_numbers_of_lists_against_one_exact_search(spark, monkeypatch):
+    r, dealt, exact = random.Random(3), [], []
+    rows = [(k, [r.gauss(0, 1) for _ in range(8)]) for k in range(300)] + [(300, None), (301, [1.0]), (302, [None, float("nan"), *[1.0] * 6]), (303, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    search, nearest = vectors.search, vectors._nearest_lists
+    monkeypatch.setattr(scratch, "LEAST_ROWS", 20)
+    monkeypatch.setattr(vectors, "_nearest_lists", lambda rows, *a: dealt.append(rows.rdd.getNumPartitions()) or nearest(rows, *a))
+    index = vectors.build(df, "id", "v", lists=16)
+    assert dealt == [4] and index.rows.count() == len(rows)
+    monkeypatch.setattr(vectors, "search", lambda i, q, key, v, k, probes=None: exact.append(probes) or search(i, q, key, v, k, probes))
+    probes, got = vectors.enough_probes(index, df.filter("id % 10 = 0"), "id", "v", 5, goal=0.99)
+    assert got >= 0.99 and exact.count(None) == 1 and len(exact) > 2
+
+
+def test_odd_vectors_are_zeros():
+    got = vectors._rows(pa.array([[1.0, 2.0], None, [3.0], [None, 4.0], [], [float("nan"), 5.0]], pa.list_(pa.float32())).slice(1), 2)
+    assert got.tolist() == [[0, 0], [0, 0], [0, 4], [0, 0], [0, 5]]
