@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from granary.operators import cleaning, layout, vectors
+from granary.operators import cleaning, layout, markup, vectors
 from granary.sources import scratch
 
 
@@ -78,3 +78,19 @@ def test_recall_holds_all_numbers_of_lists_against_one_exact_search(spark, monke
 def test_odd_vectors_are_zeros():
     got = vectors._rows(pa.array([[1.0, 2.0], None, [3.0], [None, 4.0], [], [float("nan"), 5.0]], pa.list_(pa.float32())).slice(1), 2)
     assert got.tolist() == [[0, 0], [0, 0], [0, 4], [0, 0], [0, 5]]
+
+
+def test_a_selector_is_read_once_for_all_nodes(monkeypatch):
+    tree, read, step = markup._Tree("<table>" + "<tr><th class='k a'>x</th><td id=i><b>y</b></td>" * 40 + "</table>"), [], markup._STEP
+
+    class Counted:
+        def fullmatch(self, s):
+            read.append(s)
+            return step.fullmatch(s)
+
+    monkeypatch.setattr(markup, "_STEP", Counted())
+    for css, n in (("tr > th.k.a", 40), ("td[id=i] b", 40), ("tr *", 120), ("td.k", 0), ("th.k", 40)):
+        assert len(markup.select(tree.root, css)) == n
+    assert len(read) <= 10
+    with pytest.raises(ValueError):
+        markup.select(tree.root, "td:first")
