@@ -22,7 +22,6 @@ from .search import nearest
 MOST_SAMPLED = 20_000  # vectors that the centroids are fitted on
 MOST_LISTS = 4096
 ROUNDS = 12
-MOST_CHECKED = 200  # queries that the recall is measured on
 
 
 @dataclass(frozen=True)
@@ -110,24 +109,24 @@ def search(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int
 
 
 def _checked(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """At most ``MOST_CHECKED`` queries of the smallest hashes, and the exact k nearest of each."""
-    few = settled(queries.orderBy(F.xxhash64(key), key).limit(MOST_CHECKED))
-    return few, settled(search(index, few, key, vector, k).select("query", "doc"))
+    """The queries, stored, and the exact k nearest of each."""
+    asked = settled(queries.select(key, vector))
+    return asked, settled(search(index, asked, key, vector, k).select("query", "doc"))
 
 
 def _share(index: VectorIndex, checked: tuple[DataFrame, DataFrame], key: str, vector: str, k: int, probes: int) -> float:
-    few, exact = checked
-    found = search(index, few, key, vector, k, probes).join(exact, ["query", "doc"], "left_semi").count()
+    asked, exact = checked
+    found = search(index, asked, key, vector, k, probes).join(exact, ["query", "doc"], "left_semi").count()
     return found / max(1, exact.count())
 
 
 def recall(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, probes: int) -> float:
-    """Share of the exact k nearest that the search with ``probes`` finds; over at most ``MOST_CHECKED`` queries of the smallest hashes."""
+    """Share of the exact k nearest of all queries that the search with ``probes`` finds."""
     return _share(index, _checked(index, queries, key, vector, k), key, vector, k, probes)
 
 
 def enough_probes(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int, goal: float = 0.9) -> tuple[int, float]:
-    """(probes, recall): twice as many lists until the measured recall reaches the goal; all lists always do."""
+    """(probes, recall): twice as many lists until the recall, measured on all queries, reaches the goal; all lists always do."""
     probes = max(1, len(index.centroids) // 8)
     checked = _checked(index, queries, key, vector, k) if probes < len(index.centroids) else None  # the exact ones are the same for all
     while probes < len(index.centroids):
